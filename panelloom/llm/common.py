@@ -87,6 +87,17 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII letters and of the two-byte letters À to Þ."""
+    out = LOWER[data]
+    if len(out) > 1:
+        wide = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][wide] += 32
+    return out
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Separators of alphanumeric words: every ASCII byte that is no letter or digit.

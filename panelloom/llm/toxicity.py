@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import LOWER, NOT_WORD, prefix_hash, span_hash, table, text_slices, word_spans
+from panelloom.llm.common import NOT_WORD, lowered, prefix_hash, span_hash, table, text_slices, word_spans
 
 BUCKETS = 1 << 18
 BEGINNINGS = (4, 5, 6, 8)
@@ -28,7 +28,7 @@ def feature_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     """Hashed features of whole words and word beginnings, with each one's row in the slice."""
     starts, ends, firsts = word_spans(data, offsets, NOT_WORD)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
-    prefix = prefix_hash(LOWER[data].astype(np.uint64) + np.uint64(1))
+    prefix = prefix_hash(lowered(data).astype(np.uint64) + np.uint64(1))
     hashes, rows = [span_hash(prefix, starts, ends) ^ np.uint64(0x5bd1e995)], [row]
     for n in BEGINNINGS:
         long = ends - starts >= n
