@@ -105,10 +105,15 @@ def _set_maker(shingle: int):
     return run
 
 
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the given doc_ids: the same shuffled join at every size."""
+    return docs.select("doc_id", "text").join(ids.hint("shuffle_merge"), "doc_id", "left_semi")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of the pairs (u, v) those whose whole sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_set_maker(shingle), "id long, members array<long>")
+    sets = of_ids(docs, wanted).mapInArrow(_set_maker(shingle), "id long, members array<long>")
     a, b = sets.select(F.col("id").alias("u"), F.col("members").alias("a")), sets.select(F.col("id").alias("v"), F.col("members").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return pairs.join(b, "v").join(a, "u").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct()
@@ -196,7 +201,7 @@ def rest_pairs(spark: SparkSession, entries: DataFrame, nodes: DataFrame, parts:
             if level == 3:
                 found.append(stars(now.where(F.col("members") > SMALL)))
             break
-        members = known.join(large, "id", "left_semi")
+        members = known.join(large, "id", "left_semi").repartition("id")  # evenly, as each row now becomes many
         place = lambda i, k: F.element_at("bands", ((F.col("i") + i * F.col("s") * k) % bands + 1).cast("int"))
         steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i in range(bands) for s in (1, 2, 3)])
         keyed = members.select("id", "component_id", "bands", F.inline(steps)).select("id", "component_id", F.xxhash64("i", "s", F.lit(level), *[place(k, 1) for k in range(level + 1)]).alias("bucket"))
@@ -220,6 +225,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     nodes = stored(spark, whole.withColumnRenamed("doc_id", "id").join(node_of.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "nodes")
     entries = stored(spark, _with_counts(nodes.select("id", F.explode("bands").alias("bucket"))), "entries")
     first = stored(spark, stars(entries), "stars")
+    # texts of documents that share a bucket at all: the only ones any confirmation asks for
+    docs = stored(spark, of_ids(docs, entries.select(F.col("id").alias("doc_id")).distinct()), "texts")
     links = stored(spark, confirmed(docs, first, shingle, percent), "links")
     parts = components(spark, links)
     more = rest_pairs(spark, entries, nodes, parts, bands, rows, percent).join(first, ["u", "v"], "left_anti")
