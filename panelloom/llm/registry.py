@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from panelloom.llm import near_dedup
+from panelloom.llm import decontaminate, mixing, near_dedup, token_codec, toxicity
 
 QUERIES = {
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op10_token_codec": token_codec.op10_token_codec,
 }
 ORACLES = {
     "op2_near_dedup": near_dedup.ORACLE,
+    "op3_mixing": mixing.ORACLE,
 }
