@@ -6,25 +6,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import stored, table
+from panelloom.llm.decontaminate import contaminated
+from panelloom.llm.mixing import mixture
 from panelloom.llm.near_dedup import near_duplicates
+from panelloom.llm.token_codec import hub_encoder, read_tokens, vocabulary, write_tokens
+from panelloom.llm.toxicity import fit, scored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents that score this much are toxic.
+REJECT = 0.7
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model rejects go; it learns from every label, as nothing is held out here."""
+    model = fit(spark, docs, table(spark, sf_dir, "labels"), F.lit(True))
+    rejected = scored(spark, docs, model).where(F.col("score") >= REJECT).select("doc_id").where("doc_id is not null").distinct()
+    return docs.select(COLUMNS).join(rejected, "doc_id", "left_anti").select(COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays."""
-    kept = near_duplicates(spark, docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.join(kept, "doc_id", "left_semi").select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    gone = near_duplicates(spark, docs).where("not kept").select("doc_id").distinct()
+    rows = docs.select(COLUMNS)
+    once = rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null"))
+    return once.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat or re-parameterise a benchmark item go."""
+    hit = contaminated(spark, docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(hit, "doc_id", "left_anti").select(COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: documents once for each epoch their leaf takes, the last one's end cut."""
+    return mixture(spark, docs.select(COLUMNS)).select(COLUMNS)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token blocks written and read back: place, length and checksum of each document's ids."""
+    return read_tokens(write_tokens(spark, docs, hub_encoder(vocabulary())))
 
 
-STAGES = [("near_dedup", near_dedup_stage)]
+STAGES = [("toxicity", toxicity_stage), ("near_dedup", near_dedup_stage), ("decontaminate", decontaminate_stage), ("mixing", mixing_stage), ("tokens", token_stage)]
 
 #: The toxicity model is trained, which SQL can't express; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: (doc_id, start, n_tokens, ids_crc32)."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
