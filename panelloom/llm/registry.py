@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from panelloom.llm import decontaminate, mixing, near_dedup, token_codec, toxicity
+from panelloom.llm import decontaminate, mixing, near_dedup, secrets, token_codec, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_warc": warc.op5_warc,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_toxicity": toxicity.op7_toxicity,
     "op10_token_codec": token_codec.op10_token_codec,
 }
 ORACLES = {
     "op2_near_dedup": near_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
+    "op5_warc": warc.ORACLE,
 }
