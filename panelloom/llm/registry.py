@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelloom.llm import decontaminate, mixing, near_dedup, secrets, token_codec, toxicity, url_filter, warc
+from panelloom.llm import decontaminate, html_extract, lcp, mixing, near_dedup, secrets, token_codec, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_lcp_fingerprint": lcp.op8_lcp_fingerprint,
+    "op9_html_extract": html_extract.op9_html_extract,
     "op10_token_codec": token_codec.op10_token_codec,
 }
 ORACLES = {
