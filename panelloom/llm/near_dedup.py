@@ -202,9 +202,11 @@ def rest_pairs(spark: SparkSession, entries: DataFrame, nodes: DataFrame, parts:
                 found.append(stars(now.where(F.col("members") > SMALL)))
             break
         members = known.join(large, "id", "left_semi").repartition("id")  # evenly, as each row now becomes many
-        place = lambda i, k: F.element_at("bands", ((F.col("i") + i * F.col("s") * k) % bands + 1).cast("int"))
-        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i in range(bands) for s in (1, 2, 3)])
-        keyed = members.select("id", "component_id", "bands", F.inline(steps)).select("id", "component_id", F.xxhash64("i", "s", F.lit(level), *[place(k, 1) for k in range(level + 1)]).alias("bucket"))
+        place = lambda s, k: F.element_at("bands", ((F.col("i") + s * k) % bands + 1).cast("int"))
+        steps = (1, 2, 3)
+        keys = [F.xxhash64("i", F.lit(s), F.lit(level), *[place(s, k) for k in range(level + 1)]).alias(f"step{s}") for s in steps]
+        spread = stored(spark, members.select("id", "component_id", "bands", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("i")).select("id", "component_id", *keys), f"keys{level}")
+        keyed = reduce(DataFrame.union, [spread.select("id", "component_id", F.col(f"step{s}").alias("bucket")) for s in steps])
         now = _open(keyed)
     return reduce(DataFrame.union, found).distinct()
 
