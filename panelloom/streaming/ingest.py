@@ -22,7 +22,9 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    folder, _, name = path.rstrip("/").rpartition("/")
+    # as a pattern, a path may be one file or a folder of files
+    return reader.parquet(f"{folder}/{{{name}}}").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def panel_cells(events: DataFrame, unit: str = "user_id", action: str = "event_type", value: str = "value", late: str = "1 day", width: str = "1 day") -> DataFrame:
