@@ -11,7 +11,7 @@ steps. Models start afresh in each block and every block carries a CRC-32, so bl
 Layout of a block, little-endian: magic ``PLTC``, version u8, 3 zero bytes, first id position in its
 shard u64, ids u32, lanes u32, largest id u32, documents u32, words u32, CRC-32 of the rest u32; then for
 each document i64 doc_id, u64 number in its shard, u32 ids here, u8 flags (1: doc_id is null, 2: part of
-a longer document), then u32 word counts of the lanes, then u16 code words.
+a longer document), then u32 word counts of the lanes, then u32 code words.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ LANES = 4096
 MIX = 12
 _SLOTS = 1 << 17
 _U = np.uint64
-_TOP, _BOT = _U(1) << _U(48), _U(1) << _U(34)
+_WORD = _U(32)
+_TOP = _BOT = _U(1) << _WORD
 DOC = np.dtype([("doc_id", "<i8"), ("number", "<u8"), ("ids", "<u4"), ("flags", "u1")])
 
 
@@ -45,8 +46,8 @@ class Model:
     def __init__(self, largest: int, lanes: int) -> None:
         self.size = largest + 1
         self.bits = max(16, self.size.bit_length() + 2)
-        if self.bits + MIX > 34:
-            raise ValueError(f"ids up to {1 << (32 - MIX)} can be coded, not {largest}")
+        if self.bits + MIX > 32:
+            raise ValueError(f"ids below {1 << 18} can be coded, not {largest}")
         self.counts = np.zeros(self.size, np.int64)
         self.seen: list[np.ndarray] = []
         # 8 * id + confidence (0: no prediction yet) of what last followed
@@ -150,25 +151,25 @@ def encode_words(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
                 break
             live, lo, sp = live[go], lo[go], np.where(tight, (~lo + _U(1)) & (_BOT - _U(1)), sp)[go]
             out_lane.append(live)
-            out_word.append((lo >> _U(48)).astype(np.uint16))
-            low[live], span[live] = lo << _U(16), sp << _U(16)
+            out_word.append((lo >> _WORD).astype(np.uint32))
+            low[live], span[live] = lo << _WORD, sp << _WORD
         model.learn(row, two, one)
-    for k in (48, 32, 16, 0):
+    for k in (32, 0):
         out_lane.append(np.arange(lanes))
-        out_word.append((low >> _U(k)).astype(np.uint16))
+        out_word.append((low >> _U(k)).astype(np.uint32))
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
     order = np.argsort(lane, kind="stable")
-    return lanes, np.bincount(lane, minlength=lanes).astype("<u4"), word[order].astype("<u2")
+    return lanes, np.bincount(lane, minlength=lanes).astype("<u4"), word[order].astype("<u4")
 
 
 def decode_words(n: int, lanes: int, largest: int, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
     rows = -(-n // lanes) if n else 0
     model = Model(largest, lanes)
     at = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))[:-1]
-    words = np.concatenate((words, np.zeros(8, "<u2"))).astype(np.uint64)
+    words = np.concatenate((words, np.zeros(8, "<u4"))).astype(np.uint64)
     low, span, code = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0)), np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = code << _U(16) | words[at]
+    for _ in range(2):
+        code = code << _WORD | words[at]
         at += 1
     shift = _U(model.bits + MIX)
     out = np.empty(n, np.uint32)
@@ -194,8 +195,8 @@ def decode_words(n: int, lanes: int, largest: int, lengths: np.ndarray, words: n
             if not go.any():
                 break
             live, lo, sp = live[go], lo[go], np.where(tight, (~lo + _U(1)) & (_BOT - _U(1)), sp)[go]
-            low[live], span[live] = lo << _U(16), sp << _U(16)
-            code[live] = code[live] << _U(16) | words[at[live]]
+            low[live], span[live] = lo << _WORD, sp << _WORD
+            code[live] = code[live] << _WORD | words[at[live]]
             at[live] += 1
         out[r0::rows] = row
         model.learn(row, two, one)
@@ -215,11 +216,11 @@ def decode_block(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
         raise ValueError("not a token block")
     _, _, first, n, lanes, largest, n_docs, n_words, crc = HEAD.unpack_from(data)
     body = memoryview(data)[HEAD.size :]
-    if zlib.crc32(body) != crc or len(body) != n_docs * DOC.itemsize + 4 * lanes + 2 * n_words:
+    if zlib.crc32(body) != crc or len(body) != n_docs * DOC.itemsize + 4 * lanes + 4 * n_words:
         raise ValueError("damaged token block")
     docs = np.frombuffer(body, DOC, n_docs)
     lengths = np.frombuffer(body, "<u4", lanes, n_docs * DOC.itemsize)
-    words = np.frombuffer(body, "<u2", n_words, n_docs * DOC.itemsize + 4 * lanes)
+    words = np.frombuffer(body, "<u4", n_words, n_docs * DOC.itemsize + 4 * lanes)
     return first, docs, decode_words(n, lanes, largest, lengths, words)
 
 
@@ -314,6 +315,11 @@ def _join_parts(series):
     return pd.Series(out, dtype="int64")
 
 
+#: Ids of chunks and of words seen lately, by vocabulary: kept between the tasks of a worker, at most MEMO entries each.
+_MEMOS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+MEMO = 700_000
+
+
 def hub_encoder(path: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
     """Encoder with the tokenizers library and a vocabulary file; ids of chunks seen lately are remembered.
 
@@ -332,9 +338,8 @@ def hub_encoder(path: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
         tok = Tokenizer.from_file(path)
         special = [t.content for t in tok.get_added_tokens_decoder().values()]
         loose = re.compile(r"^ | $|\s | \s|" + "|".join(map(re.escape, special or ["\0\0"])))
-        pack = lambda ids: np.array(ids, "<u4").tobytes()
-        memo: dict[str, bytes] = {}
-        words: dict[str, bytes] = {}
+        pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+        memo, words = _MEMOS.setdefault(path, ({}, {}))
         pieces = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\W\d_])|[,.](?=\s|$)|\n(?=\S)|\S[\s\S]*| [\s\S]+|[\s\S]+")
 
         def encode(texts: list[str]) -> list[bytes]:
@@ -348,13 +353,21 @@ def hub_encoder(path: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
                 rows.append(chunks)
                 if chunks:
                     missing.update((c, None) for c in chunks if c not in memo)
-            if len(memo) + len(missing) > 400_000:
+            if len(memo) + len(missing) > MEMO:
                 memo.clear()
                 missing = {c: None for chunks in rows if chunks for c in chunks}
             if missing:
-                split = {c: pieces.findall(c) for c in missing}
+                split = {}
+                for c in missing:
+                    # most chunks are a space and letters, perhaps with one mark at the end
+                    if c[1:].isalpha() and c[0] == " ":
+                        split[c] = (c,)
+                    elif c[-1] in ",." and c[0] == " " and c[1:-1].isalpha():
+                        split[c] = (c[:-1], c[-1])
+                    else:
+                        split[c] = pieces.findall(c)
                 new = list({p: None for ps in split.values() for p in ps if p not in words})
-                if len(words) + len(new) > 400_000:
+                if len(words) + len(new) > MEMO:
                     words.clear()
                     new = list({p: None for ps in split.values() for p in ps})
                 for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
@@ -381,7 +394,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, make_encoder, end_id: int
 
 def read_tokens(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from blocks."""
-    parts = blocks.select("shard", "block", "payload").mapInArrow(_crc_parts, "shard int, number long, block int, doc_id long, part boolean, at long, n long, crc long")
+    parts = stored(blocks.sparkSession, blocks.select("shard", "block", "payload").mapInArrow(_crc_parts, "shard int, number long, block int, doc_id long, part boolean, at long, n long, crc long"), "token-parts")
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     base = shards.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("base"))
     join = F.pandas_udf(_join_parts, "long")
