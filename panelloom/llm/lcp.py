@@ -139,7 +139,7 @@ def _marker(bounds: np.ndarray, firsts: np.ndarray):
                     # firsts of empty ranges are the next range's, so the range before is the last smaller one that holds rows
                     before = np.searchsorted(firsts, firsts[own[guest]], "left") - 1
                     wraps = before < 0
-                    held = np.flatnonzero(np.diff(np.append(firsts, np.iinfo(np.int64).max)) > 0)
+                    held = np.flatnonzero(np.append(firsts[1:], np.iinfo(np.int64).max) > firsts)
                     to = np.where(wraps, held[-1], held[np.maximum(0, np.searchsorted(held, before, "right") - 1)])
                     yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.where(wraps, 2, 1).astype(np.int32)), *(c.take(pa.array(guest)) for c in base)], names=NAMES)
 

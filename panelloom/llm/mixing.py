@@ -26,7 +26,8 @@ NO_VALUE = "(none)"
 LANG_WEIGHTS = {"en": 50, "de": 20, "fr": 20, "es": 10}
 SEED = 17
 MAX_EPOCHS = 4
-BIG = "decimal(38,0)"
+#: Column that a mixture carries for a while; no table has this name.
+MIX = "__mix_of_row"
 
 
 def default_domain() -> Column:
@@ -133,12 +134,16 @@ def mixture(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     each leaf passes through Python.
     """
     docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    take = mixed(spark, docs, **options).where("taken > 0").select("doc_id", "n_tokens", "whole_epochs", "part_tokens")
+    names = docs.columns
+    take = mixed(spark, docs, **options).where("taken > 0").select("doc_id", F.struct("n_tokens", "whole_epochs", "part_tokens").alias(MIX))
     d = docs.join(take, "doc_id")
-    whole = d.select(*docs.columns, F.explode(F.expr("array_repeat(0, cast(whole_epochs + if(part_tokens = n_tokens, 1, 0) as int))")).alias("_")).drop("_")
+    times = F.expr(f"array_repeat(0, cast({MIX}.whole_epochs + if({MIX}.part_tokens = {MIX}.n_tokens, 1, 0) as int))")
+    whole = d.select(*names, F.explode(times).alias(MIX)).drop(MIX)
     prefix = F.pandas_udf(_prefix, "string")
-    cut = d.where("part_tokens > 0 and part_tokens < n_tokens").withColumn("text", prefix("text", "part_tokens")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-    return whole.unionByName(cut)
+    cut = d.where(f"{MIX}.part_tokens > 0 and {MIX}.part_tokens < {MIX}.n_tokens").withColumn("text", prefix("text", f"{MIX}.part_tokens"))
+    if "n_chars" in names:
+        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
+    return whole.unionByName(cut.select(*names))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

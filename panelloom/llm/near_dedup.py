@@ -7,9 +7,10 @@ hash of each bin is kept. An empty bin borrows from a bin drawn by a universal h
 A bucket emits a star, not all pairs: every member is compared with one centre, the member whose bands
 are shared most widely (the original of a group of edited copies shares every common band, a copy does
 not). Candidates are confirmed on whole shingle sets. Documents that a star leaves in different
-components are compared further: buckets of at most ``small`` members compare all members of different
-components, larger ones are split by two, then three bands at once until the parts are small; the largest
-parts left get stars again. Work stays linear in the number of bucket entries, and no pair is dropped by a count.
+components are compared further: buckets of at most SMALL members compare members of different
+components; members of larger ones meet again in buckets of two bands at once, and what is still larger
+is compared in blocks, members outside the largest component against all. Byte sketches rule pairs out
+before they leave a block. No pair is dropped by a count.
 
 Equal word sequences are one node, so thousands of exact copies cost one row each.
 """
@@ -185,30 +186,63 @@ def _open(entries: DataFrame) -> DataFrame:
     return entries.drop("members").join(state, "bucket")
 
 
+def _block_maker(bins: int, percent: int):
+    """Pairs of a block of open members with a block of all members of one bucket; as _pair_maker."""
+    t = percent / 100
+    least = t - 4 * np.sqrt(t * (1 - t) / bins)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = lambda group: (np.array([m["id"] for m in group], np.int64), np.array([m["component_id"] for m in group], np.int64), np.array([np.frombuffer(m["bits"], np.uint8) for m in group]))
+        for frame in frames:
+            us, vs = [], []
+            for some, others in zip(frame["some"], frame["others"], strict=True):
+                ids, parts, bits = unpack(some)
+                there, there_parts, there_bits = unpack(others)
+                for k in range(len(ids)):
+                    near = ((there_bits == bits[k]).mean(axis=1) >= least) & (there_parts != parts[k])
+                    us.append(np.minimum(there[near], ids[k]))
+                    vs.append(np.maximum(there[near], ids[k]))
+            if us:
+                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}).drop_duplicates()
+
+    return run
+
+
 def rest_pairs(spark: SparkSession, entries: DataFrame, nodes: DataFrame, parts: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
-    """Candidate pairs that stars left untested; entries: (bucket, id) of level 0."""
+    """Candidate pairs that stars left untested; entries: (bucket, id) of one band each.
+
+    Buckets of at most SMALL members are compared within. Members of larger ones get buckets of two
+    bands at once. Of those that are still larger, members outside the bucket's largest component are
+    compared with all its members in blocks of about SMALL; sketches rule out most pairs there, and
+    only the rest leave the block.
+    """
     labels = parts.select("id", F.col("component_id").alias("c"))
     known = nodes.select("id", "bands", "bits").join(labels, "id", "left").select("id", "bands", "bits", F.coalesce("c", "id").alias("component_id"))
-    now = _open(entries.select("bucket", "id").join(known.select("id", "component_id"), "id"))
-    found = []
-    for level in (1, 2, 3):
-        now = stored(spark, now.select("bucket", "id", "component_id", "members"), f"open{level}")
-        bounded = now.where(F.col("members") <= SMALL).join(known.select("id", "bits"), "id")
-        groups = bounded.groupBy("bucket").agg(F.collect_list(F.struct("id", "component_id", "bits")).alias("group")).select("group")
-        found.append(groups.mapInPandas(_pair_maker(bands * rows, percent), "u long, v long"))
-        large = now.where(F.col("members") > SMALL).select("id").distinct()
-        if level == 3 or large.isEmpty():
-            if level == 3:
-                found.append(stars(now.where(F.col("members") > SMALL)))
-            break
-        members = known.join(large, "id", "left_semi").repartition("id")  # evenly, as each row now becomes many
-        place = lambda s, k: F.element_at("bands", ((F.col("i") + s * k) % bands + 1).cast("int"))
-        steps = (1, 2, 3)
-        keys = [F.xxhash64("i", F.lit(s), F.lit(level), *[place(s, k) for k in range(level + 1)]).alias(f"step{s}") for s in steps]
-        spread = stored(spark, members.select("id", "component_id", "bands", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("i")).select("id", "component_id", *keys), f"keys{level}")
-        keyed = reduce(DataFrame.union, [spread.select("id", "component_id", F.col(f"step{s}").alias("bucket")) for s in steps])
-        now = _open(keyed)
-    return reduce(DataFrame.union, found).distinct()
+    member = F.struct("id", "component_id", "bits")
+
+    def within(open_: DataFrame) -> DataFrame:
+        bounded = open_.where(F.col("members") <= SMALL).join(known.select("id", "bits"), "id")
+        return bounded.groupBy("bucket").agg(F.collect_list(member).alias("group")).select("group").mapInPandas(_pair_maker(bands * rows, percent), "u long, v long")
+
+    now = stored(spark, _open(entries.select("bucket", "id").join(known.select("id", "component_id"), "id")).select("bucket", "id", "component_id", "members"), "open")
+    found = within(now)
+    large = now.where(F.col("members") > SMALL).select("id").distinct()
+    if large.isEmpty():
+        return found.distinct()
+    place = lambda k: F.element_at("bands", ((F.col("i") + k) % bands + 1).cast("int"))
+    steps = (1, 2, 3)
+    keys = [F.xxhash64("i", F.lit(s), place(0), place(s)).alias(f"step{s}") for s in steps]
+    members = known.join(large, "id", "left_semi").repartition("id")  # evenly, as each row now becomes many
+    spread = stored(spark, members.select("id", "component_id", "bands", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("i")).select("id", "component_id", *keys), "keys")
+    keyed = reduce(DataFrame.union, [spread.select("id", "component_id", F.col(f"step{s}").alias("bucket")) for s in steps])
+    now = stored(spark, _open(keyed).select("bucket", "id", "component_id", "members"), "open-two")
+    found = found.union(within(now))
+    large = now.where(F.col("members") > SMALL)
+    most = large.groupBy("bucket").agg(F.mode("component_id").alias("most"))
+    placed = large.join(most, "bucket").join(known.select("id", "bits"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / SMALL)))
+    some = placed.where("component_id <> most").groupBy("bucket", "block").agg(F.collect_list(member).alias("some")).drop("block")
+    others = placed.groupBy("bucket", "block").agg(F.collect_list(member).alias("others")).drop("block")
+    return found.union(some.join(others, "bucket").select("some", "others").mapInPandas(_block_maker(bands * rows, percent), "u long, v long")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -238,7 +272,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
         parts = components(spark, links.union(late))
     labels = node_of.join(parts, "id", "left").select("key", F.coalesce("component_id", "id").alias("linked"))
     own = F.coalesce("linked", "doc_id")
-    return sketch.join(labels, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, own).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return sketch.join(labels, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), own).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,9 +31,21 @@ LABELLED = [
     ("https://blog.thernd.example.org/es/612", 0), ("http://ththed.example.org/en/453#top", 0), ("https://wiki.example.com/article/history", 0), ("http://museum.example.org/fr/expo", 0),
     ("https://recipes.example.com/soup.html", 0), ("https://www.therti.example.org/en/334/", 0), ("http://weather.example.com/today", 0), ("https://m.theror.example.com/fr/65.html", 0),
 ]
-#: Ordinary pages and unwanted hosts in the forms that crawls hold: prefixes, syllables, endings, paths.
-LABELLED += [(f"{scheme}://{pre}{a}{b}.example.{end}/{lang}/{17 * k + 3}{tail}", 0) for k, (a, b) in enumerate((a, b) for a in ("th", "tion", "an", "er", "re", "on") for b in ("ing", "ed", "es", "en", "at", "sh", "ly", "or")) for scheme, pre, end, lang, tail in [(("http", "https")[k % 2], ("", "www.", "blog.", "m.")[k % 4], ("com", "org", "net")[k % 3], ("en", "de", "fr", "es")[k // 3 % 4], ("", "/", ".html", "?page=2", "#top")[k % 5])]]
-LABELLED += [(f"http://{pre}{name}.example.{end}/{lang}/{k}", 1) for k, name in enumerate(("cheap-pills", "spam-farm", "casino-win", "ads-track", "win-casino", "pill-shop", "link-spam", "track-ads")) for pre, end, lang in (("", "com", "en"), ("www.", "org", "de"), ("m.", "net", "fr"), ("blog.", "com", "es"))]
+#: Ordinary pages and unwanted hosts in the forms that crawls hold: prefixes, endings, languages and tails go round independently.
+PARTS = (("", "www.", "blog.", "m."), ("com", "org", "net"), ("en", "de", "fr", "es"), ("", "/", ".html", "?page=2", "#top"))
+ORDINARY = [a + b for a in ("th", "tion", "an", "er", "re", "on") for b in ("ing", "ed", "es", "en", "at", "sh", "ly", "or")]
+UNWANTED = ("cheap-pills", "spam-farm", "casino-win", "ads-track", "win-casino", "pill-shop", "link-spam", "track-ads")
+
+
+def _forms(names, label: int, rounds: int) -> list[tuple[str, int]]:
+    out = []
+    for k in range(len(names) * rounds):
+        pre, end, lang, tail = (p[(k * step + k // len(names)) % len(p)] for p, step in zip(PARTS, (1, 2, 3, 1), strict=True))
+        out.append((f"http{'s' * (k % 2)}://{pre}{names[k % len(names)]}.example.{end}/{lang}/{17 * k + 3}{tail}", label))
+    return out
+
+
+LABELLED += _forms(ORDINARY, 0, 4) + _forms(UNWANTED, 1, 12)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
