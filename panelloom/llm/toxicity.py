@@ -57,19 +57,44 @@ class PUModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
+class Rows:
+    """A sparse 0/1 matrix (or a dense one's nonzero cells) that can be multiplied from both sides."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, n: int, width: int, value: np.ndarray | float = 1.0) -> None:
+        self.row, self.column, self.n, self.width, self.value = row, column, n, width, value
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Rows:
+        row, column = np.nonzero(x)
+        return cls(row, column, *x.shape, x[row, column])
+
+    def only(self, keep: np.ndarray) -> Rows:
+        """The rows where ``keep`` holds."""
+        place = np.cumsum(keep) - 1
+        has = keep[self.row]
+        return Rows(place[self.row[has]], self.column[has], int(keep.sum()), self.width)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column] * self.value, minlength=self.n)
+
+    def left_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, g[self.row] * self.value, minlength=self.width)
+
+
+def nnpu_fit(positive: Rows | np.ndarray, unlabelled: Rows | np.ndarray, prior: float, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under the non-negative risk (logistic loss, Adam).
 
     When the corrected negative risk falls below zero the step goes up its gradient instead, as the
     estimator prescribes, so that unlabelled positives are not driven to the negative side.
     """
+    positive, unlabelled = (x if isinstance(x, Rows) else Rows.of(x) for x in (positive, unlabelled))
     rng = np.random.default_rng(seed)
-    width = positive.shape[1]
+    width = positive.width
     w = np.concatenate((rng.normal(0, 0.01, width), [np.log(prior / (1 - prior))]))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, rounds + 1):
-        zp, zu = positive @ w[:-1] + w[-1], unlabelled @ w[:-1] + w[-1]
+        zp, zu = positive.times(w[:-1]) + w[-1], unlabelled.times(w[:-1]) + w[-1]
         sp, su = sigmoid(zp), sigmoid(zu)
         negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         up = prior * (sp - 1) / len(zp)
@@ -78,7 +103,7 @@ def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
             gp, gu = -down_p, -down_u
         else:
             gp, gu = up + down_p, down_u
-        g = np.concatenate((gp @ positive + gu @ unlabelled + decay * w[:-1], [gp.sum() + gu.sum()]))
+        g = np.concatenate((positive.left_times(gp) + unlabelled.left_times(gu) + decay * w[:-1], [gp.sum() + gu.sum()]))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -141,16 +166,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, may_learn, max_
             return nothing
         place = np.full(BUCKETS, -1, np.int32)
         place[best] = np.arange(len(best))
-        rows = sample.mapInArrow(_chooser(place), "kind int, places array<int>").toPandas()
+        rows = sample.mapInArrow(_chooser(place), "kind int, places array<int>").toArrow()
     finally:
         sample.unpersist()
-    x = np.zeros((len(rows), len(best)), np.float32)
-    for i, own in enumerate(rows["places"]):
-        x[i, own] = 1
-    kind = rows["kind"].to_numpy()
-    positive, unlabelled = x[kind == 1], x[kind == 0]
-    part = np.random.default_rng(5).permutation(len(unlabelled)) % models
-    fits = [nnpu_fit(positive, unlabelled[part == k] if (part == k).sum() else unlabelled, prior, seed=k) for k in range(models)]
+    kind, lists = rows["kind"].to_numpy(), rows["places"].combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+    sizes_of = np.diff(lists.offsets.to_numpy())
+    x = Rows(np.repeat(np.arange(len(kind)), sizes_of), lists.flatten().to_numpy(), len(kind), len(best))
+    positive, unlabelled = x.only(kind == 1), x.only(kind == 0)
+    part = np.random.default_rng(5).permutation(unlabelled.n) % models
+    fits = [nnpu_fit(positive, unlabelled.only(part == k) if (part == k).any() else unlabelled, prior, seed=k) for k in range(models)]
     return PUModel(place, np.mean([w for w, _ in fits], axis=0), float(np.mean([b for _, b in fits])))
 
 
