@@ -7,10 +7,10 @@ hash of each bin is kept. An empty bin borrows from a bin drawn by a universal h
 A bucket emits a star, not all pairs: every member is compared with one centre, the member whose bands
 are shared most widely (the original of a group of edited copies shares every common band, a copy does
 not). Candidates are confirmed on whole shingle sets. Documents that a star leaves in different
-components are compared further: buckets of at most SMALL members compare members of different
-components; members of larger ones meet again in buckets of two bands at once, and what is still larger
-is compared in blocks, members outside the largest component against all. Byte sketches rule pairs out
-before they leave a block. No pair is dropped by a count.
+components are compared further. Buckets of at most SMALL members compare members of different components.
+Members of larger buckets are gathered by centre, and those outside the largest component are compared
+with all, in blocks, by their differences from the centre's set: exact, and only links leave a block.
+No pair is dropped by a count.
 
 Equal word sequences are one node, so thousands of exact copies cost one row each.
 """
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -149,10 +148,14 @@ def _with_counts(entries: DataFrame) -> DataFrame:
     return entries.join(counts, "bucket")
 
 
-def stars(entries: DataFrame) -> DataFrame:
-    """Distinct pairs (u < v) of each member of a bucket with its centre; entries: bucket, id, members."""
+def centres(entries: DataFrame) -> DataFrame:
+    """(bucket, centre): the member whose buckets have the most members, the least id of several."""
     weight = entries.groupBy("id").agg(F.sum("members").alias("weight"))
-    centre = entries.join(weight, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"))
+    return entries.join(weight, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"))
+
+
+def stars(entries: DataFrame, centre: DataFrame) -> DataFrame:
+    """Distinct pairs (u < v) of each member of a bucket with its centre; entries: bucket, id, members."""
     return entries.join(centre, "bucket").where("id <> centre").select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
 
 
@@ -186,63 +189,67 @@ def _open(entries: DataFrame) -> DataFrame:
     return entries.drop("members").join(state, "bucket")
 
 
-def _block_maker(bins: int, percent: int):
-    """Pairs of a block of open members with a block of all members of one bucket; as _pair_maker."""
-    t = percent / 100
-    least = t - 4 * np.sqrt(t * (1 - t) / bins)
+def small_bucket_pairs(open_: DataFrame, nodes: DataFrame, bins: int, percent: int) -> DataFrame:
+    """Candidate pairs within buckets of at most SMALL members; open_: (bucket, id, component_id, members)."""
+    bounded = open_.where(F.col("members") <= SMALL).join(nodes.select("id", "bits"), "id")
+    groups = bounded.groupBy("bucket").agg(F.collect_list(F.struct("id", "component_id", "bits")).alias("group"))
+    return groups.select("group").mapInPandas(_pair_maker(bins, percent), "u long, v long").distinct()
+
+
+def _block_linker(percent: int):
+    """Links between a block of open members and a block of all members of one centre.
+
+    With D the difference of a member's set from the centre's and r the part of the centre it lacks, two
+    members share |centre| - r1 - r2 + |D1 & D2| shingles: exact, from differences alone. One link for each
+    open member and component is enough to join them.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = lambda group: (np.array([m["id"] for m in group], np.int64), np.array([m["component_id"] for m in group], np.int64), np.array([np.frombuffer(m["bits"], np.uint8) for m in group]))
+        def unpack(group, vocabulary: np.ndarray):
+            ids, parts, lacks, sizes = (np.array([m[k] for m in group], np.int64) for k in ("id", "component_id", "lacks", "size"))
+            matrix = np.zeros((len(ids), len(vocabulary)), np.float32)
+            for k, m in enumerate(group):
+                matrix[k, np.searchsorted(vocabulary, np.asarray(m["differs"], np.int64))] = 1
+            return ids, parts, lacks, sizes, matrix
+
         for frame in frames:
             us, vs = [], []
-            for some, others in zip(frame["some"], frame["others"], strict=True):
-                ids, parts, bits = unpack(some)
-                there, there_parts, there_bits = unpack(others)
-                for k in range(len(ids)):
-                    near = ((there_bits == bits[k]).mean(axis=1) >= least) & (there_parts != parts[k])
-                    us.append(np.minimum(there[near], ids[k]))
-                    vs.append(np.maximum(there[near], ids[k]))
+            for some, others, of in zip(frame["some"], frame["others"], frame["of"], strict=True):
+                vocabulary = np.unique(np.concatenate([np.asarray(m["differs"], np.int64) for m in (*some, *others)]))
+                ids, parts, lacks, sizes, left = unpack(some, vocabulary)
+                there, there_parts, there_lacks, there_sizes, right = unpack(others, vocabulary)
+                both = of - lacks[:, None] - there_lacks[None] + (left @ right.T).astype(np.int64)
+                linked = (100 * both >= percent * (sizes[:, None] + there_sizes[None] - both)) & (parts[:, None] != there_parts[None])
+                for k in np.flatnonzero(linked.any(axis=1)):
+                    own = np.flatnonzero(linked[k])
+                    own = own[np.unique(there_parts[own], return_index=True)[1]]
+                    us.append(np.minimum(there[own], ids[k]))
+                    vs.append(np.maximum(there[own], ids[k]))
             if us:
-                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}).drop_duplicates()
+                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
     return run
 
 
-def rest_pairs(spark: SparkSession, entries: DataFrame, nodes: DataFrame, parts: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
-    """Candidate pairs that stars left untested; entries: (bucket, id) of one band each.
+def large_bucket_links(spark: SparkSession, docs: DataFrame, open_: DataFrame, centre: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links between components of buckets with more than SMALL members.
 
-    Buckets of at most SMALL members are compared within. Members of larger ones get buckets of two
-    bands at once. Of those that are still larger, members outside the bucket's largest component are
-    compared with all its members in blocks of about SMALL; sketches rule out most pairs there, and
-    only the rest leave the block.
+    Members are gathered by their bucket's centre, of which a group of edited copies has one or a few.
+    Those outside the centre's largest component are compared with all members, block by block.
     """
-    labels = parts.select("id", F.col("component_id").alias("c"))
-    known = nodes.select("id", "bands", "bits").join(labels, "id", "left").select("id", "bands", "bits", F.coalesce("c", "id").alias("component_id"))
-    member = F.struct("id", "component_id", "bits")
-
-    def within(open_: DataFrame) -> DataFrame:
-        bounded = open_.where(F.col("members") <= SMALL).join(known.select("id", "bits"), "id")
-        return bounded.groupBy("bucket").agg(F.collect_list(member).alias("group")).select("group").mapInPandas(_pair_maker(bands * rows, percent), "u long, v long")
-
-    now = stored(spark, _open(entries.select("bucket", "id").join(known.select("id", "component_id"), "id")).select("bucket", "id", "component_id", "members"), "open")
-    found = within(now)
-    large = now.where(F.col("members") > SMALL).select("id").distinct()
-    if large.isEmpty():
-        return found.distinct()
-    place = lambda k: F.element_at("bands", ((F.col("i") + k) % bands + 1).cast("int"))
-    steps = (1, 2, 3)
-    keys = [F.xxhash64("i", F.lit(s), place(0), place(s)).alias(f"step{s}") for s in steps]
-    members = known.join(large, "id", "left_semi").repartition("id")  # evenly, as each row now becomes many
-    spread = stored(spark, members.select("id", "component_id", "bands", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("i")).select("id", "component_id", *keys), "keys")
-    keyed = reduce(DataFrame.union, [spread.select("id", "component_id", F.col(f"step{s}").alias("bucket")) for s in steps])
-    now = stored(spark, _open(keyed).select("bucket", "id", "component_id", "members"), "open-two")
-    found = found.union(within(now))
-    large = now.where(F.col("members") > SMALL)
-    most = large.groupBy("bucket").agg(F.mode("component_id").alias("most"))
-    placed = large.join(most, "bucket").join(known.select("id", "bits"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / SMALL)))
-    some = placed.where("component_id <> most").groupBy("bucket", "block").agg(F.collect_list(member).alias("some")).drop("block")
-    others = placed.groupBy("bucket", "block").agg(F.collect_list(member).alias("others")).drop("block")
-    return found.union(some.join(others, "bucket").select("some", "others").mapInPandas(_block_maker(bands * rows, percent), "u long, v long")).distinct()
+    held = stored(spark, open_.where(F.col("members") > SMALL).join(centre, "bucket").select("centre", "id", "component_id").distinct(), "held")
+    wanted = held.select(F.explode(F.array("centre", "id")).alias("doc_id")).distinct()
+    sets = of_ids(docs, wanted).mapInArrow(_set_maker(shingle), "id long, members array<long>").dropDuplicates(["id"])
+    a, b = sets.select("id", F.col("members").alias("own")), sets.select(F.col("id").alias("centre"), F.col("members").alias("base"))
+    lacks = F.array_except("base", "own")
+    rows = held.join(a, "id").join(b, "centre").select("centre", "id", "component_id", F.size(lacks).alias("lacks"), F.size("own").alias("size"), F.size("base").alias("of"), F.concat(lacks, F.array_except("own", "base")).alias("differs"))
+    rows = stored(spark, rows, "differences")
+    groups = rows.groupBy("centre").agg(F.count("*").alias("n"), F.mode("component_id").alias("most"))
+    placed = rows.join(groups, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SMALL)))
+    member = F.struct("id", "component_id", "lacks", "size", "differs")
+    some = placed.where("component_id <> most").groupBy("centre", "block").agg(F.collect_list(member).alias("some"), F.first("of").alias("of")).drop("block")
+    others = placed.groupBy("centre", "block").agg(F.collect_list(member).alias("others")).drop("block")
+    return some.join(others, "centre").select("some", "others", "of").mapInPandas(_block_linker(percent), "u long, v long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -260,14 +267,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     node_of = whole.groupBy("key").agg(F.min("doc_id").alias("id"))
     nodes = stored(spark, whole.withColumnRenamed("doc_id", "id").join(node_of.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "nodes")
     entries = stored(spark, _with_counts(nodes.select("id", F.explode("bands").alias("bucket"))), "entries")
-    first = stored(spark, stars(entries), "stars")
+    centre = stored(spark, centres(entries), "centres")
+    first = stored(spark, stars(entries, centre), "stars")
     # texts of documents that share a bucket at all: the only ones any confirmation asks for
     docs = stored(spark, of_ids(docs, entries.select(F.col("id").alias("doc_id")).distinct()), "texts")
     links = stored(spark, confirmed(docs, first, shingle, percent), "links")
     parts = components(spark, links)
-    more = rest_pairs(spark, entries, nodes, parts, bands, rows, percent).join(first, ["u", "v"], "left_anti")
-    more = stored(spark, more, "rest")
-    late = stored(spark, confirmed(docs, more, shingle, percent), "late")
+    labelled = nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
+    now = stored(spark, _open(entries.select("bucket", "id").join(labelled, "id")), "open")
+    more = stored(spark, small_bucket_pairs(now, nodes, bands * rows, percent).join(first, ["u", "v"], "left_anti"), "rest")
+    late = confirmed(docs, more, shingle, percent)
+    if not now.where(F.col("members") > SMALL).isEmpty():
+        late = late.union(large_bucket_links(spark, docs, now, centre, shingle, percent))
+    late = stored(spark, late, "late")
     if not late.isEmpty():
         parts = components(spark, links.union(late))
     labels = node_of.join(parts, "id", "left").select("key", F.coalesce("component_id", "id").alias("linked"))
