@@ -3,10 +3,11 @@
 Structural tokens of a page are its tags and text nodes, each with its path of open elements. Tokens of
 one host that occur equally often on every page (equal occurrence vectors) form an equivalence class.
 Classes of at least two tokens that occur on nearly all of a host's pages and repeat by the same count
-everywhere are its template; tokens that repeat more often than that nest in it (lists, paragraphs).
-What the template leaves open are slots, and the main text is what fills the slots of the main region:
-the article or main element, else the template's container whose slots hold the most text. Regions
-that markup names as menus, headers, footers, asides, forms, notices, adverts or comments are left out.
+everywhere are its template; classes whose count differs by page (rows of lists) join it where they nest
+in it. What the template leaves open are slots, and the main text is what fills the unmarked slots of a
+page, of whatever element. Regions that markup names as menus, headers, footers, asides, forms, notices,
+adverts or comments are marked, articles among them. An article or main element is a check made
+afterwards: one that holds most of the slots' text is taken alone.
 
 Occurrence vectors are never collected: a vector is known by the sum of hashes of its (page, count)
 pairs, which Spark sums with partial aggregation, so a host with a third of all pages costs no more
@@ -75,7 +76,7 @@ def region(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element opens a region that is no main text; headers of an article belong to it."""
     if name in OUTSIDE or (name == "header" and not inside):
         return True
-    if "=" in attributes and name not in ("html", "body", *MAIN):
+    if "=" in attributes and name not in ("html", "body", "main"):
         for value in CLASS.findall(attributes):
             if any(word in MARKS for word in re.split(r"[^a-z]+", value.lower())):
                 return True
@@ -83,13 +84,16 @@ def region(name: str, attributes: str, inside: bool) -> bool:
 
 
 class Walk:
-    """One pass over a page: its structural tokens, and blocks of text with the path they stand at."""
+    """One pass over a page: its structural tokens, and blocks of text with the element they stand in."""
 
     def __init__(self, page: str) -> None:
         self.tokens: Counter[int] = Counter()
-        self.blocks: list[tuple[str, int, bool, bool, list[int]]] = []  # text, container, in main, outside, text tokens
-        open_: list[tuple[str, bool, int]] = []  # name, outside, path hash
-        main = out = 0
+        self.above: dict[int, int] = {}  # token of the element around a token
+        self.blocks: list[tuple[str, int, list[int]]] = []  # text, element, text tokens
+        # elements by number; 0 is the page
+        self.parent, self.is_main, self.marked, self.ended = [-1], [False], [False], [False]
+        open_: list[tuple[str, int, int]] = []  # name, number, path hash
+        main = 0
         text: list[str] = []
         own: list[int] = []
         for kind, name, rest in nodes(page):
@@ -100,93 +104,137 @@ class Walk:
                     token = xxhash.xxh64_intdigest(" ".join(rest.split()), seed=path & 0xFFFFFFFF)
                     own.append(token)
                     self.tokens[token] += 1
+                    self.above[token] = path
                 continue
             if name not in INLINE:
-                self.close(text, own, path, main > 0, out > 0)
+                self.close(text, own, open_[-1][1] if open_ else 0)
                 text, own = [], []
             if kind == "start":
                 if name in VOID:
                     continue
-                if name in MAIN and out and not main and not any(n in MAIN for n, _, _ in open_):
-                    # an element left open above the main one does not swallow it
-                    open_, out = [(n, False, p) for n, _, p in open_], 0
                 if name == "p" and open_ and open_[-1][0] == "p":
                     open_.pop()
                 path = open_[-1][2] if open_ else 0
-                outside = region(name, rest, main > 0)
                 token = xxhash.xxh64_intdigest(f"<{name} {' '.join(sorted(CLASS.findall(rest)))}", seed=path & 0xFFFFFFFF)
                 self.tokens[token] += 1
+                self.above[token] = path
                 if name not in INLINE:
-                    open_.append((name, outside, token))
-                    out += outside
+                    self.parent.append(open_[-1][1] if open_ else 0)
+                    self.is_main.append(name in MAIN)
+                    self.marked.append(region(name, rest, main > 0))
+                    self.ended.append(False)
+                    open_.append((name, len(self.parent) - 1, token))
                     main += name in MAIN
             elif name not in INLINE and any(n == name for n, _, _ in open_):
                 while open_:
-                    n, o, _ = open_.pop()
-                    out -= o
+                    n, number, _ = open_.pop()
                     main -= n in MAIN
                     if n == name:
+                        self.ended[number] = True
                         break
-        self.close(text, own, open_[-1][2] if open_ else 0, main > 0, out > 0)
+        self.close(text, own, open_[-1][1] if open_ else 0)
 
-    def close(self, text: list[str], own: list[int], path: int, main: bool, outside: bool) -> None:
+    def close(self, text: list[str], own: list[int], element: int) -> None:
         if text:
             joined = "".join(text)
             if "&" in joined:
                 joined = entities.unescape(joined)
             words = joined.split()
             if words:
-                self.blocks.append((" ".join(words), path, main, outside, own))
+                self.blocks.append((" ".join(words), element, own))
+
+    def place(self, element: int) -> tuple[bool, int]:
+        """Whether an element lies in a marked region, and its outermost article or main element (0: none).
+
+        A marked element left open does not swallow an article or main element below it.
+        """
+        top = 0
+        while element > 0:
+            if self.is_main[element] and not self.marked[element]:
+                top = element
+            if self.marked[element] and (self.ended[element] or not top):
+                return True, 0
+            element = self.parent[element]
+        return False, top
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
     """Main text of a page, given the hashes of its host's template tokens."""
     walk = Walk(page)
-    inside = [b for b in walk.blocks if not b[3]]
-    if any(b[2] for b in walk.blocks):
-        return " ".join(b[0] for b in inside if b[2])
-    # no main element: slots are blocks that are not constant text of the template
-    slots = [b for b in inside if not b[4] or not all(t in template for t in b[4])] or inside
+    places = {e: walk.place(e) for e in {b[1] for b in walk.blocks}}
+    inside = [b for b in walk.blocks if not places[b[1]][0]]
+    # slots are blocks that are not constant text of the template; a page without any repeats the others' text
+    slots = [b for b in inside if not b[2] or not all(t in template for t in b[2])] or inside
     size: Counter[int] = Counter()
     for b in slots:
-        size[b[1]] += len(b[0])
-    if not size:
-        return ""
-    most = max(size.values())
-    return " ".join(b[0] for b in slots if 10 * size[b[1]] >= most)
+        size[places[b[1]][1]] += len(b[0])
+    top = max((e for e in size if e), key=lambda e: size[e], default=0)
+    if top and 2 * size[top] >= size.total():
+        slots = [b for b in slots if places[b[1]][1] == top]
+    return " ".join(b[0] for b in slots)
+
+
+def _signed(values) -> np.ndarray:
+    return np.array([v & 0xFFFFFFFFFFFFFFFF for v in values], np.uint64).view(np.int64)
 
 
 def _counter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, token, vector, pages, total): partial sums over pages of one batch."""
+    """(host, token, above, vector, pages, least, most): partial sums over pages of one batch."""
     for f in frames:
         sums: dict[tuple[str, int], list[int]] = {}
         for page_id, host, page in zip(f["row"], f["host"], f["html"], strict=True):
-            for token, n in Walk(page).tokens.items():
-                s = sums.setdefault((host, token), [0, 0, 0])
+            walk = Walk(page)
+            for token, n in walk.tokens.items():
+                s = sums.setdefault((host, token), [0, 0, n, n, walk.above[token]])
                 s[0] += xxhash.xxh64_intdigest(f"{page_id}:{n}")
                 s[1] += 1
-                s[2] += n
-        signed = lambda x: np.array([v & 0xFFFFFFFFFFFFFFFF for v in x], np.uint64).view(np.int64)
-        yield pd.DataFrame({"host": [k[0] for k in sums], "token": signed(k[1] for k in sums), "vector": signed(v[0] for v in sums.values()), "pages": [v[1] for v in sums.values()], "total": [v[2] for v in sums.values()]}, columns=["host", "token", "vector", "pages", "total"])
+                s[2], s[3] = min(s[2], n), max(s[3], n)
+        v = list(sums.values())
+        yield pd.DataFrame({
+            "host": [k[0] for k in sums], "token": _signed(k[1] for k in sums), "above": _signed(x[4] for x in v), "vector": _signed(x[0] for x in v),
+            "pages": [x[1] for x in v], "least": [x[2] for x in v], "most": [x[3] for x in v],
+        }, columns=["host", "token", "above", "vector", "pages", "least", "most"])
+
+
+def _nested(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Template of each host: classes of one count, then those all of whose outer tokens stand in the template or in themselves."""
+    for f in frames:
+        out = []
+        for classes in f["classes"]:
+            template: set[int] = set()
+            waiting = []
+            for c in classes:
+                if c["even"]:
+                    template.update(c["tokens"])
+                else:
+                    waiting.append((set(c["tokens"]), set(c["above"])))
+            while fits := [c for c in waiting if c[1] - c[0] <= template]:
+                for tokens, _ in fits:
+                    template |= tokens
+                waiting = [c for c in waiting if not c[0] <= template]
+            out.append(sorted(template))
+        yield pd.DataFrame({"host": f["host"], "template": out})
 
 
 def templates(pages: DataFrame, least_share: float = 0.8) -> DataFrame:
     """(host, template array<long>): tokens of valid classes of each host, from (row, host, html).
 
     A class is valid if it has two tokens or more and occurs on ``least_share`` of the host's pages,
-    LEAST_PAGES at least, and if the host's pages differ at all: where all tokens are in one class
-    (copies of one page) nothing can be told apart and the template is empty.
+    LEAST_PAGES at least, by one count everywhere or nested in such classes, and if the host's pages
+    differ at all: where all tokens are in one class (copies of one page) nothing can be told apart and
+    the template is empty.
     """
-    parts = pages.mapInPandas(_counter, "host string, token long, vector long, pages long, total long")
+    parts = pages.mapInPandas(_counter, "host string, token long, above long, vector long, pages long, least long, most long")
     # sums of 64-bit hashes wrap around; halves are summed apart so that no mode of Spark calls it an overflow
     tokens = parts.groupBy("host", "token").agg(
-        F.sum(F.shiftrightunsigned("vector", 32)).alias("high"), F.sum(F.col("vector").bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum("pages").alias("pages"), F.sum("total").alias("total")
+        F.sum(F.shiftrightunsigned("vector", 32)).alias("high"), F.sum(F.col("vector").bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("above").alias("above")
     )
     sizes = pages.groupBy("host").agg(F.count("*").alias("of"))
-    classes = tokens.groupBy("host", "high", "low", "pages", "total").agg(F.collect_set("token").alias("tokens"))
-    kinds = classes.groupBy("host").agg(F.count("*").alias("kinds"))
-    valid = classes.where(F.size("tokens") >= 2).join(sizes, "host").join(kinds, "host").where((F.col("kinds") > 1) & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= least_share * F.col("of")) & (F.col("total") % F.col("pages") == 0))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    classes = tokens.groupBy("host", "high", "low", "pages", "least", "most").agg(F.collect_set("token").alias("tokens"), F.collect_set("above").alias("above"))
+    valid = (F.size("tokens") >= 2) & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= least_share * F.col("of"))
+    # one aggregation for both, since a second reading of the classes would count all pages again
+    found = classes.join(sizes, "host").groupBy("host").agg(F.count("*").alias("kinds"), F.collect_list(F.when(valid, F.struct("tokens", "above", (F.col("least") == F.col("most")).alias("even")))).alias("classes")).where("kinds > 1").select("host", "classes")
+    return found.mapInPandas(_nested, "host string, template array<long>").where(F.size("template") > 0)
 
 
 def _extractor(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -416,6 +416,22 @@ def test_template_is_what_all_pages_share(spark):
     assert html_extract.templates(same).count() == 0 or html_extract.main_text("<p>same</p><p>text</p>", known)
 
 
+def test_template_decides_pages_with_articles(spark):
+    rows = [(i, f"http://h/{i}", f"<div><article><p>story {i} is told here</p>{''.join(f'<div class=row><b>Read on</b><p>part {i} {k}</p></div>' for k in range(1 + i % 3))}<p>All rights of this house</p></article></div>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extracted(pages).collect()}
+    # constant text of the article goes, also where it repeats with a nested list
+    assert got == {i: " ".join([f"story {i} is told here", *(f"part {i} {k}" for k in range(1 + i % 3))]) for i in range(6)}
+
+
+def test_articles_that_are_no_main_text():
+    none = frozenset()
+    assert html_extract.main_text("<div><p>the text</p></div><article class='comment'>a long comment of a reader</article>", none) == "the text"
+    assert html_extract.main_text("<div><p>the text</p></div><aside><article>teaser of another page</article></aside>", none) == "the text"
+    assert html_extract.main_text("<div><p>the longer text</p></div><article>unmarked</article>", none) == "the longer text unmarked"
+
+
+
 # ------------------------------------------------------------------ shared parts
 
 
