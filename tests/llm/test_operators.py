@@ -431,6 +431,11 @@ def test_articles_that_are_no_main_text():
     assert html_extract.main_text("<div><p>the longer text</p></div><article>unmarked</article>", none) == "the longer text unmarked"
 
 
+def test_short_blocks_of_own_paths_are_kept():
+    long = "a paragraph of some length " * 40
+    page = f"<div><h1>The title</h1><p class=lead>Lead</p><p>{long}</p><ul><li>point</li></ul><table><tr><td>cell</td></tr></table><blockquote>quote</blockquote></div><div class=related>no</div>"
+    assert html_extract.main_text(page, frozenset()) == f"The title Lead {long.strip()} point cell quote"
+
 
 # ------------------------------------------------------------------ shared parts
 
