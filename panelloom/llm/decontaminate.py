@@ -2,7 +2,8 @@
 
 Words become typed placeholders where they are numbers, units after a number, or names (capitalised,
 but not all in capitals, inside a sentence); windows of the canonical words of benchmark items and documents are joined by hash.
-A document matches an item through runs of windows at one offset, and a run counts only if its slots are
+All windows of their words in lower case are joined beside them, so that copies are found whatever their words are.
+A document matches an item through runs of windows at one offset, and a run counts as a whole if its slots are
 consistent: each value of the item's slots maps to one value in the document and back, as it does in a
 re-parameterised question and doesn't in unrelated text of the same shape.
 
@@ -83,15 +84,21 @@ class Templates:
         self.ids = np.array(ids, np.int64)
         self.canon, self.literal, self.kind, self.firsts = canonical(data, offsets)
         sizes = np.diff(self.firsts)
-        self.hashes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.hashes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for width in sorted({min(window, int(n)) for n in sizes if n}):
             items = np.flatnonzero(np.minimum(sizes, window) == width)
-            h, at = windows(self.canon, self.kind, self.firsts, width, least_words)
-            item = np.searchsorted(self.firsts, at, "right") - 1
-            keep = np.isin(item, items)
-            h, at, item = h[keep], at[keep], item[keep]
-            order = np.argsort(h, kind="stable")
-            self.hashes[width] = (h[order], at[order], item[order])
+            self.hashes[width] = []
+            for words, least in self.ways(self.canon, self.literal):
+                h, at = windows(words, self.kind, self.firsts, width, least)
+                item = np.searchsorted(self.firsts, at, "right") - 1
+                keep = np.isin(item, items)
+                h, at, item = h[keep], at[keep], item[keep]
+                order = np.argsort(h, kind="stable")
+                self.hashes[width].append((h[order], at[order], item[order]))
+
+    def ways(self, canon: np.ndarray, literal: np.ndarray) -> tuple[tuple[np.ndarray, int], ...]:
+        """Both ways to compare words, with the least number that are no placeholder: templates and copies."""
+        return (canon, self.least_words), (literal, 0)
 
 
 def windows(canon: np.ndarray, kind: np.ndarray, firsts: np.ndarray, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,27 +118,38 @@ def _consistent(a: np.ndarray, b: np.ndarray) -> bool:
     return pairs == len(np.unique(a)) == len(np.unique(b))
 
 
+def _parts(starts: np.ndarray, width: int, mine: np.ndarray, theirs: np.ndarray, slot: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of a run that count, from the starts of its windows and its words: all of it if its slots are
+    consistent."""
+    if _consistent(mine[slot], theirs[slot]):
+        return [(0, len(mine))]
+    return []
+
+
 def matches(t: Templates, data: np.ndarray, offsets: np.ndarray, share: float, run: int) -> list[tuple[int, int, int, int, bool, int]]:
     """(row, item place, words covered, longest run, all slots literally equal, first word) of matches."""
     canon, literal, kind, firsts = canonical(data, offsets)
     found = []
-    for width, (hashes, places, items) in t.hashes.items():
-        if not len(hashes):
-            continue
-        h, at = windows(canon, kind, firsts, width, t.least_words)
-        low = np.searchsorted(hashes, h)
-        hit = low < len(hashes)
-        hit[hit] = hashes[low[hit]] == h[hit]
-        at, low = at[hit], low[hit]
-        n = np.searchsorted(hashes, h[hit], "right") - low
-        which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(at, n)
-        row = np.searchsorted(firsts, at, "right") - 1
-        found.append(np.stack((row, items[which], at - places[which], places[which], np.full(len(at), width)), 1))
+    for width, tables in t.hashes.items():
+        for (words, least), (hashes, places, items) in zip(t.ways(canon, literal), tables, strict=True):
+            if not len(hashes):
+                continue
+            h, at = windows(words, kind, firsts, width, least)
+            low = np.searchsorted(hashes, h)
+            hit = low < len(hashes)
+            hit[hit] = hashes[low[hit]] == h[hit]
+            at, low = at[hit], low[hit]
+            n = np.searchsorted(hashes, h[hit], "right") - low
+            which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(at, n)
+            row = np.searchsorted(firsts, at, "right") - 1
+            found.append(np.stack((row, items[which], at - places[which], places[which], np.full(len(at), width)), 1))
     if not found:
         return []
     found = np.concatenate(found)
     found = found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
+    # most copies are found both ways
+    found = found[np.concatenate((np.ones(min(1, len(found)), bool), np.any(found[1:] != found[:-1], axis=1)))]
     out = []
     cut = np.flatnonzero(np.any(found[1:, :2] != found[:-1, :2], axis=1)) + 1
     for group in np.split(found, cut) if len(found) else []:
@@ -142,15 +160,13 @@ def matches(t: Templates, data: np.ndarray, offsets: np.ndarray, share: float, r
         new = np.concatenate(([True], (group[1:, 2] != group[:-1, 2]) | (group[1:, 3] > group[:-1, 3] + group[:-1, 4])))
         for part in np.split(group, np.flatnonzero(new)[1:]):
             lo, hi, shift = int(part[0, 3]), int(part[-1, 3] + part[-1, 4]), int(part[0, 2])
-            slots = np.arange(lo, hi)[t.kind[lo:hi] > 0]
-            theirs = literal[slots + shift]
-            if not _consistent(t.literal[slots], theirs):
-                continue
-            covered[lo - a : hi - a] = True
-            longest = max(longest, hi - lo)
-            exact &= bool((t.literal[slots] == theirs).all())
-            place = lo + shift - int(firsts[row])
-            first = place if first is None else min(first, place)
+            mine, theirs = t.literal[lo:hi], literal[lo + shift : hi + shift]
+            for i, j in _parts(part[:, 3] - lo, int(part[0, 4]), mine, theirs, t.kind[lo:hi] > 0):
+                covered[lo + i - a : lo + j - a] = True
+                longest = max(longest, j - i)
+                exact &= bool((mine[i:j] == theirs[i:j]).all())
+                place = lo + i + shift - int(firsts[row])
+                first = place if first is None else min(first, place)
         if first is not None and (covered.sum() >= share * (b - a) or longest >= run):
             out.append((row, item, int(covered.sum()), longest, exact, first))
     return out

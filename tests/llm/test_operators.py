@@ -173,6 +173,19 @@ def test_slots_must_map_one_to_one():
     assert decontaminate._consistent(a, np.array([5, 6, 5], np.uint64))
     assert not decontaminate._consistent(a, np.array([5, 6, 7], np.uint64)) and not decontaminate._consistent(a, np.array([5, 5, 5], np.uint64))
 
+def found_in(item, text):
+    t = decontaminate.Templates([1], [item], 8, 4)
+    raw = text.encode()
+    return decontaminate.matches(t, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 0.5, 13)
+
+
+def test_literal_copies_need_no_plain_words():
+    for item in ("Compute 12 + 7 * 3 - 15 / 5 and 8 + 4", "What is 12 times 7", "Was wissen die Alten von Goethe und Schiller in Weimar"):
+        for text in (item, item.lower(), f"before it stands this and {item.lower()} after it"):
+            (got,) = found_in(item, text)
+            assert got[4] and got[2] == len(re.findall(r"\w+", item))
+    assert not found_in("What is 12 times 7", "what is 13 times 8")
+
 
 # ------------------------------------------------------------------ toxicity
 
