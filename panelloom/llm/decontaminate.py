@@ -5,7 +5,8 @@ but not all in capitals, inside a sentence); windows of the canonical words of b
 All windows of their words in lower case are joined beside them, so that copies are found whatever their words are.
 A document matches an item through runs of windows at one offset, and a run counts as a whole if its slots are
 consistent: each value of the item's slots maps to one value in the document and back, as it does in a
-re-parameterised question and doesn't in unrelated text of the same shape.
+re-parameterised question and doesn't in unrelated text of the same shape. Of a run in conflict its
+longest consistent part counts, and what is literally equal.
 
 A document is contaminated by an item if consistent runs cover at least ``share`` of the item's words
 or hold ``run`` words in a row.
@@ -120,10 +121,31 @@ def _consistent(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _parts(starts: np.ndarray, width: int, mine: np.ndarray, theirs: np.ndarray, slot: np.ndarray) -> list[tuple[int, int]]:
     """Parts of a run that count, from the starts of its windows and its words: all of it if its slots are
-    consistent."""
+    consistent, else its longest consistent part and its literally equal windows."""
     if _consistent(mine[slot], theirs[slot]):
         return [(0, len(mine))]
-    return []
+    equal = np.concatenate(([0], np.cumsum(mine == theirs)))
+    parts: list[tuple[int, int]] = []
+    for s in starts[equal[starts + width] - equal[starts] == width].tolist():
+        if parts and s <= parts[-1][1]:
+            parts[-1] = (parts[-1][0], s + width)
+        else:
+            parts.append((s, s + width))
+    # the first word from which all is consistent up to each word
+    since, here, there, left = np.zeros(len(mine), np.int64), {}, {}, 0
+    for p, (x, y, s) in enumerate(zip(mine.tolist(), theirs.tolist(), slot.tolist(), strict=True)):
+        if s:
+            for seen, value, other in ((here, x, y), (there, y, x)):
+                if value in seen and seen[value][0] != other:
+                    left = max(left, seen[value][1] + 1)
+            here[x], there[y] = (y, p), (x, p)
+        since[p] = left
+    begin = np.searchsorted(starts, since[starts + width - 1])
+    long = np.where(begin <= np.arange(len(starts)), starts + width - starts[np.minimum(begin, len(starts) - 1)], 0)
+    best = int(long.argmax())
+    if long[best]:
+        parts.append((int(starts[begin[best]]), int(starts[best]) + width))
+    return parts
 
 
 def matches(t: Templates, data: np.ndarray, offsets: np.ndarray, share: float, run: int) -> list[tuple[int, int, int, int, bool, int]]:

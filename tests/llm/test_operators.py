@@ -187,6 +187,15 @@ def test_literal_copies_need_no_plain_words():
     assert not found_in("What is 12 times 7", "what is 13 times 8")
 
 
+def test_runs_in_conflict_count_by_their_parts():
+    item = "A baker sold 12 cakes on Monday and 12 cakes on Friday so how many cakes did the baker sell on both days together"
+    (got,) = found_in(item, item.replace("and 12", "and 15"))
+    # from behind the first 12 to the end
+    assert got[2] == len(item.split()) and got[3] == len(item.split()) - 4 and not got[4]
+    apart = "If 3 boats carry people and 3 others carry coal then count all of the boats that sail in the early morning today"
+    assert found_in(apart, apart.replace("If 3", "If 5").replace("and 3", "and 7")) and found_in(apart.replace("and 3", "and 4"), apart.replace("3", "5"))
+
+
 # ------------------------------------------------------------------ toxicity
 
 
