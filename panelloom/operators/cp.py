@@ -2,7 +2,8 @@
 
 Factors are a table (mode: 'unit' | 'time' | 'action', idx, vec). Small tensors are fitted on the driver
 by one numpy kernel behind a check of the cell count; larger ones by distributed alternating least squares,
-where each sweep is one codegen aggregation of normal equations for each mode.
+where each sweep is one codegen aggregation of normal equations for each mode and one of the error. Both
+begin with the same factors and end by the same rule.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def normal_equations(cells: DataFrame, mode: str, others: dict[str, DataFrame],
     return d.groupBy(F.col(f"{mode}_idx").alias("idx")).agg(F.array(*grams).alias("gram"), F.array(*[F.sum(x * F.col("value")) for x in z]).alias("side"))
 
 
-def _solver(rank: int, ridge: float):
+def _solver(rank: int, weight: float):
     upper = np.triu_indices(rank)
 
     def run(frames):
@@ -67,28 +68,53 @@ def _solver(rank: int, ridge: float):
                 g = np.zeros((rank, rank))
                 g[upper] = gram
                 g = g + np.triu(g, 1).T
-                lam = ridge * max(np.trace(g) / rank, 1e-12)
-                vecs.append(np.linalg.solve(g + lam * np.eye(rank), np.asarray(side)).tolist())
+                lam = weight * max(1e-12, np.trace(g) / rank)
+                vecs.append(np.linalg.solve(g + (lam + 1e-300 + (lam == 0)) * np.eye(rank), np.asarray(side)).tolist())
             yield pd.DataFrame({"idx": f["idx"], "vec": vecs})
 
     return run
 
 
-def distributed_cp(spark: SparkSession, cells: DataFrame, cfg: CpConfig, shape: tuple[int, int, int], start: int, sweeps: int = 20) -> DataFrame:
-    """Alternating least squares as aggregations; factors are checkpointed once a sweep."""
+def _even(factors: dict[str, DataFrame], rank: int) -> dict[str, DataFrame]:
+    """``normalised`` of factor tables; only sums of each component come to the driver."""
+    one = [f.agg(*[g(F.col("vec")[k], k) for k in range(rank) for g in (lambda v, k: F.sum(v * v).alias(f"s{k}"), lambda v, k: F.sum(v).alias(f"t{k}"))]).first() for f in factors.values()]
+    norms = np.sqrt(np.array([[r[f"s{k}"] or 0.0 for k in range(rank)] for r in one]))
+    norms[norms == 0] = 1
+    scale = np.prod(norms, axis=0) ** (1 / len(norms)) / norms
+    for m, r in enumerate(one[1:], 1):
+        sign = np.where(np.array([r[f"t{k}"] or 0.0 for k in range(rank)]) < 0, -1.0, 1.0)
+        scale[m] *= sign
+        scale[0] *= sign
+    return {mode: f.select("idx", F.array(*[F.col("vec")[k] * F.lit(float(x)) for k, x in enumerate(row)]).alias("vec")) for (mode, f), row in zip(factors.items(), scale, strict=True)}
+
+
+def distributed_cp(spark: SparkSession, cells: DataFrame, cfg: CpConfig, shape: tuple[int, int, int], start: int) -> DataFrame:
+    """``masked_cp`` as aggregations: the same start, ridge and test of convergence; factors are checkpointed as they are made."""
+    rank = cfg.rank
     rng = np.random.default_rng(cfg.seed)
-    seeds = dict(zip(MODES, rng.integers(0, 2**31, 3).tolist(), strict=True))
-    start_vec = lambda mode: F.transform(F.sequence(F.lit(0), F.lit(cfg.rank - 1)), lambda k: F.lit(0.5) + F.pmod(F.xxhash64(F.lit(seeds[mode]), F.col("idx"), k), F.lit(1_000_000)) / 1e6)
-    factors = {m: spark.range(n).select(F.col("id").cast("int").alias("idx")).withColumn("vec", start_vec(m)) for m, n in zip(MODES, shape, strict=True)}
+    # a sweep solves for units first, so that their start is never read: its draws are passed over
+    rng.bit_generator.advance(shape[0] * rank)
+    factors = {m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.uniform(0.5, 1.5, (n, rank)))], "idx int, vec array<double>") for m, n in zip(MODES[1:], shape[1:], strict=True)}
     cells = cells.persist()
-    for _ in range(min(sweeps, cfg.sweeps)):
+    square = cells.agg(F.avg(F.col("value") * F.col("value"))).first()[0] or 0.0
+    weight = cfg.ridge * max(1.0, square) ** (1 / len(MODES))
+    last = np.inf
+    for _ in range(cfg.sweeps):
         for mode in MODES:
-            parts = normal_equations(cells, mode, {m: f for m, f in factors.items() if m != mode}, cfg.rank)
-            factors[mode] = parts.mapInPandas(_solver(cfg.rank, cfg.ridge), "idx int, vec array<double>")
-        factors = {m: f.checkpoint() for m, f in factors.items()}
+            parts = normal_equations(cells, mode, {m: factors[m] for m in MODES if m != mode}, rank)
+            factors[mode] = parts.mapInPandas(_solver(rank, weight), "idx int, vec array<double>").checkpoint()
+        table = [f.select(F.lit(m).alias("mode"), "idx", "vec") for m, f in factors.items()]
+        fit = evaluate(cells, table[0].unionByName(table[1]).unionByName(table[2]), "fitted")
+        error = fit.agg(F.avg(F.pow(F.col("fitted") - F.col("value"), 2))).first()[0] or 0.0
+        if last - error <= cfg.tolerance * max(error, 1e-12):
+            break
+        last = error
     cells.unpersist()
     shift = {"unit": 0, "time": start, "action": 0}
-    out = [f.select(F.lit(m).alias("mode"), (F.col("idx") + shift[m]).cast("int").alias("idx"), "vec") for m, f in factors.items()]
+    # an index without known cells has zeros
+    zeros = F.array(*[F.lit(0.0)] * rank)
+    even = _even({m: factors[m] for m in MODES}, rank)
+    out = [spark.range(n).select(F.col("id").cast("int").alias("idx")).join(even[m], "idx", "left").select(F.lit(m).alias("mode"), (F.col("idx") + shift[m]).cast("int").alias("idx"), F.coalesce("vec", zeros).alias("vec")) for m, n in zip(MODES, shape, strict=True)]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 

@@ -21,6 +21,19 @@ def test_distributed_fit_reaches_the_driver_kernels_error(spark):
     assert arrays["unit"].shape == (12, 2)
 
 
+def test_distributed_fit_equals_the_driver_kernel(spark):
+    rng = np.random.default_rng(4)
+    full = rng.normal(3, 2, (8, 6, 3))
+    seen = rng.random(full.shape) < 0.7
+    seen[5] = False
+    rows = [(int(n), int(t) + 5, int(i), float(full[n, t, i])) for n, t, i in zip(*np.nonzero(seen), strict=True)]
+    cells = spark.createDataFrame(rows, "unit_idx int, time_idx int, action_idx int, value double").persist()
+    # by the number of sweeps, then by the tolerance
+    for sweeps, tolerance in ((3, 1e-9), (30, 0.2)):
+        here, there = (cp.factor_arrays(cp.fit_cp(spark, cells, CpConfig(rank=2, sweeps=sweeps, tolerance=tolerance, driver_cells=limit), full.shape, 5)) for limit in (10, 10_000))
+        assert all(np.allclose(here[m], there[m], rtol=1e-6, atol=1e-9) for m in cp.MODES)
+
+
 def test_time_factors_of_new_steps(spark):
     rng = np.random.default_rng(3)
     f = [rng.uniform(0.5, 2, (n, 2)) for n in (9, 4, 3)]
