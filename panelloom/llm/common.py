@@ -106,8 +106,8 @@ NOT_WORD[:128] = True
 NOT_WORD[48:58] = NOT_WORD[65:91] = NOT_WORD[97:123] = False
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of whole rows, about SLICE_BYTES each; null texts are empty."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of whole rows, about ``size`` bytes each; null texts are empty."""
     col = batch.column(batch.schema.get_field_index(column))
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -122,7 +122,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
         to = min(n, max(at + 1, to))
         yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to

@@ -26,11 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import stored, table
+from panelloom.llm.byte_bpe import Encoder, hub_encoder
+from panelloom.llm.common import stored, table, text_slices
 
 MAGIC, VERSION = b"PLTC", 1
 HEAD = struct.Struct("<4sB3xQIIIIII")
 BLOCK = 1 << 20
+#: Bytes of text that are encoded at once.
+SLICE = 8 << 20
 LANES = 4096
 MIX = 12
 _SLOTS = 1 << 17
@@ -46,8 +49,10 @@ class Model:
     def __init__(self, largest: int, lanes: int) -> None:
         self.size = largest + 1
         self.bits = max(16, self.size.bit_length() + 2)
-        if self.bits + MIX > 32:
-            raise ValueError(f"ids below {1 << 18} can be coded, not {largest}")
+        if self.bits > 24:
+            raise ValueError(f"ids below {1 << 22} can be coded, not {largest}")
+        # weights and frequencies share 32 bits: beyond 2**18 ids the weights are coarser
+        self.mix = min(MIX, 32 - self.bits)
         self.counts = np.zeros(self.size, np.int64)
         self.seen: list[np.ndarray] = []
         # 8 * id + confidence (0: no prediction yet) of what last followed
@@ -83,15 +88,16 @@ class Model:
         self.context = sure2 << np.int32(3) | sure1
         right = self.right
         total = right.sum(axis=0)
-        w2 = np.minimum(right[2] * ((1 << MIX) - 64) // total, (1 << MIX) - 128)
-        w1 = np.minimum(right[1] * ((1 << MIX) - 64) // total, (1 << MIX) - 64 - w2)
+        whole = 1 << self.mix
+        w2 = np.minimum(right[2] * (whole - 64) // total, whole - 128)
+        w1 = np.minimum(right[1] * (whole - 64) // total, whole - 64 - w2)
         w2[:8] = 0
         w1[::8] = 0
         two, one = self.two >> np.int32(3), self.one >> np.int32(3)
         m2 = w2[self.context]
         m1 = w1[self.context]
         m1[(one == two) & (sure2 > 0)] = 0
-        return two, one, m2 << self.bits, (m2 + m1) << self.bits, (1 << MIX) - m2 - m1
+        return two, one, m2 << self.bits, (m2 + m1) << self.bits, whole - m2 - m1
 
     def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
         """After a row: which order was right, what followed, and now and then new frequencies."""
@@ -129,7 +135,7 @@ def encode_words(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     lanes, rows = _shape(len(ids))
     model = Model(int(ids.max(initial=0)), lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0))
-    shift = _U(model.bits + MIX)
+    shift = _U(model.bits + model.mix)
     out_lane, out_word = [], []
     for row in _matrix(ids.astype(np.int64), lanes, rows):
         n = len(row)
@@ -171,9 +177,9 @@ def decode_words(n: int, lanes: int, largest: int, lengths: np.ndarray, words: n
     for _ in range(2):
         code = code << _WORD | words[at]
         at += 1
-    shift = _U(model.bits + MIX)
+    shift = _U(model.bits + model.mix)
     out = np.empty(n, np.uint32)
-    limit = (1 << (model.bits + MIX)) - 1
+    limit = (1 << (model.bits + model.mix)) - 1
     for r0 in range(rows):
         k = len(range(r0, n, rows))
         two, one, at1, at0, m0 = (x[:k] for x in model.predict())
@@ -227,37 +233,61 @@ def decode_block(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
 BLOCKS = "shard int, block int, first long, n_ids long, payload binary"
 
 
-def block_writer(make_encoder: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int):
+class _Shard:
+    """Ids and index of one shard that are not in a block yet."""
+
+    def __init__(self, shard: int) -> None:
+        self.shard, self.block, self.first, self.number, self.n = shard, 0, 0, 0, 0
+        self.ids: list[np.ndarray] = []
+        self.docs: list[np.ndarray] = []
+
+    def add(self, doc_ids: np.ndarray, null: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        docs = np.zeros(len(count), DOC)
+        docs["doc_id"], docs["flags"], docs["ids"] = doc_ids, null, count
+        docs["number"] = np.arange(self.number, self.number + len(count))
+        self.number += len(count)
+        self.n += len(ids)
+        self.ids.append(ids)
+        self.docs.append(docs)
+
+    def flush(self, least: int) -> Iterator[pa.RecordBatch]:
+        """Blocks of BLOCK ids, and at last one of all that is left if that is ``least`` or more."""
+        ids, docs = (np.concatenate(x) if x else x for x in (self.ids, self.docs))
+        while self.n >= least:
+            size = min(self.n, BLOCK)
+            ends = np.cumsum(docs["ids"].astype(np.int64))
+            k = int(np.searchsorted(ends, size)) + 1  # documents with ids here
+            over = int(ends[k - 1]) - size
+            here, docs = docs[:k].copy(), docs[k - (over > 0) :].copy()
+            if over:
+                here["ids"][-1] -= over
+                here["flags"][-1] |= 2
+                docs["ids"][0] = over
+                docs["flags"][0] |= 2
+            payload = encode_block(ids[:size], here, self.first)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([self.shard], pa.int32()), "block": pa.array([self.block], pa.int32()), "first": pa.array([self.first], pa.int64()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
+            ids, self.n, self.first, self.block = ids[size:], self.n - size, self.first + size, self.block + 1
+        self.ids, self.docs = [ids], [docs]
+
+
+def block_writer(make_encoder: Callable[[], Encoder], end_id: int):
     """Rows (doc_id, text) in order to block rows; each text's ids end with end_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = make_encoder(), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        held, index, n, first, number, block = [], [], 0, 0, 0, 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, index, n, first, block
-            payload = encode_block(np.frombuffer(b"".join(held), "<u4"), np.array(index, DOC), first)
-            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([n], pa.int64()), "payload": pa.array([payload], pa.binary())})
-            held, index, first, n, block = [], [], first + n, 0, block + 1
-            return row
-
+        encode, held = make_encoder(), _Shard(TaskContext.get().partitionId())
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids, pos = ids + end, 0
-                    total, null = len(ids) // 4, doc_id is None
-                    while pos < total:
-                        take = min(total - pos, BLOCK - n)
-                        index.append((0 if null else doc_id, number, take, null + 2 * (take < total)))
-                        held.append(ids[4 * pos : 4 * (pos + take)])
-                        n, pos = n + take, pos + take
-                        if n == BLOCK:
-                            yield flush()
-                    number += 1
-        if n:
-            yield flush()
+            ids_of = batch.column(0)
+            null = ids_of.is_null().to_numpy(zero_copy_only=False)
+            doc_ids = ids_of.fill_null(0).to_numpy(zero_copy_only=False)
+            for at, data, offsets in text_slices(batch, size=SLICE):
+                ids, count = encode.flat(data, offsets)
+                ends = np.cumsum(count)
+                to = at + len(count)
+                held.add(doc_ids[at:to], null[at:to], np.insert(ids, ends, np.uint32(end_id)), count + 1)
+                if held.n >= BLOCK:
+                    yield from held.flush(BLOCK)
+        if held.n:
+            yield from held.flush(1)
 
     return run
 
@@ -315,80 +345,15 @@ def _join_parts(series):
     return pd.Series(out, dtype="int64")
 
 
-#: Ids of chunks and of words seen lately, by vocabulary: kept between the tasks of a worker, at most MEMO entries each.
-_MEMOS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
-MEMO = 700_000
-
-
-def hub_encoder(path: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
-    """Encoder with the tokenizers library and a vocabulary file; ids of chunks seen lately are remembered.
-
-    A byte-level BPE splits before a single space that stands between two other characters, so chunks
-    between such spaces are encoded once and looked up afterwards; texts for which this isn't so
-    (other white space next to a space, special tokens) are encoded whole.
-    """
-
-    def make() -> Callable[[list[str]], list[bytes]]:
-        import os
-        import re
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        loose = re.compile(r"^ | $|\s | \s|" + "|".join(map(re.escape, special or ["\0\0"])))
-        pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
-        memo, words = _MEMOS.setdefault(path, ({}, {}))
-        pieces = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\W\d_])|[,.](?=\s|$)|\n(?=\S)|\S[\s\S]*| [\s\S]+|[\s\S]+")
-
-        def encode(texts: list[str]) -> list[bytes]:
-            rows: list[list[str] | None] = []
-            missing: dict[str, None] = {}
-            for t in texts:
-                if not t or loose.search(t):
-                    rows.append(None)
-                    continue
-                chunks = t.replace(" ", "\0 ").split("\0") if "\0" not in t else None
-                rows.append(chunks)
-                if chunks:
-                    missing.update((c, None) for c in chunks if c not in memo)
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = {c: None for chunks in rows if chunks for c in chunks}
-            if missing:
-                split = {}
-                for c in missing:
-                    # most chunks are a space and letters, perhaps with one mark at the end
-                    if c[1:].isalpha() and c[0] == " ":
-                        split[c] = (c,)
-                    elif c[-1] in ",." and c[0] == " " and c[1:-1].isalpha():
-                        split[c] = (c[:-1], c[-1])
-                    else:
-                        split[c] = pieces.findall(c)
-                new = list({p: None for ps in split.values() for p in ps if p not in words})
-                if len(words) + len(new) > MEMO:
-                    words.clear()
-                    new = list({p: None for ps in split.values() for p in ps})
-                for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    words[p] = pack(e.ids)
-                for c, ps in split.items():
-                    memo[c] = b"".join([words[p] for p in ps])
-            return [b"".join([memo[c] for c in chunks]) if chunks else pack(tok.encode(t, add_special_tokens=False).ids) for t, chunks in zip(texts, rows, strict=True)]
-
-        return encode
-
-    return make
-
-
 def write_tokens(spark: SparkSession, docs: DataFrame, make_encoder, end_id: int = 0) -> DataFrame:
     """Blocks of ``docs`` (doc_id, text, ...) in ascending doc_id order, written to the shared folder.
 
-    Shards are ranges of doc_id, cut by Spark's range partitioner and sorted within; ties in doc_id are
-    ordered by text, rows without doc_id come first, null texts have the end id alone.
+    Shards are ranges of doc_id, cut by Spark's range partitioner and sorted within; rows that share a
+    doc_id are ordered by a hash of their text and then by text, also across shards, rows without doc_id
+    come first, null texts have the end id alone, an empty table has no blocks.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return stored(spark, ordered.mapInArrow(block_writer(make_encoder, end_id), BLOCKS), "tokens")
 
 
