@@ -1,7 +1,7 @@
 """URL filters: allow and block rules, and for the rest a logistic regression on hashed character n-grams.
 
-The model is trained in numpy from a small labelled URL table; n-grams of host and path are hashed with
-different salts. Host and path are cut out by Spark expressions; only scoring passes through Arrow.
+The model is trained in numpy from the small labelled table of ``url_labels``, which holds no URL or host of
+the tables it judges; n-grams of host and path are hashed with different salts. Host and path are cut out by Spark expressions; only scoring passes through Arrow.
 """
 
 from __future__ import annotations
@@ -14,40 +14,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import prefix_hash, span_hash, table, text_slices
+from panelloom.llm.common import LOWER, prefix_hash, span_hash, table, text_slices
+from panelloom.llm.url_labels import LABELLED
 
 BUCKETS = 1 << 16
+#: What the mean over a path's n-grams counts beside the host's; chosen on held-out hosts of the labelled table.
+PATH_SHARE = 0.25
+FOLDED = LOWER.copy()
+FOLDED[48:58] = 48
 GRAMS = (3, 4, 5)
 #: Rules of the registered query: (verdict, host and path).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Small labelled table: url, 1 to block.
-LABELLED = [
-    ("https://cheap-pills.example.com/en/1", 1), ("http://www.cheap-pills.example.org/buy/now", 1), ("https://spam-farm.example.org/en/2", 1), ("http://spam-farm.example.com/links/all.html", 1),
-    ("http://best-casino-bonus.example.com/play", 1), ("https://casino-jackpot.example.org/win?ref=x", 1), ("http://free-pills-online.example.com/order", 1), ("https://buy-viagra-cheap.example.net/rx", 1),
-    ("http://link-farm.example.org/seo/1", 1), ("https://m.spam-links.example.com/a", 1), ("http://adult-xxx.example.com/video", 1), ("https://win-free-money.example.org/click", 1),
-    ("http://replica-watches.example.com/sale", 1), ("https://payday-loan-fast.example.net/apply", 1), ("http://cheap-meds.example.org/pills/5", 1), ("https://seo-spam.example.com/farm/3", 1),
-    ("https://blog.tiontion.example.com/en/853/", 0), ("http://m.therou.example.com/en/474.html", 0), ("https://ththin.example.com/en/671?utm_source=feed", 0), ("http://www.ththen.example.com/de/148.html", 0),
-    ("https://news.example.org/en/world/2024/01/report.html", 0), ("https://docs.example.com/guide/install", 0), ("http://library.example.org/catalog/item/9", 0), ("https://university.example.org/courses/math", 0),
-    ("https://blog.thernd.example.org/es/612", 0), ("http://ththed.example.org/en/453#top", 0), ("https://wiki.example.com/article/history", 0), ("http://museum.example.org/fr/expo", 0),
-    ("https://recipes.example.com/soup.html", 0), ("https://www.therti.example.org/en/334/", 0), ("http://weather.example.com/today", 0), ("https://m.theror.example.com/fr/65.html", 0),
-]
-#: Ordinary pages and unwanted hosts in the forms that crawls hold: prefixes, endings, languages and tails go round independently.
-PARTS = (("", "www.", "blog.", "m."), ("com", "org", "net"), ("en", "de", "fr", "es"), ("", "/", ".html", "?page=2", "#top"))
-ORDINARY = [a + b for a in ("th", "tion", "an", "er", "re", "on") for b in ("ing", "ed", "es", "en", "at", "sh", "ly", "or")]
-UNWANTED = ("cheap-pills", "spam-farm", "casino-win", "ads-track", "win-casino", "pill-shop", "link-spam", "track-ads")
-
-
-def _forms(names, label: int, rounds: int) -> list[tuple[str, int]]:
-    out = []
-    for k in range(len(names) * rounds):
-        pre, end, lang, tail = (p[(k * step + k // len(names)) % len(p)] for p, step in zip(PARTS, (1, 2, 3, 1), strict=True))
-        out.append((f"http{'s' * (k % 2)}://{pre}{names[k % len(names)]}.example.{end}/{lang}/{17 * k + 3}{tail}", label))
-    return out
-
-
-LABELLED += _forms(ORDINARY, 0, 4) + _forms(UNWANTED, 1, 12)
-
-
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) after the first ``://`` up to ``/ ? #``; path from there up to ``? #``."""
     pattern = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
@@ -74,17 +51,19 @@ def rule_column(rules: list[tuple[str, str]], host: Column, path: Column) -> Col
 def joined_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The same for a table of rules (verdict, rule) of any size: ``urls`` has key, host, path.
 
-    Each host meets the rules of its own suffixes by an equi-join; the longest fitting rule wins.
+    Each host meets the rules of its own suffixes by an equi-join; the longest fitting rule wins. A rule
+    that is listed with both verdicts blocks; null rules fit nothing.
     """
-    cut = rules.select("verdict", "rule", F.substring_index("rule", "/", 1).alias("suffix"), F.expr("substring(rule, instr(rule, '/'))").alias("start")).dropDuplicates(["rule"])
+    cut = rules.where("rule is not null").groupBy("rule").agg(F.max("verdict").alias("verdict"))
+    cut = cut.select("verdict", "rule", F.lower(F.substring_index("rule", "/", 1)).alias("suffix"), F.when(F.instr("rule", "/") > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise("").alias("start"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     return urls.select("key", "path", F.explode(suffixes).alias("suffix")).join(cut, "suffix").where(F.col("path").startswith(F.col("start"))).groupBy("key").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule")).alias("ruled"))
 
 
 def gram_rows(data: np.ndarray, offsets: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the character n-grams of each row, and the rows."""
-    prefix = prefix_hash(data.astype(np.uint64) + np.uint64(1))
+    """Buckets of the character n-grams of each row, and the rows; all digits are one character, letters' case is ignored."""
+    prefix = prefix_hash(FOLDED[data].astype(np.uint64) + np.uint64(1))
     hashes, rows = [], []
     for n in GRAMS:
         at = np.arange(max(0, len(data) - n + 1))
@@ -105,9 +84,9 @@ class UrlModel:
         """Probability of block; mean weight of host n-grams and of path n-grams, so length doesn't count."""
         n = len(hosts[1]) - 1
         z = np.full(n, self.bias)
-        for salt, (data, offsets) in ((1, hosts), (2, paths)):
+        for salt, share, (data, offsets) in ((1, 1.0, hosts), (2, PATH_SHARE, paths)):
             bucket, row = gram_rows(data, offsets, salt)
-            z += np.bincount(row, self.weights[bucket], minlength=n) / np.maximum(1, np.bincount(row, minlength=n))
+            z += share * np.bincount(row, self.weights[bucket], minlength=n) / np.maximum(1, np.bincount(row, minlength=n))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -124,20 +103,24 @@ def _plain_split(url: str) -> tuple[str, str]:
 
 
 def train(labelled: list[tuple[str, int]], rounds: int = 300, rate: float = 2.0, decay: float = 1e-3) -> UrlModel:
-    """Gradient descent on the mean logistic loss with an L2 penalty; no rows give an even model."""
+    """Gradient descent on the logistic loss with an L2 penalty; both labels weigh alike, however many rows have them.
+
+    No rows give an even model.
+    """
     model = UrlModel(np.zeros(BUCKETS), 0.0)
     if not labelled:
         return model
     parts = [_plain_split(u) for u, _ in labelled]
     y = np.array([k for _, k in labelled], float)
+    weigh = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     grams = []
-    for salt, texts in ((1, [p[0] for p in parts]), (2, [p[1] for p in parts])):
+    for salt, share, texts in ((1, 1.0, [p[0] for p in parts]), (2, PATH_SHARE, [p[1] for p in parts])):
         bucket, row = gram_rows(*_packed(texts), salt)
-        grams.append((bucket, row, (1 / np.maximum(1, np.bincount(row, minlength=len(y))))[row]))
+        grams.append((bucket, row, (share / np.maximum(1, np.bincount(row, minlength=len(y))))[row]))
     bucket, row, value = (np.concatenate(x) for x in zip(*grams, strict=True))
     for _ in range(rounds):
         z = model.bias + np.bincount(row, model.weights[bucket] * value, minlength=len(y))
-        g = 1 / (1 + np.exp(-z)) - y
+        g = (1 / (1 + np.exp(-z)) - y) * weigh
         model.weights -= rate * (np.bincount(bucket, g[row] * value, minlength=BUCKETS) + decay * model.weights)
         model.bias -= rate * 0.1 * g.mean()
     return model
