@@ -5,21 +5,23 @@ payload equals an earlier one's are revisit records. Records longer than ``segme
 first record and continuation records. Spark's text writer puts records, with their separator between
 them, into gzip archives, so that files commit with their task and any Hadoop store will do.
 
-Reading: archives are parsed by content length; continuation records are grouped by origin identifier,
-ordered by segment number and verified against the total length; then the transfer framing is decoded.
+Reading: archives, these or others', are inflated and parsed as a stream, member by member, by content
+length; continuation records are grouped by origin identifier, ordered by segment number and verified
+against the total length; then the transfer framing is decoded. Payload digests are checked, and so is what
+revisits announce against the records they name.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import shared_root, stored, table
@@ -27,6 +29,10 @@ from panelloom.llm.common import shared_root, stored, table
 EOL = b"\r\n"
 END = b"\r\n\r\n"
 RECORDS_A_FILE = 2000
+#: Bytes that are inflated at once.
+STEP = 1 << 20
+#: Record types with a payload of their own; others (requests, metadata, information on the archive) are passed over.
+KINDS = ("response", "resource", "revisit", "continuation")
 
 
 def sha1_base32(data: bytes) -> str:
@@ -74,18 +80,22 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return EOL.join([b"WARC/1.1", *(x.encode() for x in lines), b"", block])
 
 
-def page_records(page_id, url: str | None, payload: bytes, refers_to, row: int, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
-    """The records of one page: a response and its continuations, or a revisit."""
-    name = "null" if page_id is None else str(page_id)
+def record_name(page_id, digest: str, copy: int, segment: int = 1) -> str:
+    """Identifier of a page's record, the same in every run: rows that repeat a page and payload differ by ``copy``."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}:{copy}:{segment}>"
+
+
+def page_records(page_id, url: str | None, payload: bytes, refers_to, copy: str, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
+    """The records of one page: a response and its continuations, or a revisit of page ``refers_to``."""
     digest = sha1_base32(payload)
-    common = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    common = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if url is not None:
         common.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
-    ident = lambda k: f"<urn:page:{name}:{row}:{k}>"
+    ident = lambda k: record_name(page_id, digest, copy, k)
     http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8"]
     if refers_to is not None:
         block = EOL.join([*http, b"Content-Length: %d" % len(payload), b"", b""])
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", ident(1)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), *common], block)]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", ident(1)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_name(refers_to, digest, 1)), *common], block)]
     block = EOL.join([*http, b"Transfer-Encoding: chunked", b"", b""]) + chunked(payload, chunk_bytes)
     if len(block) <= segment_bytes:
         return [record([("WARC-Type", "response"), ("WARC-Record-ID", ident(1)), *common], block)]
@@ -102,41 +112,96 @@ def page_records(page_id, url: str | None, payload: bytes, refers_to, row: int,
     return out
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an uncompressed archive, by content length."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == EOL:
+def inflated(content: bytes) -> Iterator[bytes]:
+    """Parts of an archive, gzip members one after the other or plain; ValueError if it is cut off."""
+    view = memoryview(content)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield from (bytes(view[k : k + STEP]) for k in range(0, len(view), STEP))
+        return
+    at, member = 0, zlib.decompressobj(31)
+    while at < len(view) or member.unconsumed_tail:
+        part = member.unconsumed_tail
+        if not part:
+            part, at = view[at : at + STEP], min(len(view), at + STEP)
+        try:
+            out = member.decompress(part, STEP)
+        except zlib.error as broken:
+            raise ValueError(f"broken gzip member before byte {at}") from broken
+        if out:
+            yield out
+        if member.eof:
+            at -= len(member.unused_data)
+            while at < len(view) and view[at] == 0:
+                at += 1
+            if at == len(view):
+                return
+            member = zlib.decompressobj(31)
+    raise ValueError("archive ends inside a gzip member")
+
+
+def parse_records(parts: bytes | Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each record of an uncompressed archive, by content length."""
+    parts = iter([parts] if isinstance(parts, bytes) else parts)
+    held, at, before = bytearray(), 0, 0
+
+    def more() -> bool:
+        nonlocal at, before
+        part = next(parts, None)
+        if part is not None:
+            before += at
+            del held[:at]
+            held.extend(part)
+            at = 0
+        return part is not None
+
+    while True:
+        while held.startswith(EOL, at):
             at += 2
-            continue
-        if not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(END, at)
-        lines = data[at:end].decode().split("\r\n")[1:]
-        headers = dict(x.split(": ", 1) for x in lines)
-        at = end + 4 + int(headers["Content-Length"])
-        if at > len(data):
-            raise ValueError("archive ends inside a record")
-        yield headers, data[end + 4 : at]
+        if len(held) - at < 8:
+            if more():
+                continue
+            if at < len(held):
+                raise ValueError("archive ends inside a record")
+            return
+        if not held.startswith(b"WARC/", at):
+            raise ValueError(f"no WARC record at byte {before + at}")
+        seen = 0
+        while (end := held.find(END, at + max(0, seen - 3))) < 0:
+            seen = len(held) - at
+            if not more():
+                raise ValueError("archive ends inside a record's headers")
+        lines = held[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError(f"a record at byte {before + at} has no length")
+        head, size = end + 4 - at, int(headers["content-length"])
+        while len(held) - at < head + size:
+            if not more():
+                raise ValueError("archive ends inside a record")
+        yield headers, bytes(held[at + head : at + head + size])
+        at += head + size
 
 
 def open_message(block: bytes) -> tuple[int, bytes]:
-    """(declared length or -1, payload) of an HTTP message; chunked framing is decoded."""
+    """(declared length or -1, payload) of an HTTP message; chunked framing is decoded. Other blocks are payloads."""
+    if not block.startswith(b"HTTP/"):
+        return -1, block
     head, _, body = block.partition(END)
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(EOL)[1:])}
-    if fields.get(b"transfer-encoding", b"").lower() == b"chunked":
+    if fields.get(b"transfer-encoding", b"").lower() == b"chunked" and body:
         body = dechunked(body)
-    return int(fields.get(b"content-length", b"-1")), body
+    length = fields.get(b"content-length", b"-1")
+    return int(length) if length.isdigit() else -1, body
 
 
 def _writer(segment_bytes: int, chunk_bytes: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out: list[str] = []
-            for page_id, url, html, refers, row in zip(f["page_id"], f["url"], f["html"], f["refers_to"], f["row"], strict=True):
+            for page_id, url, html, refers, copy in zip(f["page_id"], f["url"], f["html"], f["refers_to"], f["copy"], strict=True):
                 null = lambda v: None if v is None or v != v else v
                 page_id, refers = (None if null(v) is None else int(v) for v in (page_id, refers))
-                out += [r.decode() for r in page_records(page_id, null(url), (null(html) or "").encode(), refers, int(row), segment_bytes, chunk_bytes)]
+                out += [r.decode() for r in page_records(page_id, null(url), (null(html) or "").encode(), refers, copy, segment_bytes, chunk_bytes)]
                 if len(out) >= 500:
                     yield pd.DataFrame({"value": out})
                     out = []
@@ -151,50 +216,63 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, min_revisit
 
     Of equal payloads of at least ``min_revisit_bytes`` bytes the one with the least page_id is the
     response (every row of that page_id, if rows repeat one); null html is an empty payload; rows
-    without page_id are responses.
+    without page_id are responses; an empty table gives archives without records. Spark's text writer
+    makes one gzip member a file, of at most RECORDS_A_FILE records.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     sums = rows.where("page_id is not null").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("same"), F.octet_length("html").alias("size")).where(F.col("size") >= min_revisit_bytes)
     first = sums.groupBy("same").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = sums.join(first, "same").where("page_id <> refers_to").groupBy("page_id", "same").agg(F.min("refers_to").alias("refers_to"))
-    rows = rows.withColumn("same", F.sha2(F.col("html").cast("binary"), 256)).join(revisits.hint("shuffle_merge"), ["page_id", "same"], "left").drop("same")
-    out = rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_writer(segment_bytes, chunk_bytes), "value string")
+    # rows without page_id are spread by their url; one shuffle serves the join and the numbering of repeats
+    rows = rows.withColumn("same", F.sha2(F.col("html").cast("binary"), 256)).withColumn("at", F.coalesce("page_id", F.xxhash64("url"))).alias("r")
+    revisits = revisits.withColumn("at", F.col("page_id")).hint("shuffle_merge").alias("v")
+    out = rows.join(revisits, (F.col("r.at") == F.col("v.at")) & (F.col("r.same") == F.col("v.same")) & (F.col("r.page_id") == F.col("v.page_id")), "left").select("r.*", "v.refers_to")
+    repeat = F.row_number().over(Window.partitionBy("at", "same", "page_id").orderBy("url"))
+    copy = F.when(F.col("page_id").isNotNull(), repeat.cast("string")).otherwise(F.concat_ws(".", F.lower(F.hex(F.xxhash64("url"))), repeat.cast("string")))
+    out = out.withColumn("copy", copy).select("page_id", "url", "html", "refers_to", "copy").mapInPandas(_writer(segment_bytes, chunk_bytes), "value string")
     out.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-PARSED = "origin string, page_id long, segment int, total long, payload_bytes long, payload_digest string, record_type string, refers_to long, block binary"
-
-
-def _number(name: str | None, place: int):
-    part = name.strip("<>").split(":")[place] if name else "null"
-    return None if part == "null" else int(part)
+PARSED = "record_id string, origin string, segment int, total long, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to_record string, block binary"
+ANSWER = "record_id string, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to_record string"
 
 
-def _answer(page_id, headers_digest: str, kind: str, refers, block: bytes) -> tuple:
+def _answer(name: str, uri, announced: str | None, kind: str, refers, block: bytes) -> tuple:
+    """ANSWER of one whole record; a SHA-1 that isn't its payload's is refused."""
     declared, payload = open_message(block)
+    method, _, value = (announced or "").partition(":")
     if kind == "revisit":
-        return page_id, declared, headers_digest, kind, refers
+        return name, uri, None if declared < 0 else declared, value.upper() if method.lower() == "sha1" else None, kind, refers
     digest = sha1_base32(payload)
-    if digest != headers_digest:
-        raise ValueError(f"payload digest of page {page_id} is {digest}, its record says {headers_digest}")
-    return page_id, len(payload), digest, kind, None
+    if method.lower() == "sha1" and value.upper() != digest:
+        raise ValueError(f"payload digest of {name} is {digest}, its record says {announced}")
+    return name, uri, len(payload), digest, kind, None
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    names = [x.split() for x in schema.split(", ")]
+    return pd.DataFrame(rows, columns=[n for n, _ in names]).astype({n: {"int": "Int32", "long": "Int64"}[k] for n, k in names if k in ("int", "long")})
 
 
 def _parser(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in PARSED.split(", ")]
     for f in frames:
         for content in f["content"]:
-            out = []
-            for h, block in parse_records(gzip.decompress(content)):
-                page_id = _number(h["WARC-Record-ID"], 2)
-                digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                if "WARC-Segment-Number" in h:
-                    out.append((h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), page_id, int(h["WARC-Segment-Number"]), int(h.get("WARC-Segment-Total-Length", -1)), None, digest, None, None, block))
+            out, held = [], 0
+            for h, block in parse_records(inflated(content)):
+                kind, name, digest = h.get("warc-type", ""), h.get("warc-record-id", ""), h.get("warc-payload-digest")
+                if kind not in KINDS:
+                    continue
+                if "warc-segment-number" in h:
+                    out.append((name, h.get("warc-segment-origin-id", name), int(h["warc-segment-number"]), int(h.get("warc-segment-total-length", -1)), h.get("warc-target-uri"), None, digest, kind, None, block))
+                    held += len(block)
                 else:
-                    a = _answer(page_id, digest, h["WARC-Type"], _number(h.get("WARC-Refers-To"), 2), block)
-                    out.append((None, a[0], None, None, a[1], a[2], a[3], a[4], None))
-            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "segment": "Int32", "total": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+                    a = _answer(name, h.get("warc-target-uri"), digest, kind, h.get("warc-refers-to"), block)
+                    out.append((a[0], None, None, None, *a[1:], None))
+                if len(out) >= RECORDS_A_FILE or held >= 8 * STEP:
+                    yield _frame(out, PARSED)
+                    out, held = [], 0
+            yield _frame(out, PARSED)
 
 
 def reassembled(segments: list) -> bytes:
@@ -210,27 +288,39 @@ def reassembled(segments: list) -> bytes:
 
 def _joiner(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        got = [_answer(None if p is None or p != p else int(p), d, "response", None, reassembled(s)) for p, d, s in zip(f["page_id"], f["payload_digest"], f["segments"], strict=True)]
-        yield pd.DataFrame(got, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
-ANSWER = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+        yield _frame([_answer(o, u, d, k or "response", None, reassembled(s)) for o, u, d, k, s in zip(f["origin"], f["target_uri"], f["payload_digest"], f["record_type"], f["segments"], strict=True)], ANSWER)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """ANSWER rows of the page records in the gzip archives below ``path``."""
+    """ANSWER of each record with a payload in the archives below ``path``, with page_id and refers_to of this writer's names.
+
+    Archives are gzip (of one member or many) or plain and at most 2 GB each, the bound of a binary value;
+    they may be anybody's: page_id is null for records that this module didn't write, digests other than
+    SHA-1 aren't checked, payload_digest is the payload's SHA-1 always (a revisit's is what it announces).
+    ValueError for broken archives, missing segments, wrong digests, and revisits that announce another
+    digest or length than the record they name has. Empty folders of archives give no rows.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
     parsed = stored(spark, files.mapInPandas(_parser, PARSED), "warc-parsed")
-    whole = parsed.where("segment is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    groups = parsed.where("segment is not null").groupBy("origin").agg(F.first("page_id").alias("page_id"), F.first("payload_digest").alias("payload_digest"), F.collect_list(F.struct("segment", "total", "block")).alias("segments"))
-    return whole.unionByName(groups.select("page_id", "payload_digest", "segments").mapInPandas(_joiner, ANSWER))
+    whole = parsed.where("segment is null").select("record_id", "target_uri", "payload_bytes", "payload_digest", "record_type", "refers_to_record")
+    begins = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
+    groups = parsed.where("segment is not null").groupBy("origin").agg(begins("target_uri"), begins("payload_digest"), begins("record_type"), F.collect_list(F.struct("segment", "total", "block")).alias("segments"))
+    found = stored(spark, whole.unionByName(groups.mapInPandas(_joiner, ANSWER)), "warc-records")
+    # what revisits announce is summed up by the record they name before it meets that record
+    claims = found.where("record_type = 'revisit'").groupBy(F.col("refers_to_record").alias("record_id")).agg(*(g(c).alias(f"{n}_{c}") for c in ("payload_bytes", "payload_digest") for n, g in (("least", F.min), ("most", F.max))))
+    wrong = " or ".join(f"{n}_{c} <> {c}" for c in ("payload_bytes", "payload_digest") for n in ("least", "most"))
+    bad = found.where("record_type <> 'revisit'").join(claims, "record_id").where(wrong).select("record_id").limit(3).collect()
+    if bad:
+        raise ValueError(f"revisits announce other payloads than {', '.join(r[0] for r in bad)} have")
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+):', 1) as bigint)")
+    return found.withColumn("page_id", number("record_id")).withColumn("refers_to", number("refers_to_record"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages into archives and back."""
     path = f"{shared_root(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(spark, table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
