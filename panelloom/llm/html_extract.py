@@ -10,8 +10,8 @@ adverts or comments are marked, articles among them. An article or main element
 afterwards: one that holds most of the slots' text is taken alone.
 
 Occurrence vectors are never collected: a vector is known by the sum of hashes of its (page, count)
-pairs, which Spark sums with partial aggregation, so a host with a third of all pages costs no more
-than others.
+pairs, which Spark sums with partial aggregation. Pages meet their host's template by (host, part of
+the host), so that the pages of a host with a third of all are read by many tasks.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ class Walk:
             if kind == "text":
                 text.append(rest)
                 if not rest.isspace():
-                    token = xxhash.xxh64_intdigest(" ".join(rest.split()), seed=path & 0xFFFFFFFF)
+                    token = xxhash.xxh64_intdigest(" ".join(rest.split()), seed=path & 0xFFFFFFFF) | 1
                     own.append(token)
                     self.tokens[token] += 1
                     self.above[token] = path
@@ -115,7 +115,7 @@ class Walk:
                 if name == "p" and open_ and open_[-1][0] == "p":
                     open_.pop()
                 path = open_[-1][2] if open_ else 0
-                token = xxhash.xxh64_intdigest(f"<{name} {' '.join(sorted(CLASS.findall(rest)))}", seed=path & 0xFFFFFFFF)
+                token = xxhash.xxh64_intdigest(f"<{name} {' '.join(sorted(CLASS.findall(rest)))}", seed=path & 0xFFFFFFFF) | 1
                 self.tokens[token] += 1
                 self.above[token] = path
                 if name not in INLINE:
@@ -178,12 +178,21 @@ def _signed(values) -> np.ndarray:
     return np.array([v & 0xFFFFFFFFFFFFFFFF for v in values], np.uint64).view(np.int64)
 
 
+PARTIAL = "host string, token long, above long, vector long, pages long, least long, most long"
+#: Stands for the pages of a host themselves; tokens of pages are odd.
+PAGE = 0
+
+
 def _counter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, token, above, vector, pages, least, most): partial sums over pages of one batch."""
+    """PARTIAL sums over pages of one batch; those of PAGE have the least and most of the pages' own hashes."""
     for f in frames:
         sums: dict[tuple[str, int], list[int]] = {}
         for page_id, host, page in zip(f["row"], f["host"], f["html"], strict=True):
             walk = Walk(page)
+            own = xxhash.xxh64_intdigest(str(sorted(walk.tokens.items()))) >> 1
+            s = sums.setdefault((host, PAGE), [0, 0, own, own, 0])
+            s[1] += 1
+            s[2], s[3] = min(s[2], own), max(s[3], own)
             for token, n in walk.tokens.items():
                 s = sums.setdefault((host, token), [0, 0, n, n, walk.above[token]])
                 s[0] += xxhash.xxh64_intdigest(f"{page_id}:{n}")
@@ -196,24 +205,30 @@ def _counter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         }, columns=["host", "token", "above", "vector", "pages", "least", "most"])
 
 
-def _nested(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _nested(least_share: float):
     """Template of each host: classes of one count, then those all of whose outer tokens stand in the template or in themselves."""
-    for f in frames:
-        out = []
-        for classes in f["classes"]:
-            template: set[int] = set()
-            waiting = []
-            for c in classes:
-                if c["even"]:
-                    template.update(c["tokens"])
-                else:
-                    waiting.append((set(c["tokens"]), set(c["above"])))
-            while fits := [c for c in waiting if c[1] - c[0] <= template]:
-                for tokens, _ in fits:
-                    template |= tokens
-                waiting = [c for c in waiting if not c[0] <= template]
-            out.append(sorted(template))
-        yield pd.DataFrame({"host": f["host"], "template": out})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for classes, of in zip(f["classes"], f["of"], strict=True):
+                template: set[int] = set()
+                waiting = []
+                for c in classes:
+                    if c["pages"] < least_share * of:
+                        continue
+                    if c["even"]:
+                        template.update(c["tokens"])
+                    else:
+                        waiting.append((set(c["tokens"]), set(c["above"])))
+                while fits := [c for c in waiting if c[1] - c[0] <= template]:
+                    for tokens, _ in fits:
+                        template |= tokens
+                    waiting = [c for c in waiting if not c[0] <= template]
+                out.append(sorted(template))
+            yield pd.DataFrame({"host": f["host"], "template": out})
+
+    return run
 
 
 def templates(pages: DataFrame, least_share: float = 0.8) -> DataFrame:
@@ -221,20 +236,34 @@ def templates(pages: DataFrame, least_share: float = 0.8) -> DataFrame:
 
     A class is valid if it has two tokens or more and occurs on ``least_share`` of the host's pages,
     LEAST_PAGES at least, by one count everywhere or nested in such classes, and if the host's pages
-    differ at all: where all tokens are in one class (copies of one page) nothing can be told apart and
-    the template is empty.
+    differ at all: from copies of one page nothing can be told apart and the template is empty.
     """
-    parts = pages.mapInPandas(_counter, "host string, token long, above long, vector long, pages long, least long, most long")
+    parts = pages.mapInPandas(_counter, PARTIAL)
     # sums of 64-bit hashes wrap around; halves are summed apart so that no mode of Spark calls it an overflow
     tokens = parts.groupBy("host", "token").agg(
         F.sum(F.shiftrightunsigned("vector", 32)).alias("high"), F.sum(F.col("vector").bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("above").alias("above")
-    )
-    sizes = pages.groupBy("host").agg(F.count("*").alias("of"))
+    ).where(F.col("pages") >= LEAST_PAGES)
     classes = tokens.groupBy("host", "high", "low", "pages", "least", "most").agg(F.collect_set("token").alias("tokens"), F.collect_set("above").alias("above"))
-    valid = (F.size("tokens") >= 2) & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= least_share * F.col("of"))
-    # one aggregation for both, since a second reading of the classes would count all pages again
-    found = classes.join(sizes, "host").groupBy("host").agg(F.count("*").alias("kinds"), F.collect_list(F.when(valid, F.struct("tokens", "above", (F.col("least") == F.col("most")).alias("even")))).alias("classes")).where("kinds > 1").select("host", "classes")
-    return found.mapInPandas(_nested, "host string, template array<long>").where(F.size("template") > 0)
+    page = F.array_contains("tokens", F.lit(PAGE).cast("long"))
+    # classes that repeat over pages are few, whatever the host's size
+    found = classes.where(page | (F.size("tokens") >= 2)).groupBy("host").agg(
+        F.max(F.when(page, F.col("pages"))).alias("of"), F.max(F.when(page, F.col("least") < F.col("most"))).alias("differ"),
+        F.collect_list(F.when(~page, F.struct("tokens", "above", "pages", (F.col("least") == F.col("most")).alias("even")))).alias("classes"),
+    )
+    return found.where("differ").select("host", "of", "classes").mapInPandas(_nested(least_share), "host string, template array<long>").where(F.size("template") > 0)
+
+
+#: Hosts are counted by HOST_GROUPS hashes of their names, a bound on what reaches the driver.
+HOST_GROUPS = 4096
+
+
+def with_templates(rows: DataFrame, found: DataFrame, pages_a_part: int = 200) -> DataFrame:
+    """``rows`` (host, row, ...) with their host's template or null, joined by parts of at most about ``pages_a_part`` pages."""
+    group = F.pmod(F.xxhash64("host"), F.lit(HOST_GROUPS))
+    sizes = {r[0]: r[1] for r in rows.groupBy(group.cast("int").alias("g")).count().collect()}
+    parts = F.expr(f"array({', '.join(str(1 + sizes.get(g, 0) // pages_a_part) for g in range(HOST_GROUPS))})")[group.cast("int")]
+    spread = found.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(3)), parts).cast("int")).join(spread.hint("shuffle_merge"), ["host", "part"], "left")
 
 
 def _extractor(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,9 +287,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
     host, _ = host_and_path(F.col("url"))
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), host.alias("host"))
-    found = templates(rows.select(F.xxhash64("page_id", "url").alias("row"), "host", "html"))
-    out = rows.join(found, "host", "left").mapInPandas(_extractor, "page_id long, url string, text string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), host.alias("host"), F.xxhash64("page_id", "url").alias("row"))
+    found = templates(rows.select("row", "host", "html"))
+    out = with_templates(rows, found).select("page_id", "url", "html", "host", "template").mapInPandas(_extractor, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
