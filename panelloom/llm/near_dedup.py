@@ -6,11 +6,10 @@ hash of each bin is kept. An empty bin borrows from a bin drawn by a universal h
 
 A bucket emits a star, not all pairs: every member is compared with one centre, the member whose bands
 are shared most widely (the original of a group of edited copies shares every common band, a copy does
-not). Candidates are confirmed on whole shingle sets. Documents that a star leaves in different
-components are compared further. Buckets of at most SMALL members compare members of different components.
-Members of larger buckets are gathered by centre, and those outside the largest component are compared
-with all, in blocks, by their differences from the centre's set: exact, and only links leave a block.
-No pair is dropped by a count.
+not). Candidates are confirmed on whole shingle sets. Where a star leaves several components in its
+bucket, the members that are not in the centre's largest component are compared with all members of that
+centre's buckets, block by block, by their differences from the centre's set: exact at every size, and
+only links leave a block. No pair is dropped by a count or an estimate.
 
 Equal word sequences are one node, so thousands of exact copies cost one row each.
 """
@@ -29,7 +28,10 @@ from pyspark.sql import functions as F
 from panelloom.llm.common import mix64, shingle_hashes, stored, table, text_slices, word_hashes
 
 PROBES = 256
-SMALL = 64
+#: Shingles of differences in a block of members, on average.
+BLOCK = 1 << 17
+#: Shingles that two blocks are compared on at once.
+COLUMNS = 1 << 12
 
 
 def _probe_table(bins: int) -> np.ndarray:
@@ -59,9 +61,14 @@ def one_permutation(hashes: np.ndarray, bins: int, probes: np.ndarray) -> np.nda
     return out & np.uint64(0xFFFFFFFF)
 
 
+def text_key(words: np.ndarray) -> bytes:
+    """Name of a word sequence."""
+    return hashlib.md5(words.tobytes()).digest()
+
+
 def sketcher(shingle: int, bands: int, rows: int):
     bins = bands * rows
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probe_table(bins)
@@ -70,50 +77,54 @@ def sketcher(shingle: int, bands: int, rows: int):
             ids = batch.column(0)
             for at, data, offsets in text_slices(batch):
                 words, firsts = word_hashes(data, offsets)
-                keys, sizes, marks, bits = [], [], [], []
+                keys, sizes, marks = [], [], []
                 for i in range(len(offsets) - 1):
                     own = words[firsts[i] : firsts[i + 1]]
-                    keys.append(hashlib.md5(own.tobytes()).digest())
+                    keys.append(text_key(own))
                     found = shingle_hashes(own, shingle)
                     sizes.append(len(found))
                     if not len(found):
                         marks.append(None)
-                        bits.append(None)
                         continue
                     sig = one_permutation(found, bins, probes)
                     h = salt
                     for column in sig.reshape(bands, rows).T:
                         h = mix64(h ^ column) * np.uint64(0x9E3779B97F4A7C15)
                     marks.append(h.view(np.int64))
-                    bits.append(mix64(sig).astype(np.uint8).tobytes())
-                yield pa.record_batch([ids.slice(at, len(keys)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(bits, pa.binary())], schema=schema)
+                yield pa.record_batch([ids.slice(at, len(keys)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], schema=schema)
 
-    return run, "doc_id long, key binary, n_shingles long, bands array<long>, bits binary"
+    return run, "doc_id long, key binary, n_shingles long, bands array<long>"
 
 
 def _set_maker(shingle: int):
+    """Shingle sets of rows (doc_id, text, key) whose text is the one that ``key`` names."""
     schema = pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for at, data, offsets in text_slices(batch):
                 words, firsts = word_hashes(data, offsets)
-                sets = [shingle_hashes(words[firsts[i] : firsts[i + 1]], shingle).view(np.int64) for i in range(len(offsets) - 1)]
-                yield pa.record_batch([ids.slice(at, len(sets)), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+                own = [words[firsts[i] : firsts[i + 1]] for i in range(len(offsets) - 1)]
+                named = [i for i, key in enumerate(batch.column(2).slice(at, len(own)).to_pylist()) if text_key(own[i]) == key]
+                sets = [shingle_hashes(own[i], shingle).view(np.int64) for i in named]
+                yield pa.record_batch([batch.column(0).take(pa.array([at + i for i in named], pa.int64())), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the given doc_ids: the same shuffled join at every size."""
-    return docs.select("doc_id", "text").join(ids.hint("shuffle_merge"), "doc_id", "left_semi")
+def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the given doc_ids: the same shuffled join at every size."""
+    return texts.join(ids.hint("shuffle_merge"), "doc_id", "left_semi")
+
 
+def shingle_sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, members) of the given doc_ids; texts: (doc_id, text, key)."""
+    return of_ids(texts, ids).mapInArrow(_set_maker(shingle), "id long, members array<long>").dropDuplicates(["id"])
 
-def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+
+def confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of the pairs (u, v) those whose whole sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = of_ids(docs, wanted).mapInArrow(_set_maker(shingle), "id long, members array<long>")
+    sets = shingle_sets(texts, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), shingle)
     a, b = sets.select(F.col("id").alias("u"), F.col("members").alias("a")), sets.select(F.col("id").alias("v"), F.col("members").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return pairs.join(b, "v").join(a, "u").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct()
@@ -159,41 +170,37 @@ def stars(entries: DataFrame, centre: DataFrame) -> DataFrame:
     return entries.join(centre, "bucket").where("id <> centre").select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
 
 
-def _pair_maker(bins: int, percent: int):
-    """Pairs of members of different components whose sketches do not rule the similarity out (four sigma)."""
-    t = percent / 100
-    least = t - 4 * np.sqrt(t * (1 - t) / bins)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            us, vs = [], []
-            for group in frame["group"]:
-                ids = np.array([m["id"] for m in group], np.int64)
-                parts = np.array([m["component_id"] for m in group], np.int64)
-                bits = np.array([np.frombuffer(m["bits"], np.uint8) for m in group])
-                for i in range(len(ids) - 1):
-                    near = (bits[i + 1 :] == bits[i]).mean(axis=1) >= least
-                    near &= parts[i + 1 :] != parts[i]
-                    other = ids[i + 1 :][near]
-                    us.append(np.minimum(other, ids[i]))
-                    vs.append(np.maximum(other, ids[i]))
-            if us:
-                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
-
-    return run
-
-
 def _open(entries: DataFrame) -> DataFrame:
     """Entries of buckets that hold several components after their star, and more than one untested pair."""
     state = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("members > 2 and low <> high").select("bucket", "members")
     return entries.drop("members").join(state, "bucket")
 
 
-def small_bucket_pairs(open_: DataFrame, nodes: DataFrame, bins: int, percent: int) -> DataFrame:
-    """Candidate pairs within buckets of at most SMALL members; open_: (bucket, id, component_id, members)."""
-    bounded = open_.where(F.col("members") <= SMALL).join(nodes.select("id", "bits"), "id")
-    groups = bounded.groupBy("bucket").agg(F.collect_list(F.struct("id", "component_id", "bits")).alias("group"))
-    return groups.select("group").mapInPandas(_pair_maker(bins, percent), "u long, v long").distinct()
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right sorted set."""
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    vocabulary = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def cells(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(vocabulary, flat), max(0, len(vocabulary) - 1))
+        has = vocabulary[at] == flat
+        order = np.argsort(at[has], kind="stable")
+        return row[has][order], at[has][order]
+
+    if not len(vocabulary):
+        return out.astype(np.int64)
+    (ra, ca), (rb, cb) = cells(left, a), cells(right, b)
+    for first in range(0, len(vocabulary), COLUMNS):
+        parts = []
+        for n, r, c in ((len(left), ra, ca), (len(right), rb, cb)):
+            lo, hi = np.searchsorted(c, (first, first + COLUMNS))
+            m = np.zeros((n, min(COLUMNS, len(vocabulary) - first)), np.float32)
+            m[r[lo:hi], c[lo:hi] - first] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
 
 
 def _block_linker(percent: int):
@@ -205,20 +212,16 @@ def _block_linker(percent: int):
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def unpack(group, vocabulary: np.ndarray):
+        def unpack(group):
             ids, parts, lacks, sizes = (np.array([m[k] for m in group], np.int64) for k in ("id", "component_id", "lacks", "size"))
-            matrix = np.zeros((len(ids), len(vocabulary)), np.float32)
-            for k, m in enumerate(group):
-                matrix[k, np.searchsorted(vocabulary, np.asarray(m["differs"], np.int64))] = 1
-            return ids, parts, lacks, sizes, matrix
+            return ids, parts, lacks, sizes, [np.asarray(m["differs"], np.int64) for m in group]
 
         for frame in frames:
             us, vs = [], []
             for some, others, of in zip(frame["some"], frame["others"], frame["of"], strict=True):
-                vocabulary = np.unique(np.concatenate([np.asarray(m["differs"], np.int64) for m in (*some, *others)]))
-                ids, parts, lacks, sizes, left = unpack(some, vocabulary)
-                there, there_parts, there_lacks, there_sizes, right = unpack(others, vocabulary)
-                both = of - lacks[:, None] - there_lacks[None] + (left @ right.T).astype(np.int64)
+                ids, parts, lacks, sizes, left = unpack(some)
+                there, there_parts, there_lacks, there_sizes, right = unpack(others)
+                both = of - lacks[:, None] - there_lacks[None] + shared_counts(left, right)
                 linked = (100 * both >= percent * (sizes[:, None] + there_sizes[None] - both)) & (parts[:, None] != there_parts[None])
                 for k in np.flatnonzero(linked.any(axis=1)):
                     own = np.flatnonzero(linked[k])
@@ -231,25 +234,27 @@ def _block_linker(percent: int):
     return run
 
 
-def large_bucket_links(spark: SparkSession, docs: DataFrame, open_: DataFrame, centre: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links between components of buckets with more than SMALL members.
+def open_links(spark: SparkSession, texts: DataFrame, open_: DataFrame, centre: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links between components of one centre's buckets; open_: (bucket, id, component_id).
 
     Members are gathered by their bucket's centre, of which a group of edited copies has one or a few.
-    Those outside the centre's largest component are compared with all members, block by block.
+    Those outside the centre's largest component are compared with all members. Blocks hold about BLOCK
+    shingles of differences; each pair of blocks is a row of its own, dealt by centre and block.
     """
-    held = stored(spark, open_.where(F.col("members") > SMALL).join(centre, "bucket").select("centre", "id", "component_id").distinct(), "held")
-    wanted = held.select(F.explode(F.array("centre", "id")).alias("doc_id")).distinct()
-    sets = of_ids(docs, wanted).mapInArrow(_set_maker(shingle), "id long, members array<long>").dropDuplicates(["id"])
+    held = stored(spark, open_.join(centre, "bucket").select("centre", "id", "component_id").distinct(), "held")
+    sets = shingle_sets(texts, held.select(F.explode(F.array("centre", "id")).alias("doc_id")).distinct(), shingle)
     a, b = sets.select("id", F.col("members").alias("own")), sets.select(F.col("id").alias("centre"), F.col("members").alias("base"))
     lacks = F.array_except("base", "own")
     rows = held.join(a, "id").join(b, "centre").select("centre", "id", "component_id", F.size(lacks).alias("lacks"), F.size("own").alias("size"), F.size("base").alias("of"), F.concat(lacks, F.array_except("own", "base")).alias("differs"))
     rows = stored(spark, rows, "differences")
-    groups = rows.groupBy("centre").agg(F.count("*").alias("n"), F.mode("component_id").alias("most"))
-    placed = rows.join(groups, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SMALL)))
+    parts = rows.groupBy("centre", "component_id").agg(F.count("*").alias("n"), F.sum(F.size("differs") + 8).alias("weight"))
+    groups = parts.groupBy("centre").agg(F.ceil(F.sum("weight") / BLOCK).cast("int").alias("blocks"), F.max_by("component_id", F.struct("n", -F.col("component_id"))).alias("most"))
+    placed = rows.join(groups, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     member = F.struct("id", "component_id", "lacks", "size", "differs")
-    some = placed.where("component_id <> most").groupBy("centre", "block").agg(F.collect_list(member).alias("some"), F.first("of").alias("of")).drop("block")
-    others = placed.groupBy("centre", "block").agg(F.collect_list(member).alias("others")).drop("block")
-    return some.join(others, "centre").select("some", "others", "of").mapInPandas(_block_linker(percent), "u long, v long").distinct()
+    some = placed.where("component_id <> most").groupBy("centre", "block").agg(F.collect_list(member).alias("some"), F.first("of").alias("of"), F.first("blocks").alias("blocks"))
+    others = placed.groupBy("centre", "block").agg(F.collect_list(member).alias("others"))
+    some = some.select("centre", "some", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return some.join(others.hint("shuffle_merge"), ["centre", "block"]).select("some", "others", "of").mapInPandas(_block_linker(percent), "u long, v long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -257,34 +262,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
 
     Words are maximal runs of bytes other than ASCII white space, A-Z lower-cased. Null, empty or
     blank texts have 0 shingles and link with nothing, as do rows without doc_id (their component_id
-    is null and they are kept). doc_id names a document: rows that repeat one share its component.
-    An empty table gives no rows; other columns of ``docs`` are ignored.
+    is null and they are kept). doc_id names a document: of different texts that share one, that with
+    the least MD5 of its words' hashes stands for it, and all its rows share its component. An empty
+    table gives no rows; other columns of ``docs`` are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = sketcher(shingle, bands, rows)
     sketch = stored(spark, docs.mapInArrow(run, schema), "sketch")
     whole = sketch.where("n_shingles > 0 and doc_id is not null")
-    node_of = whole.groupBy("key").agg(F.min("doc_id").alias("id"))
-    nodes = stored(spark, whole.withColumnRenamed("doc_id", "id").join(node_of.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "nodes")
+    named = whole.groupBy("doc_id").agg(F.min("key").alias("key"))
+    node_of = stored(spark, named.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "nodes-of")
+    nodes = stored(spark, whole.join(node_of, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "key", "bands"), "nodes")
     entries = stored(spark, _with_counts(nodes.select("id", F.explode("bands").alias("bucket"))), "entries")
     centre = stored(spark, centres(entries), "centres")
     first = stored(spark, stars(entries, centre), "stars")
     # texts of documents that share a bucket at all: the only ones any confirmation asks for
-    docs = stored(spark, of_ids(docs, entries.select(F.col("id").alias("doc_id")).distinct()), "texts")
-    links = stored(spark, confirmed(docs, first, shingle, percent), "links")
+    wanted = entries.select("id").distinct().join(nodes.select("id", "key"), "id").withColumnRenamed("id", "doc_id")
+    texts = stored(spark, docs.join(wanted.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "key"), "texts")
+    links = stored(spark, confirmed(texts, first, shingle, percent), "links")
     parts = components(spark, links)
     labelled = nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
     now = stored(spark, _open(entries.select("bucket", "id").join(labelled, "id")), "open")
-    more = stored(spark, small_bucket_pairs(now, nodes, bands * rows, percent).join(first, ["u", "v"], "left_anti"), "rest")
-    late = confirmed(docs, more, shingle, percent)
-    if not now.where(F.col("members") > SMALL).isEmpty():
-        late = late.union(large_bucket_links(spark, docs, now, centre, shingle, percent))
-    late = stored(spark, late, "late")
+    late = stored(spark, open_links(spark, texts, now, centre, shingle, percent), "late")
     if not late.isEmpty():
         parts = components(spark, links.union(late))
-    labels = node_of.join(parts, "id", "left").select("key", F.coalesce("component_id", "id").alias("linked"))
-    own = F.coalesce("linked", "doc_id")
-    return sketch.join(labels, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), own).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    labels = node_of.withColumnRenamed("doc_id", "id").join(parts, "id", "left").select("key", F.coalesce("component_id", "id").alias("linked"))
+    linked = named.join(labels, "key").select("doc_id", "linked")
+    out = sketch.join(linked, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("linked", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
