@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.functions.kernels import mssa_fit, mssa_predict
+from panelloom.functions.forecasters import FACTORIES
+from panelloom.functions.kernels import ar_fit, mssa_fit, mssa_predict
 from panelloom.spec import MssaConfig
 
 FORECASTERS = "factor int, coefs array<double>, ar_coefs array<double>, rank int, n_steps int"
@@ -41,13 +42,48 @@ def fit_forecasters(series: DataFrame, cfg: MssaConfig) -> DataFrame:
     return series.groupBy("factor").applyInPandas(fit, FORECASTERS)
 
 
+def updated(forecasters: DataFrame, regime: int, n_new: int) -> DataFrame:
+    """Forecasters of a model after ``n_new`` steps came to the series of a regime: fitted as they were, with a longer history."""
+    return forecasters.withColumn("n_steps", F.when(F.col("regime") == regime, F.col("n_steps") + n_new).otherwise(F.col("n_steps")).cast("int"))
+
+
+def fit_autoregression(series: DataFrame, order: int) -> DataFrame:
+    """(factor, phi): autoregressions without intercept of each factor's (factor, t, value) series, latest lag first."""
+
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"factor": [f["factor"].iloc[0]], "phi": [ar_fit(_ordered(f), order).tolist()]})
+
+    return series.groupBy("factor").applyInPandas(fit, "factor int, phi array<double>")
+
+
+def forecast_autoregression(series: DataFrame, order: int, horizon: int) -> DataFrame:
+    """(factor, step, value) of steps 1 to ``horizon`` after each series by its own autoregression."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        past = _ordered(f)
+        phi = ar_fit(past, order)
+        out = mssa_predict(past, phi[::-1], horizon)
+        return pd.DataFrame({"factor": f["factor"].iloc[0], "step": np.arange(1, horizon + 1), "value": out})
+
+    return series.groupBy("factor").applyInPandas(run, "factor int, step int, value double")
+
+
 def forecast_series(series: DataFrame, forecasters: DataFrame, horizon: int, cfg: MssaConfig) -> DataFrame:
-    """(factor, step, value) for ``horizon`` steps after each series; NULL where its history has gaps."""
+    """(factor, step, value) for ``horizon`` steps after each series; NULL where its history has gaps.
+
+    A forecaster registered under another name than ``mssa`` is fitted to the history where it forecasts.
+    """
+    if cfg.model != "mssa" and cfg.model not in FACTORIES:
+        raise ValueError(f"unknown forecaster {cfg.model!r}; known: {', '.join(sorted(FACTORIES))}")
+    factory = None if cfg.model == "mssa" else FACTORIES[cfg.model]
 
     def run(key: tuple, history: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(history) or not len(model):
             return pd.DataFrame({"factor": [], "step": [], "value": []})
         ts = _ordered(history)
+        if factory is not None:
+            out = factory(cfg).fit(ts).predict(horizon)
+            return pd.DataFrame({"factor": key[0], "step": np.arange(horizon), "value": [None if np.isnan(v) else v for v in out]})
         coefs, ar = np.asarray(model["coefs"].iloc[0], float), np.asarray(model["ar_coefs"].iloc[0], float)
         noise = None
         if len(ar):

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.sources.scratch import stored
 from panelloom.spec import PanelSpec
 
 SEPARATOR = "-"
@@ -46,15 +47,34 @@ def small_dimension(values: DataFrame, name: str, offset: int = 0) -> DataFrame:
 
 
 def large_dimension(values: DataFrame, name: str) -> DataFrame:
-    """Dense index by value of a dictionary of any size: a distributed sort, then offsets of its partitions."""
+    """Dense index by value of a dictionary of any size: a distributed sort, then offsets of its partitions.
+
+    The sorted rows are written before their partitions are counted, so that a lost executor can't deal
+    them out anew between the two.
+    """
     rank = values.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
-    rank = rank.persist()
+    rank = stored(rank, "ranked")
     ends = rank.groupBy("part").agg(F.count("*").alias("n"))
     base = ends.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     # one row for each partition of the sort
     return rank.join(F.broadcast(base), "part").select(name, (F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias(f"{name}_idx"))
 
 
+def sample_rows(panel: DataFrame, share: float, keys: list[str], seed: int = 0) -> DataFrame:
+    """About ``share`` of the rows, chosen by a hash of ``keys``: the same ones in every run and however rows are dealt."""
+    return panel.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def in_both(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
+    """Distinct values that both panels hold."""
+    return a.select(*columns).intersect(b.select(*columns))
+
+
+def in_first_only(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
+    """Distinct values of the first panel that the second doesn't hold."""
+    return a.select(*columns).subtract(b.select(*columns))
+
+
 def encode(panel: DataFrame, units: DataFrame, times: DataFrame, actions: DataFrame) -> DataFrame:
     """(unit_idx, time_idx, action_idx, value) of every panel row; unknown actions have NULL."""
     return panel.join(units, "unit").join(times, "time").join(actions, "action", "left").select("unit_idx", "time_idx", "action_idx", F.col("metric").alias("value"))

@@ -9,11 +9,9 @@ from __future__ import annotations
 
 import io
 import json
-import tempfile
 import zipfile
 from abc import ABC, abstractmethod
 from dataclasses import asdict
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +20,7 @@ from pyspark.sql import functions as F
 import panelloom.operators.bicluster  # noqa: F401  registers its imputers
 from panelloom.operators import cp, drift, layout, mssa, panel
 from panelloom.operators.snn import IMPUTERS
+from panelloom.sources.scratch import new_path, read_files, remove, stored, write_bytes
 from panelloom.spec import AlsConfig, BiclusterConfig, CpConfig, ModelConfig, MssaConfig, PanelSpec, SnnConfig
 
 TABLES = ("units", "times", "actions", "assignment", "obs", "nan_mask", "factors", "regimes", "drift", "forecasters", "unit_covariates")
@@ -59,12 +58,8 @@ class PanelModel(WhatIfModel):
     # ------------------------------------------------------------------ fitting
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        """Cut lineage where a checkpoint folder is set, else cache."""
-        if self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            return df.checkpoint()
-        df = df.persist()
-        df.count()
-        return df
+        """Cut lineage: a table in the shared folder, whose size the optimizer knows."""
+        return stored(df, "model")
 
     def _require(self) -> None:
         gone = [t for t in TABLES if t not in self.tables and t not in ("forecasters", "unit_covariates")]
@@ -295,7 +290,8 @@ class PanelModel(WhatIfModel):
         else:
             self._append_time_factors(number, new)
             self._append_mask(fresh, old, self.T)
-            self._fit_forecasters(number, start)
+            # forecasters keep their coefficients; their history is the table of time factors
+            t["forecasters"] = self._keep(mssa.updated(t["forecasters"], number, n_new))
         return self
 
     def _append_time_factors(self, regime: int, new: DataFrame) -> None:
@@ -348,22 +344,27 @@ class PanelModel(WhatIfModel):
         return model
 
     def to_bytes(self) -> bytes:
-        """The saved folder as a zip; for models that fit the driver (local file systems)."""
-        with tempfile.TemporaryDirectory() as d:
-            self.save(f"file://{d}/m")
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                for p in sorted(Path(d).rglob("*")):
-                    if p.is_file():
-                        z.write(p, p.relative_to(d))
-            return out.getvalue()
+        """The saved folder as a zip; for models that fit the driver."""
+        path = new_path(self.spark, "model-bytes")
+        self.save(path)
+        try:
+            files = read_files(self.spark, path)
+        finally:
+            remove(self.spark, path)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in sorted(files.items()):
+                z.writestr(name, data)
+        return out.getvalue()
 
     @classmethod
     def from_bytes(cls, spark: SparkSession, data: bytes) -> PanelModel:
-        d = tempfile.mkdtemp(prefix="panel-model-")
+        """A model from ``to_bytes``, unpacked into the shared folder, where its tables stay."""
+        path = new_path(spark, "model-bytes")
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            z.extractall(d)
-        return cls.load(spark, f"file://{d}/m")
+            for name in z.namelist():
+                write_bytes(spark, f"{path}/{name}", z.read(name))
+        return cls.load(spark, path)
 
 
 def _config(d: dict[str, Any]) -> ModelConfig:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from panelloom.plans.model import PanelModel
+from panelloom.sources.scratch import new_path
 from panelloom.spec import PanelSpec
 
 
@@ -37,41 +39,50 @@ def panel_cells(events: DataFrame, unit: str = "user_id", action: str = "event_t
 class ModelSink:
     """foreachBatch sink that fits a model on its first batch and appends later ones.
 
-    The model is saved below ``path`` after each batch, with the batch's number: a batch that is
-    replayed after a failure is skipped. Late rows go to ``path/late``.
+    Each batch leaves a model, its late rows and at last a state under names of its own below ``path``
+    (``model-<batch>``, ``late/batch=<batch>``, ``state/batch=<batch>``). The state is one committed file, so
+    a batch counts when that is there; what a failed try left is written over by the next, and a batch that
+    is replayed after it was done is skipped.
     """
 
     def __init__(self, model: PanelModel, spec: PanelSpec, path: str) -> None:
         self.model, self.spec, self.path = model, spec, path
+        self.batch = -1  # the batch after which self.model stands
 
     def _done(self, spark: SparkSession) -> dict:
+        """The last complete state."""
         try:
-            return json.loads(spark.read.text(f"{self.path}/state", wholetext=True).first()[0])
+            states = [json.loads(r[0]) for r in spark.read.text(f"{self.path}/state/*").collect()]
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            return {"batch": -1, "version": None}
+            states = []
+        return max(states, key=lambda s: s["batch"], default={"batch": -1, "version": None})
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = self._done(spark)
         if batch_id <= done["batch"]:
             return
-        if done["version"] and self.model.spec is None:
+        if done["version"] and self.batch != done["batch"]:
+            # a new process, or a try of this batch that failed half way
             self.model = PanelModel.load(spark, f"{self.path}/{done['version']}")
+        elif not done["version"] and self.model.spec is not None and self.batch != done["batch"]:
+            self.model = PanelModel(spark, self.model.config)
+        version = done["version"]
         if not batch.isEmpty():
+            self.batch = None  # not to be trusted until the state is written
             if self.model.spec is None:
                 self.model.fit(batch, self.spec)
             else:
                 self.model.partial_fit(batch)
-                if self.model.late is not None and not self.model.late.isEmpty():
-                    self.model.late.write.mode("append").parquet(f"{self.path}/late")
-        version = None
-        if self.model.spec is not None:
+                if self.model.late is not None:
+                    self.model.late.write.mode("overwrite").parquet(f"{self.path}/late/batch={batch_id}")
             version = f"model-{batch_id}"
             self.model.save(f"{self.path}/{version}")
         state = json.dumps({"batch": batch_id, "version": version})
-        spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/state")
+        spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/state/batch={batch_id}")
+        self.batch = batch_id
 
 
 def stream_into(cells: DataFrame, sink: ModelSink, checkpoint: str) -> StreamingQuery:
@@ -90,11 +101,14 @@ def keyed_cusum(events: DataFrame, drift: float, unit: str = "user_id", value: s
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, c = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values("ts")
-        for v in rows["value"].to_numpy(float):
-            if v == v:
-                c = max(c + v - drift, 0.0)
-                n += 1
+        # two numbers an event of a key and batch; batches are bounded by the reader
+        parts = [(f["ts"].to_numpy(), f["value"].to_numpy(float)) for f in frames]
+        ts, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+        v = v[np.argsort(ts, kind="stable")]
+        v = v[~np.isnan(v)]
+        if len(v):
+            s = c + np.cumsum(v - drift)
+            c, n = float(s[-1] - min(0.0, s.min())), n + len(v)
         state.update((n, c))
         yield pd.DataFrame({"unit": [key[0]], "n": [n], "cusum": [c]})
 
@@ -102,10 +116,28 @@ def keyed_cusum(events: DataFrame, drift: float, unit: str = "user_id", value: s
     return d.groupBy("unit").applyInPandasWithState(run, CUSUM, "n long, c double", "update", GroupStateTimeout.NoTimeout)
 
 
-def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is available and return its rows from a table in the session's memory sink."""
+def to_table(stream: DataFrame) -> DataFrame:
+    """Run an appending stream over all that is available; its rows as a table in the shared folder."""
     spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    path = new_path(spark, "stream")
+    stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def updates_table(stream: DataFrame) -> DataFrame:
+    """Run an updating stream over all that is available; its updates with the number of their ``batch``.
+
+    Each batch is written under its number, over what a failed try of it may have left.
+    """
+    spark = stream.sparkSession
+    path = new_path(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")  # a stream without data has no batches
+    write = lambda rows, k: rows.write.mode("overwrite").parquet(f"{path}/rows/batch={k}")
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(StructType([*stream.schema, StructField("batch", IntegerType())])).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+
+
+def latest(updates: DataFrame, *keys: str) -> DataFrame:
+    """The last update of each key."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")

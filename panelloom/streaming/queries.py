@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from panelloom.plans.model import PanelModel
 from panelloom.plans.queries import P1, SMALL, SPEC, query
-from panelloom.streaming.ingest import ModelSink, keyed_cusum, panel_cells, read_events, stream_into, to_table
+from panelloom.sources.scratch import new_path
+from panelloom.streaming.ingest import ModelSink, keyed_cusum, latest, panel_cells, read_events, stream_into, to_table, updates_table
 
 
 @query(f"WITH {P1} SELECT * FROM p1 WHERE CAST(time AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
@@ -20,13 +19,13 @@ def streaming_panel_cells(spark, sf_dir):
 c AS (SELECT unit, n, ts, s - least(0, min(s) OVER (PARTITION BY unit ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS c FROM s)
 SELECT unit, max(n)::BIGINT AS n, round(arg_max(c, ts), 4) AS cusum FROM c GROUP BY unit""")
 def streaming_cusum(spark, sf_dir):
-    d = to_table(keyed_cusum(read_events(spark, f"{sf_dir}/events.parquet"), 60.0), "update")
+    d = latest(updates_table(keyed_cusum(read_events(spark, f"{sf_dir}/events.parquet"), 60.0)), "unit")
     return d.select("unit", "n", F.round("cusum", 4).alias("cusum"))
 
 
 @query()
 def streaming_partial_fit(spark, sf_dir):
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="panel-stream-")) + "/stream"
+    folder = new_path(spark, "stream-model")
     sink = ModelSink(PanelModel(spark, SMALL), SPEC, f"{folder}/model")
     stream_into(panel_cells(read_events(spark, f"{sf_dir}/events.parquet")), sink, f"{folder}/checkpoint").awaitTermination()
     return sink.model.summary()
