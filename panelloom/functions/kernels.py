@@ -36,12 +36,17 @@ def truncated_svd(x: np.ndarray, rank: int, least: float = 1e-7) -> tuple[np.nda
     return u[:, :k], s[:k], v[:k]
 
 
-def pcr(a: np.ndarray, y: np.ndarray, max_rank: int | None, spectral_t: float | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Principal component regression of y on the columns of a: (coefficients, right singular vectors)."""
+def components_of(a: np.ndarray, max_rank: int | None, spectral_t: float | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """U, s, V^T of the principal components that a regression on the columns of a keeps."""
     u, s, v = np.linalg.svd(a, full_matrices=False)
     kept = s * (s >= least)
     k = min(choose_rank(kept, *a.shape, max_rank, spectral_t), int((kept > 0).sum()))
-    u, s, v = u[:, :k], s[:k], v[:k]
+    return u[:, :k], s[:k], v[:k]
+
+
+def pcr(a: np.ndarray, y: np.ndarray, max_rank: int | None, spectral_t: float | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Principal component regression of y on the columns of a: (coefficients, right singular vectors)."""
+    u, s, v = components_of(a, max_rank, spectral_t, least)
     return v.T @ ((u.T @ y) / s), v
 
 
@@ -56,59 +61,81 @@ def row_splits(rows: np.ndarray, k: int) -> list[np.ndarray]:
     return [p for p in np.array_split(rows, k) if len(p)]
 
 
-def best_biclique(mask: np.ndarray, node_budget: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of a fully observed submatrix with the greatest min(#rows, #columns).
+def best_biclique(mask: np.ndarray, node_budget: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a fully observed submatrix with the greatest min(#rows, #columns); see search_biclique."""
+    return search_biclique(mask, node_budget)[:2]
+
+
+def search_biclique(mask: np.ndarray, node_budget: int | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(rows, columns, exact) of a fully observed submatrix with the greatest min(#rows, #columns).
 
-    Closed column sets are grown depth first over bit sets of rows, pruned by what they can still
-    reach; ties go to the larger area, then to the lexicographically least rows. Beyond
-    ``node_budget`` nodes the best found so far, greedy solution included, is returned.
+    Columns that are alike are one column with a weight. Closed column sets are grown depth first over bit
+    sets of rows, each one once, pruned by what they can still reach; among the best found the greater area
+    wins, then the lexicographically least rows. The search is exact unless ``node_budget`` nodes are given
+    and don't suffice: then the best found so far, greedy solution included, is returned with exact False.
     """
     n, m = mask.shape
+    nothing = np.zeros(0, int)
     if not mask.any():
-        return np.zeros(0, int), np.zeros(0, int)
+        return nothing, nothing, True
     if mask.all():
-        return np.arange(n), np.arange(m)
-    columns = [int("".join("1" if x else "0" for x in mask[::-1, j]), 2) if n else 0 for j in range(m)]
-    order = sorted(range(m), key=lambda j: -columns[j].bit_count())
-    best: tuple = (0, 0, None, None)
-
-    def consider(rows: int, cols: list[int]) -> None:
+        return np.arange(n), np.arange(m), True
+    alike: dict[int, list[int]] = {}
+    for j in range(m):
+        alike.setdefault(int.from_bytes(np.packbits(mask[:, j], bitorder="little").tobytes(), "little"), []).append(j)
+    alike.pop(0, None)
+    sets = sorted(alike, key=lambda x: (-x.bit_count(), alike[x][0]))
+    weight = [len(alike[x]) for x in sets]
+    best: tuple = (0, 0, None)
+
+    def closure(rows: int) -> int:
+        return sum(w for x, w in zip(sets, weight, strict=True) if x & rows == rows)
+
+    def consider(rows: int, cols: int) -> None:
         nonlocal best
-        r, c = rows.bit_count(), len(cols)
-        score = (min(r, c), r * c)
+        r = rows.bit_count()
+        score = (min(r, cols), r * cols)
         if score > best[:2] or (score == best[:2] and score[0] and _lexical(rows, best[2])):
-            best = (*score, rows, list(cols))
-
-    def closure(rows: int) -> list[int]:
-        return [j for j in order if columns[j] & rows == rows]
+            best = (*score, rows)
 
-    # greedy start: add the column that keeps most rows
-    rows, free = (1 << n) - 1, list(order)
+    # greedy start: add the columns that keep most rows
+    rows, free = (1 << n) - 1, list(range(len(sets)))
     while free and rows:
-        j = max(free, key=lambda c: (columns[c] & rows).bit_count())
-        rows &= columns[j]
+        j = max(free, key=lambda c: (sets[c] & rows).bit_count())
+        rows &= sets[j]
         if not rows:
             break
         consider(rows, closure(rows))
         free.remove(j)
-    nodes = 0
-
-    def grow(rows: int, count: int, rest: list[int]) -> None:
-        nonlocal nodes
-        for i, j in enumerate(rest):
-            if nodes >= node_budget:
-                return
-            now = rows & columns[j]
-            if min(now.bit_count(), count + len(rest) - i) <= best[0]:
-                continue
-            nodes += 1
-            consider(now, closure(now))
-            grow(now, count + 1, rest[i + 1 :])
-
-    grow((1 << n) - 1, 0, order)
+    nodes, exact = 0, True
+
+    def grow(rest: list[int], rows: int, done: list[int]) -> None:
+        nonlocal nodes, exact
+        done = list(done)
+        for place, j in enumerate(rest):
+            now = rows & sets[j]
+            if now.bit_count() > best[0] and not any(sets[d] & now == now for d in done):
+                if node_budget is not None and nodes >= node_budget:
+                    exact = False
+                    return
+                nodes += 1
+                later, reach, least = [], 0, best[0]
+                for k in rest[place + 1 :]:
+                    common = sets[k] & now
+                    if common != now and common.bit_count() > least:
+                        later.append(k)
+                        reach += weight[k]
+                cols = closure(now)
+                if min(now.bit_count(), cols + reach) > best[0]:
+                    consider(now, cols)
+                    grow(later, now, done)
+            done.append(j)
+
+    grow(list(range(len(sets))), (1 << n) - 1, [])
     if best[2] is None:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.array([i for i in range(n) if best[2] >> i & 1]), np.sort(np.array(best[3]))
+        return nothing, nothing, exact
+    rows = best[2]
+    return np.flatnonzero([rows >> i & 1 for i in range(n)]), np.sort(np.array([j for x in sets if x & rows == rows for j in alike[x]])), exact
 
 
 def _lexical(a: int, b: int | None) -> bool:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.kernels import masked_cp, relative_error, spectral_labels, truncated_svd
+from panelloom.operators import cp
+from panelloom.operators.panel import large_dimension
 from panelloom.operators.snn import FILLED, register_imputer
 from panelloom.spec import AlsConfig, BiclusterConfig
 
@@ -40,17 +42,22 @@ def match_clusters(pairs: DataFrame, cells: DataFrame, cluster_rows: DataFrame,
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("row_id", "col_id", "cluster", "score", "rank")
 
 
+def mask_groups(cells: DataFrame) -> int:
+    """Groups of rows that a mask is clustered in: one if it has at most DRIVER_CELLS cells, none without cells."""
+    dims = cells.agg(F.max("row_id").alias("r"), F.max("col_id").alias("c")).first()
+    return 0 if dims["r"] is None else max(1, -(-(dims["r"] + 1) * (dims["c"] + 1) // DRIVER_CELLS))
+
+
 def find_clusters(spark: SparkSession, cells: DataFrame, cfg: BiclusterConfig) -> tuple[DataFrame, DataFrame]:
     """(cluster, row_id) and (cluster, col_id): deduplicated, filtered blocks of several biclusterings.
 
     The 0/1 mask of the matrix is bounded by DRIVER_CELLS; beyond, rows are hashed into groups that
     keep it so, and each group is clustered for itself.
     """
-    dims = cells.agg(F.max("row_id").alias("r"), F.max("col_id").alias("c")).first()
-    if dims["r"] is None:
+    groups = mask_groups(cells)
+    if not groups:
         empty = spark.createDataFrame([], "cluster int, row_id int, col_id int")
         return empty.select("cluster", "row_id"), empty.select("cluster", "col_id")
-    groups = max(1, -(-(dims["r"] + 1) * (dims["c"] + 1) // DRIVER_CELLS))
     schema = "cluster int, row_id int, col_id int, seen int"
 
     def cluster(f: pd.DataFrame) -> pd.DataFrame:
@@ -79,18 +86,25 @@ def find_clusters(spark: SparkSession, cells: DataFrame, cfg: BiclusterConfig) -
     return blocks.select("cluster", "row_id").distinct(), blocks.select("cluster", "col_id").distinct()
 
 
+def sane(known: np.ndarray) -> bool:
+    """Whether a block of anchors is known well enough: two cells in each column, two rows' worth of cells, a density of .3."""
+    return bool(known.any()) and known.sum(axis=0).min() >= 2 and known.mean(axis=1).sum() >= 2 and known.mean() >= 0.3
+
+
 def _block_estimator(cfg: BiclusterConfig):
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         """One cluster: its known cells (kind 0, in and next to the block) and the pairs it estimates (kind 1)."""
         block, pairs = f[f["kind"] == 0], f[f["kind"] == 1]
         rows, cols = np.unique(block.loc[block["member"] & 1 > 0, "row_id"]), np.unique(block.loc[block["member"] & 2 > 0, "col_id"])
         if not len(pairs) or not len(rows) or not len(cols):
-            return pd.DataFrame({"row_id": [], "col_id": [], "value": [], "feasible": []})
+            return pd.DataFrame({"row_id": [], "col_id": [], "value": [], "feasible": [], "exact": []})
         inner = block[block["row_id"].isin(rows) & block["col_id"].isin(cols)]
         index = [np.searchsorted(rows, inner["row_id"]), np.searchsorted(cols, inner["col_id"])]
-        r, c = masked_cp(index, inner["value"].to_numpy(float), (len(rows), len(cols)), min(cfg.rank, len(rows), len(cols)), 100, 1e-6, 1e-9, cfg.seed)
+        r, c = masked_cp(index, inner["value"].to_numpy(float), (len(rows), len(cols)), min(cfg.rank, len(rows), len(cols)), 100, 1e-10, 1e-12, cfg.seed)
         u, s, v = truncated_svd(r @ c.T, cfg.rank, cfg.min_singular_value)
         low = (u * s) @ v
+        known = np.zeros((len(rows), len(cols)), bool)
+        known[index[0], index[1]] = True
         by_row = {k: dict(zip(g["col_id"], g["value"], strict=True)) for k, g in block.groupby("row_id")}
         by_col = {k: dict(zip(g["row_id"], g["value"], strict=True)) for k, g in block.groupby("col_id")}
         out = []
@@ -98,7 +112,7 @@ def _block_estimator(cfg: BiclusterConfig):
             mine, there = by_row.get(i, {}), by_col.get(j, {})
             ac = np.array([k for k, x in enumerate(cols) if x in mine], int)
             ar = np.array([k for k, x in enumerate(rows) if x in there], int)
-            if len(ac) < 2 or len(ar) < 2:
+            if len(ac) < 2 or len(ar) < 2 or not sane(known[np.ix_(ar, ac)]):
                 continue
             y, x2 = np.array([mine[cols[k]] for k in ac]), np.array([there[rows[k]] for k in ar])
             a = low[np.ix_(ar, ac)].T
@@ -108,61 +122,59 @@ def _block_estimator(cfg: BiclusterConfig):
             pred = float(x2 @ beta)
             pred = max(pred, cfg.min_value) if cfg.min_value is not None else pred
             out.append((i, j, min(pred, cfg.max_value) if cfg.max_value is not None else pred, bool(ok)))
-        return pd.DataFrame(out, columns=["row_id", "col_id", "value", "feasible"])
+        return pd.DataFrame(out, columns=["row_id", "col_id", "value", "feasible"]).assign(exact=True)
 
     return run
 
 
 def bicluster_impute(cells: DataFrame, missing: DataFrame, cfg: BiclusterConfig) -> DataFrame:
-    """FILLED rows: means of up to ``num_estimates`` clusters' estimates, feasible if one of them is."""
+    """FILLED rows: means of up to ``num_estimates`` clusters' estimates, feasible if one of them is.
+
+    ``exact`` is false where the matrix was too large to be clustered as a whole.
+    """
     spark = cells.sparkSession
     cells = cells.where("value is not null").select("row_id", "col_id", "value").persist()
     rows, cols = find_clusters(spark, cells.select("row_id", "col_id"), cfg)
+    whole = mask_groups(cells) <= 1
     pairs = match_clusters(missing.select("row_id", "col_id"), cells, rows, cols, cfg.min_cluster_size, cfg.num_estimates)
     near_rows = cells.join(rows.withColumn("a", F.lit(1)), "row_id").select("cluster", "row_id", "col_id", "value", F.lit(1).alias("side"))
     near_cols = cells.join(cols.withColumn("b", F.lit(2)), "col_id").select("cluster", "row_id", "col_id", "value", F.lit(2).alias("side"))
     near = near_rows.unionByName(near_cols).groupBy("cluster", "row_id", "col_id").agg(F.first("value").alias("value"), F.sum("side").alias("member")).withColumn("kind", F.lit(0))
     work = near.select("cluster", "kind", "row_id", "col_id", "value", F.col("member").cast("int").alias("member")).unionByName(pairs.select("cluster", F.lit(1).alias("kind"), "row_id", "col_id", F.lit(None).cast("double").alias("value"), F.lit(0).alias("member")))
     estimates = work.groupBy("cluster").applyInPandas(_block_estimator(cfg), FILLED)
-    return estimates.groupBy("row_id", "col_id").agg(F.avg("value").alias("value"), F.max("feasible").alias("feasible"))
+    return estimates.groupBy("row_id", "col_id").agg(F.avg("value").alias("value"), F.max("feasible").alias("feasible"), F.lit(whole).alias("exact"))
 
 
 def als_impute(cells: DataFrame, missing: DataFrame, cfg: AlsConfig) -> DataFrame:
     """Low-rank fit of the known cells with the rank chosen on cells held out by a hash of their place.
 
-    The matrix's cells are bounded by DRIVER_CELLS, checked; a larger one is split into hashed groups of
-    rows, each fitted for itself. Every estimate counts as feasible.
+    The same start, ridge, sweeps and tolerance at every size: matrices of at most ``driver_cells`` known
+    cells are fitted by the kernel, larger ones by distributed normal equations. Every estimate counts as
+    feasible; pairs whose row or column has no known cell get none.
     """
-    n = cells.count()
-    groups = max(1, -(-n // DRIVER_CELLS))
+    spark = cells.sparkSession
+    cells = cells.where("value is not null").select("row_id", "col_id", "value")
+    rows, cols = (large_dimension(cells.select(F.col(f"{m}_id").alias(m)), m).select(F.col(m).alias(f"{m}_id"), f"{m}_idx").persist() for m in ("row", "col"))
+    shape = (rows.count(), cols.count())
     held = F.pmod(F.xxhash64("row_id", "col_id", F.lit(cfg.seed)), F.lit(1000)) < int(cfg.held_out * 1000)
-    part = F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(groups)).cast("int")
-    known = cells.where("value is not null").select(part.alias("part"), "row_id", "col_id", "value", held.alias("held"))
-    wanted = missing.select(part.alias("part"), "row_id", "col_id", F.lit(None).cast("double").alias("value"), F.lit(False).alias("held"))
-
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.unique(f["row_id"]), np.unique(f["col_id"])
-        f = f.assign(i=np.searchsorted(rows, f["row_id"]), j=np.searchsorted(cols, f["col_id"])).sort_values(["i", "j"])
-        have, want = f[f["value"].notna()], f[f["value"].isna()]
-        train, test = have[~have["held"]], have[have["held"]]
-        shape = (len(rows), len(cols))
-        ranks = [r for r in cfg.ranks if r <= min(shape)] or [1]
-
-        def fitted(d: pd.DataFrame, rank: int):
-            return masked_cp([d["i"].to_numpy(), d["j"].to_numpy()], d["value"].to_numpy(float), shape, rank, cfg.sweeps, cfg.ridge, 1e-9, cfg.seed)
-
-        def error(rank: int) -> float:
-            r, c = fitted(train, rank)
-            return float((((r[test["i"]] * c[test["j"]]).sum(1) - test["value"]) ** 2).mean())
-
-        best = min(ranks, key=error) if len(train) and len(test) and len(ranks) > 1 else ranks[0]
-        r, c = fitted(have, best)
-        value = (r[want["i"]] * c[want["j"]]).sum(1)
-        if cfg.min_value is not None or cfg.max_value is not None:
-            value = np.clip(value, cfg.min_value, cfg.max_value)
-        return pd.DataFrame({"row_id": want["row_id"], "col_id": want["col_id"], "value": value, "feasible": True})
-
-    return known.unionByName(wanted).groupBy("part").applyInPandas(fit, FILLED)
+    known = cells.withColumn("held", held).join(rows, "row_id").join(cols, "col_id").select("row_idx", "col_idx", "value", "held").persist()
+    train, test = known.where("not held").drop("held").persist(), known.where("held").drop("held").persist()
+
+    def fitted(d: DataFrame, rank: int) -> DataFrame:
+        return cp.fit_matrix(spark, d, shape, rank, cfg.sweeps, cfg.ridge, 1e-9, cfg.seed, cfg.driver_cells)
+
+    def error(rank: int) -> float:
+        d = cp.evaluate(test, fitted(train, rank), "fitted", ("row", "col"))
+        return d.agg(F.avg(F.pow(F.col("fitted") - F.col("value"), 2))).first()[0]
+
+    ranks = [r for r in cfg.ranks if r <= min(shape)] or [1]
+    best = min(ranks, key=error) if len(ranks) > 1 and not train.isEmpty() and not test.isEmpty() else ranks[0]
+    wanted = missing.select("row_id", "col_id").join(rows, "row_id").join(cols, "col_id")
+    value = F.col("value")
+    for limit, clip in ((cfg.min_value, F.greatest), (cfg.max_value, F.least)):
+        value = value if limit is None else clip(value, F.lit(float(limit)))
+    found = cp.evaluate(wanted, fitted(known.drop("held"), best), "value", ("row", "col"))
+    return found.select("row_id", "col_id", value.alias("value"), F.lit(True).alias("feasible"), F.lit(True).alias("exact"))
 
 
 register_imputer("snn_bicluster", lambda cells, missing, cfg: bicluster_impute(cells, missing, cfg.bicluster))

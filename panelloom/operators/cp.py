@@ -8,6 +8,8 @@ begin with the same factors and end by the same rule.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,42 +90,60 @@ def _even(factors: dict[str, DataFrame], rank: int) -> dict[str, DataFrame]:
     return {mode: f.select("idx", F.array(*[F.col("vec")[k] * F.lit(float(x)) for k, x in enumerate(row)]).alias("vec")) for (mode, f), row in zip(factors.items(), scale, strict=True)}
 
 
-def distributed_cp(spark: SparkSession, cells: DataFrame, cfg: CpConfig, shape: tuple[int, int, int], start: int) -> DataFrame:
-    """``masked_cp`` as aggregations: the same start, ridge and test of convergence; factors are checkpointed as they are made."""
-    rank = cfg.rank
-    rng = np.random.default_rng(cfg.seed)
-    # a sweep solves for units first, so that their start is never read: its draws are passed over
+def distributed_als(spark: SparkSession, cells: DataFrame, modes: tuple[str, ...], shape: tuple[int, ...], rank: int, sweeps: int, ridge: float, tolerance: float, seed: int) -> dict[str, DataFrame]:
+    """``masked_cp`` as aggregations: the same start, ridge and test of convergence; factors are checkpointed as they are made.
+
+    ``cells`` has an index ``<mode>_idx`` for each mode, and value; an index without known cells has zeros.
+    """
+    rng = np.random.default_rng(seed)
+    # a sweep solves for the first mode first, so that its start is never read: its draws are passed over
     rng.bit_generator.advance(shape[0] * rank)
-    factors = {m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.uniform(0.5, 1.5, (n, rank)))], "idx int, vec array<double>") for m, n in zip(MODES[1:], shape[1:], strict=True)}
+    factors = {m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.uniform(0.5, 1.5, (n, rank)))], "idx int, vec array<double>") for m, n in zip(modes[1:], shape[1:], strict=True)}
     cells = cells.persist()
     square = cells.agg(F.avg(F.col("value") * F.col("value"))).first()[0] or 0.0
-    weight = cfg.ridge * max(1.0, square) ** (1 / len(MODES))
+    weight = ridge * max(1.0, square) ** (1 / len(modes))
     last = np.inf
-    for _ in range(cfg.sweeps):
-        for mode in MODES:
-            parts = normal_equations(cells, mode, {m: factors[m] for m in MODES if m != mode}, rank)
+    for _ in range(sweeps):
+        for mode in modes:
+            parts = normal_equations(cells, mode, {m: factors[m] for m in modes if m != mode}, rank)
             factors[mode] = parts.mapInPandas(_solver(rank, weight), "idx int, vec array<double>").checkpoint()
-        table = [f.select(F.lit(m).alias("mode"), "idx", "vec") for m, f in factors.items()]
-        fit = evaluate(cells, table[0].unionByName(table[1]).unionByName(table[2]), "fitted")
-        error = fit.agg(F.avg(F.pow(F.col("fitted") - F.col("value"), 2))).first()[0] or 0.0
-        if last - error <= cfg.tolerance * max(error, 1e-12):
+        error = evaluate(cells, factors_table(factors), "fitted", modes).agg(F.avg(F.pow(F.col("fitted") - F.col("value"), 2))).first()[0] or 0.0
+        if last - error <= tolerance * max(error, 1e-12):
             break
         last = error
     cells.unpersist()
-    shift = {"unit": 0, "time": start, "action": 0}
-    # an index without known cells has zeros
     zeros = F.array(*[F.lit(0.0)] * rank)
-    even = _even({m: factors[m] for m in MODES}, rank)
-    out = [spark.range(n).select(F.col("id").cast("int").alias("idx")).join(even[m], "idx", "left").select(F.lit(m).alias("mode"), (F.col("idx") + shift[m]).cast("int").alias("idx"), F.coalesce("vec", zeros).alias("vec")) for m, n in zip(MODES, shape, strict=True)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    even = _even({m: factors[m] for m in modes}, rank)
+    return {m: spark.range(n).select(F.col("id").cast("int").alias("idx")).join(even[m], "idx", "left").select("idx", F.coalesce("vec", zeros).alias("vec")) for m, n in zip(modes, shape, strict=True)}
+
+
+def factors_table(factors: dict[str, DataFrame], offsets: dict[str, int] | None = None) -> DataFrame:
+    """FACTORS of one table for each mode, with indices moved by ``offsets``."""
+    parts = [f.select(F.lit(m).alias("mode"), (F.col("idx") + (offsets or {}).get(m, 0)).cast("int").alias("idx"), "vec") for m, f in factors.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def distributed_cp(spark: SparkSession, cells: DataFrame, cfg: CpConfig, shape: tuple[int, int, int], start: int) -> DataFrame:
+    """Factors of the tensor by ``distributed_als``."""
+    return factors_table(distributed_als(spark, cells, MODES, shape, cfg.rank, cfg.sweeps, cfg.ridge, cfg.tolerance, cfg.seed), {"time": start})
+
+
+def fit_matrix(spark: SparkSession, cells: DataFrame, shape: tuple[int, int], rank: int, sweeps: int, ridge: float, tolerance: float, seed: int, driver_cells: int) -> DataFrame:
+    """Factors (modes row and col) of known cells (row_idx, col_idx, value): the kernel for few cells, else aggregations."""
+    modes = ("row", "col")
+    if cells.limit(driver_cells + 1).count() > driver_cells:
+        return factors_table(distributed_als(spark, cells, modes, shape, rank, sweeps, ridge, tolerance, seed))
+    pdf = cells.toPandas().sort_values(["row_idx", "col_idx"])
+    fitted = masked_cp([pdf["row_idx"].to_numpy(int), pdf["col_idx"].to_numpy(int)], pdf["value"].to_numpy(float), shape, rank, sweeps, ridge, tolerance, seed)
+    return spark.createDataFrame([(m, i, v.tolist()) for m, f in zip(modes, fitted, strict=True) for i, v in enumerate(f)], FACTORS)
 
 
-def evaluate(coordinates: DataFrame, factors: DataFrame, value: str = "value") -> DataFrame:
-    """``coordinates`` with the sum over components of unit * time * action."""
+def evaluate(coordinates: DataFrame, factors: DataFrame, value: str = "value", modes: tuple[str, ...] = MODES) -> DataFrame:
+    """``coordinates`` with the sum over components of unit * time * action (or of other modes)."""
     d = coordinates
-    for mode in MODES:
+    for mode in modes:
         d = d.join(of_mode(factors, mode, f"f_{mode}"), f"{mode}_idx")
-    return d.withColumn(value, vector_sum(vector_product(*[F.col(f"f_{m}") for m in MODES]))).drop(*[f"f_{m}" for m in MODES])
+    return d.withColumn(value, vector_sum(vector_product(*[F.col(f"f_{m}") for m in modes]))).drop(*[f"f_{m}" for m in modes])
 
 
 def mean_drift(obs: DataFrame, factors: DataFrame) -> Column:
@@ -155,4 +175,4 @@ def new_time_factors(obs: DataFrame, factors: DataFrame, rank: int, least: float
     return parts.mapInPandas(_time_solver(rank, least), "idx int, vec array<double>").select(F.lit("time").alias("mode"), "idx", "vec")
 
 
-__all__ = ["distributed_cp", "evaluate", "factor_arrays", "factor_rows", "fit_cp", "mean_drift", "new_time_factors", "normal_equations", "normalised", "of_mode"]
+__all__ = ["distributed_cp", "distributed_als", "evaluate", "factor_arrays", "factor_rows", "factors_table", "fit_cp", "fit_matrix", "mean_drift", "new_time_factors", "normal_equations", "normalised", "of_mode"]

@@ -1,8 +1,11 @@
 """Synthetic nearest neighbour imputation of a sparse matrix (row_id, col_id, value).
 
 Missing pairs that share the rows observed in their column and the columns observed in their row share
-their anchors: patterns are deduplicated and solved once. Regressions are fitted once for each (row,
-anchors) and predict all of that row's columns. Anchor submatrices travel by joins, grouped by anchor set.
+their anchors: patterns are deduplicated and solved once. Rows with one pattern stand for each other, so
+anchors are searched in the matrix of distinct patterns, grouped by the pattern of the missing column.
+
+Anchor sets and their missing rows are dealt in blocks of rows: a block holds the anchors' rows once, their
+principal components are computed once, and each row's regression predicts all of its missing columns.
 """
 
 from __future__ import annotations
@@ -14,10 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.functions.kernels import best_biclique, pcr, relative_error, row_splits
+from panelloom.functions.kernels import components_of, row_splits, search_biclique
 from panelloom.spec import SnnConfig
 
-FILLED = "row_id int, col_id int, value double, feasible boolean"
+#: ``exact``: whether the anchors behind the value are known to be the greatest.
+FILLED = "row_id int, col_id int, value double, feasible boolean, exact boolean"
+#: Row patterns that one task searches anchors for, and missing rows that one task fills, about.
+PATTERNS_A_TASK, ROWS_A_TASK = 64, 256
 
 
 def row_sets(cells: DataFrame) -> DataFrame:
@@ -38,92 +44,112 @@ def missing_patterns(missing: DataFrame, cells: DataFrame) -> DataFrame:
     return missing.join(rows, "row_id").join(cols, "col_id")
 
 
-def _anchor_finder(budget: int):
-    def run(frames):
-        for f in frames:
-            out = []
-            for obs_rows, obs_cols, sets in zip(f["obs_rows"], f["obs_cols"], f["sets"], strict=True):
-                rows, cols = np.asarray(obs_rows), np.asarray(obs_cols)
-                place = {c: k for k, c in enumerate(cols.tolist())}
-                mask = np.zeros((len(rows), len(cols)), bool)
-                at = {r: k for k, r in enumerate(rows.tolist())}
-                for s in sets:
-                    own = [place[c] for c in s["obs_cols"] if c in place]
-                    mask[at[s["row_id"]], own] = True
-                r, c = best_biclique(mask, budget)
-                out.append((rows[r].tolist(), cols[c].tolist()))
-            yield pd.DataFrame({"row_pattern": f["row_pattern"], "col_pattern": f["col_pattern"], "anchor_rows": [o[0] for o in out], "anchor_cols": [o[1] for o in out]})
+ANCHORS = "row_pattern string, col_pattern string, anchor_rows array<int>, anchor_cols array<int>, exact boolean"
+
+
+def _anchor_finder(budget: int | None):
+    def run(wanted: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        """Anchors of the row patterns ``wanted`` in one column pattern, whose distinct rows are ``members``."""
+        out = []
+        if len(wanted) and len(members):
+            counts = members["rows"].map(len).to_numpy()
+            rows = np.concatenate(members["rows"].to_numpy())
+            order = np.argsort(rows)
+            rows, pattern = rows[order], np.repeat(np.arange(len(members)), counts)[order]
+            known = np.unique(np.concatenate(members["obs_cols"].to_numpy()))
+            seen = np.zeros((len(members), len(known)), bool)
+            for k, own in enumerate(members["obs_cols"]):
+                seen[k, np.searchsorted(known, own)] = True
+            for row_pattern, col_pattern, cols in zip(wanted["row_pattern"], wanted["col_pattern"], wanted["obs_cols"], strict=True):
+                cols = np.intersect1d(cols, known, assume_unique=True)
+                r, c, exact = search_biclique(seen[:, np.searchsorted(known, cols)][pattern], budget)
+                if len(r):
+                    out.append((row_pattern, col_pattern, rows[r].tolist(), cols[c].tolist(), exact))
+        return pd.DataFrame(out, columns=["row_pattern", "col_pattern", "anchor_rows", "anchor_cols", "exact"])
 
     return run
 
 
 def find_anchors(patterns: DataFrame, cells: DataFrame, cfg: SnnConfig) -> DataFrame:
-    """(row_pattern, col_pattern, anchor_rows, anchor_cols) of each distinct pattern; empty anchors are left out."""
+    """ANCHORS of each distinct pattern; empty anchors are left out."""
     digest = lambda c: F.sha2(F.array_join(c, ","), 256)
-    rows, cols = row_sets(cells), column_sets(cells)
-    row_pat = rows.withColumn("row_pattern", digest("obs_cols")).groupBy("row_pattern").agg(F.first("obs_cols").alias("obs_cols"))
-    col_pat = cols.withColumn("col_pattern", digest("obs_rows")).groupBy("col_pattern").agg(F.first("obs_rows").alias("obs_rows"))
-    distinct = patterns.select("row_pattern", "col_pattern").distinct()
-    # the rows of the submatrix, one set for each, gathered by column pattern
-    members = col_pat.select("col_pattern", F.explode("obs_rows").alias("row_id")).join(rows, "row_id").groupBy("col_pattern").agg(F.collect_list(F.struct("row_id", "obs_cols")).alias("sets"))
-    work = distinct.join(row_pat, "row_pattern").join(col_pat, "col_pattern").join(members, "col_pattern").repartition("row_pattern", "col_pattern")
-    found = work.select("row_pattern", "col_pattern", "obs_rows", "obs_cols", "sets").mapInPandas(_anchor_finder(cfg.node_budget), "row_pattern string, col_pattern string, anchor_rows array<int>, anchor_cols array<int>")
-    return found.where((F.size("anchor_rows") > 0) & (F.size("anchor_cols") > 0))
+    rows = row_sets(cells).withColumn("row_pattern", digest("obs_cols"))
+    # rows with one pattern have the same columns, and columns with one pattern the same rows
+    row_pat = rows.groupBy("row_pattern").agg(F.first("obs_cols").alias("obs_cols"), F.sort_array(F.collect_list("row_id")).alias("rows"))
+    col_pat = column_sets(cells).select("col_id", digest("obs_rows").alias("col_pattern")).groupBy("col_pattern").agg(F.min("col_id").alias("col_id"))
+    members = row_pat.select("row_pattern", F.explode("obs_cols").alias("col_id")).join(col_pat, "col_id").select("col_pattern", "row_pattern").join(row_pat, "row_pattern").select("col_pattern", "obs_cols", "rows")
+    wanted = patterns.select("row_pattern", "col_pattern").distinct()
+    parts = wanted.groupBy("col_pattern").agg(F.ceil(F.count("*") / PATTERNS_A_TASK).cast("int").alias("parts"))
+    wanted = wanted.join(parts, "col_pattern").withColumn("part", F.pmod(F.xxhash64("row_pattern"), F.col("parts")).cast("int")).join(row_pat.select("row_pattern", "obs_cols"), "row_pattern")
+    members = members.join(parts, "col_pattern").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["col_pattern", "part"]
+    return wanted.select(*keys, "row_pattern", "obs_cols").groupBy(*keys).cogroup(members.select(*keys, "rows", "obs_cols").toDF(*keys, "rows", "obs_cols").groupBy(*keys)).applyInPandas(_anchor_finder(cfg.node_budget), ANCHORS)
+
+
+def _ratio(residual: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Squared ratios of the norms of columns; NaN where there is nothing to compare with."""
+    norm = (of * of).sum(axis=0)
+    return np.where(norm > 0, (residual * residual).sum(axis=0) / np.where(norm > 0, norm, 1.0), np.nan)
+
+
+class Anchors:
+    """One anchor set: the values of its rows on the anchor columns, decomposed once for each split of its rows."""
+
+    def __init__(self, x1: np.ndarray, cfg: SnnConfig) -> None:
+        self.cfg, self.splits = cfg, row_splits(np.arange(len(x1)), cfg.n_neighbors)
+        self.parts = [(x1[s].T, *components_of(x1[s].T, cfg.max_rank, cfg.spectral_t, cfg.min_singular_value)) for s in self.splits]
+
+    def fill(self, y: np.ndarray, x2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(predictions, feasible) of each column of x2, the anchor rows' values; y: the row's on anchor columns."""
+        cfg, preds, oks, weights = self.cfg, [], [], []
+        for split, (a, u, s, v) in zip(self.splits, self.parts, strict=True):
+            beta, x = v.T @ ((u.T @ y) / s), x2[split]
+            train = float(_ratio((a @ beta - y)[:, None], y[:, None])[0])
+            pred = x.T @ beta
+            if cfg.min_value is not None:
+                pred = np.maximum(pred, cfg.min_value)
+            if cfg.max_value is not None:
+                pred = np.minimum(pred, cfg.max_value)
+            sub = _ratio(x - v.T @ (v @ x), x)
+            ok = (train <= cfg.linear_span_eps) & (sub <= cfg.subspace_eps)
+            error = train + sub
+            w = np.ones(len(pred)) if cfg.weights == "uniform" else np.where(error > 0, 1 / np.where(error > 0, error, 1.0), np.finfo(float).max)
+            preds.append(pred)
+            oks.append(ok)
+            weights.append(np.where(np.isfinite(error) | (cfg.weights == "uniform"), w, 0.0))
+        w = np.array(weights)
+        top = w.max(axis=0)
+        w = np.where(top > 0, w / np.where(top > 0, top, 1.0), 1.0)
+        return (np.array(preds) * w).sum(axis=0) / w.sum(axis=0), np.all(oks, axis=0)
 
 
 def synthesise(y: np.ndarray, x1: np.ndarray, x2: np.ndarray, cfg: SnnConfig) -> list[tuple[float, bool]]:
     """(prediction, feasible) of each column: y row on anchor columns, x1 anchors, x2 anchor rows by columns."""
-    parts = []
-    for split in row_splits(np.arange(len(x1)), cfg.n_neighbors):
-        a = x1[split].T
-        beta, v = pcr(a, y, cfg.max_rank, cfg.spectral_t, cfg.min_singular_value)
-        train = relative_error(a @ beta - y, y)
-        for k in range(x2.shape[1]):
-            x = x2[split, k]
-            pred = float(x @ beta)
-            if cfg.min_value is not None:
-                pred = max(pred, cfg.min_value)
-            if cfg.max_value is not None:
-                pred = min(pred, cfg.max_value)
-            sub = relative_error(x - v.T @ (v @ x), x)
-            ok = train <= cfg.linear_span_eps and sub <= cfg.subspace_eps
-            if cfg.weights == "uniform":
-                w = 1.0
-            else:
-                w = 1 / (train + sub) if train + sub > 0 else np.finfo(float).max
-            parts.append((k, pred, bool(ok), w if np.isfinite(w) else 0.0))
-    out = []
-    for k in range(x2.shape[1]):
-        own = [p for p in parts if p[0] == k]
-        w = np.array([p[3] for p in own])
-        w = w / w.max() if w.max() else np.ones(len(own))
-        out.append((float(np.average([p[1] for p in own], weights=w)), all(p[2] for p in own)))
-    return out
+    values, ok = Anchors(x1, cfg).fill(y, x2)
+    return [(float(p), bool(k)) for p, k in zip(values, ok, strict=True)]
 
 
 def _predictor(cfg: SnnConfig):
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        """One anchor set: matrix rows of anchors (kind 0), and missing pairs (kind 1) with their rows' values."""
-        anchors = f[f["kind"] == 0].drop_duplicates("row_id").sort_values("row_id")
-        work = f[f["kind"] == 1]
-        if not len(work) or not len(anchors):
-            return pd.DataFrame({"row_id": [], "col_id": [], "value": [], "feasible": []})
-        cols = np.asarray(work["anchor_cols"].iloc[0])
-        rows = anchors["row_id"].to_numpy()
+    def run(work: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        """A block of rows with missing columns (``work``) and the rows of their anchor set (``base``)."""
+        names = [x.split()[0] for x in FILLED.split(", ")]
+        if not len(work) or not len(base):
+            return pd.DataFrame({n: [] for n in names})
+        base = base.sort_values("row_id")
         if cfg.random_splits:
-            order = np.random.default_rng(cfg.seed).permutation(len(rows))
-            anchors, rows = anchors.iloc[order], rows[order]
-        known = [dict(zip(c, v, strict=True)) for c, v in zip(anchors["cols"], anchors["vals"], strict=True)]
-        x1 = np.array([[k[c] for c in cols] for k in known], float)
+            base = base.iloc[np.random.default_rng(cfg.seed).permutation(len(base))]
+        known = np.unique(np.concatenate(base["cols"].to_numpy()))
+        x = np.full((len(base), len(known)), np.nan)
+        for k, (cols, vals) in enumerate(zip(base["cols"], base["vals"], strict=True)):
+            x[k, np.searchsorted(known, cols)] = vals
+        anchor_cols, exact = np.asarray(base["anchor_cols"].iloc[0]), bool(base["exact"].iloc[0])
+        anchors = Anchors(x[:, np.searchsorted(known, anchor_cols)], cfg)
         out = []
-        for row, own in work.groupby("row_id"):
-            first = own.iloc[0]
-            mine = dict(zip(first["cols"], first["vals"], strict=True))
-            y = np.array([mine[c] for c in cols], float)
-            wanted = own["col_id"].to_numpy()
-            x2 = np.array([[k[c] for c in wanted] for k in known], float)
-            out += [(row, c, p, ok) for c, (p, ok) in zip(wanted, synthesise(y, x1, x2, cfg), strict=True)]
-        return pd.DataFrame(out, columns=["row_id", "col_id", "value", "feasible"])
+        for row, wanted, cols, vals in zip(work["row_id"], work["wanted"], work["cols"], work["vals"], strict=True):
+            y = np.asarray(vals, float)[np.searchsorted(cols, anchor_cols)]
+            value, ok = anchors.fill(y, x[:, np.searchsorted(known, wanted)])
+            out.append(pd.DataFrame({"row_id": row, "col_id": wanted, "value": value, "feasible": ok, "exact": exact}))
+        return pd.concat(out)[names]
 
     return run
 
@@ -135,13 +161,20 @@ def snn_impute(cells: DataFrame, missing: DataFrame, cfg: SnnConfig) -> DataFram
     """
     cells = cells.where("value is not null").select("row_id", "col_id", "value").persist()
     pairs = missing_patterns(missing.select("row_id", "col_id"), cells)
-    anchors = find_anchors(pairs, cells, cfg).withColumn("anchor_id", F.sha2(F.concat_ws("|", F.array_join("anchor_rows", ","), F.array_join("anchor_cols", ",")), 256)).persist()
-    lists = cells.groupBy("row_id").agg(F.collect_list(F.struct("col_id", "value")).alias("own")).select("row_id", F.col("own.col_id").alias("cols"), F.col("own.value").alias("vals"))
-    work = pairs.join(anchors.select("row_pattern", "col_pattern", "anchor_id", "anchor_cols"), ["row_pattern", "col_pattern"]).join(lists, "row_id")
-    work = work.select("anchor_id", F.lit(1).alias("kind"), "row_id", "col_id", "anchor_cols", "cols", "vals")
-    base = anchors.dropDuplicates(["anchor_id"]).select("anchor_id", F.explode("anchor_rows").alias("row_id")).join(lists, "row_id")
-    base = base.select("anchor_id", F.lit(0).alias("kind"), "row_id", F.lit(None).cast("int").alias("col_id"), F.lit(None).cast("array<int>").alias("anchor_cols"), "cols", "vals")
-    return base.unionByName(work).groupBy("anchor_id").applyInPandas(_predictor(cfg), FILLED)
+    name = F.sha2(F.concat_ws("|", F.array_join("anchor_rows", ","), F.array_join("anchor_cols", ",")), 256)
+    anchors = find_anchors(pairs, cells, cfg).withColumn("anchor_id", name).persist()
+    own = F.sort_array(F.collect_list(F.struct("col_id", "value")))
+    lists = cells.groupBy("row_id").agg(own.alias("own")).select("row_id", F.col("own.col_id").alias("cols"), F.col("own.value").alias("vals"))
+    work = pairs.join(anchors.select("row_pattern", "col_pattern", "anchor_id"), ["row_pattern", "col_pattern"]).groupBy("anchor_id", "row_id").agg(F.sort_array(F.collect_list("col_id")).alias("wanted"))
+    blocks = work.groupBy("anchor_id").agg(F.ceil(F.count("*") / ROWS_A_TASK).cast("int").alias("blocks"))
+    work = work.join(blocks, "anchor_id").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")).join(lists, "row_id")
+    # anchor sets that several patterns found are exact if one search of them was
+    sets = anchors.groupBy("anchor_id").agg(F.first("anchor_rows").alias("anchor_rows"), F.first("anchor_cols").alias("anchor_cols"), F.max("exact").alias("exact"))
+    base = sets.join(blocks, "anchor_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    base = base.select("anchor_id", "block", "anchor_cols", "exact", F.explode("anchor_rows").alias("row_id")).join(lists, "row_id")
+    keys = ["anchor_id", "block"]
+    names = [*keys, "row_id", "anchor_cols", "exact", "cols", "vals"]
+    return work.select(*keys, "row_id", "wanted", "cols", "vals").groupBy(*keys).cogroup(base.select(*names).toDF(*names).groupBy(*keys)).applyInPandas(_predictor(cfg), FILLED)
 
 
 Imputer = Callable[[DataFrame, DataFrame, object], DataFrame]
@@ -154,4 +187,4 @@ def register_imputer(name: str, impute: Imputer) -> None:
 
 
 register_imputer("snn", lambda cells, missing, cfg: snn_impute(cells, missing, cfg.snn))
-register_imputer("none", lambda cells, missing, cfg: missing.select("row_id", "col_id", F.lit(None).cast("double").alias("value"), F.lit(False).alias("feasible")).where("false"))
+register_imputer("none", lambda cells, missing, cfg: missing.select("row_id", "col_id", F.lit(None).cast("double").alias("value"), F.lit(False).alias("feasible"), F.lit(True).alias("exact")).where("false"))

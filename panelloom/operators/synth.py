@@ -6,7 +6,7 @@ number of partitions. Truth is (unit, time, action, value); panels are drawn fro
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators.drift import regime_of
 from panelloom.operators.layout import vector_product, vector_sum
+from panelloom.sources.io import write_csv, write_table
 
 
 @dataclass(frozen=True)
@@ -129,9 +130,22 @@ class Generator:
     freq: str | None = "1 day"
     start: str = "2020-01-01"
     effects: list[dict[str, Any]] = field(default_factory=list)
+    #: Regimes of even length, where ``regimes`` doesn't say when they begin.
+    n_regimes: int = 1
 
     def starts(self) -> list[int]:
-        return [0, *self.regimes]
+        if self.regimes:
+            return [0, *self.regimes]
+        return [self.n_times * k // self.n_regimes for k in range(self.n_regimes)]
+
+    def generate(self, spark: SparkSession, time_range: tuple[int, int], noise: float | None = None) -> tuple[DataFrame, DataFrame]:
+        """(truth, observed with noise) of the steps from the first to the last of ``time_range``, both included.
+
+        Slices of one generator are parts of one panel: neither truth nor noise depends on how it is cut.
+        """
+        inside = F.col("time_idx").between(*time_range)
+        clean, noisy = replace(self, noise=0.0), replace(self, noise=self.noise if noise is None else noise)
+        return clean.truth(spark).where(inside), noisy.truth(spark).where(inside)
 
     def initial_factors(self) -> dict[str, np.ndarray]:
         """Factors by name: units and actions have an axis of regimes; all are small enough for a broadcast."""
@@ -205,13 +219,36 @@ class Generator:
 
 
 def shifted_effect(d: DataFrame, action: int, effect: float, condition: str = "true") -> DataFrame:
-    """value + effect * mean_control - (mean_action - mean_control), for an action in a subpopulation at each step."""
-    inside = F.expr(condition)
-    w = Window.partitionBy("time_idx", inside)
-    control = F.avg(F.when(F.col("action_idx") == 0, F.col("value"))).over(w)
-    own = F.avg(F.when(F.col("action_idx") == action, F.col("value"))).over(w)
-    new = F.col("value") + effect * control - (own - control)
-    return d.withColumn("value", F.when(inside & (F.col("action_idx") == action), new).otherwise(F.col("value")))
+    """value + effect * mean_control - (mean_action - mean_control), for an action in a subpopulation at each step.
+
+    The means are aggregated first, one row for each step, and joined back.
+    """
+    inside = F.coalesce(F.expr(condition), F.lit(False)) & (F.col("action_idx").isin(0, action))
+    mean = lambda a: F.avg(F.when(F.col("action_idx") == a, F.col("value")))
+    means = d.where(inside).groupBy("time_idx").agg(mean(0).alias("__control"), mean(action).alias("__own"))
+    # one row for each time step
+    d = d.join(F.broadcast(means), "time_idx", "left")
+    new = F.col("value") + effect * F.col("__control") - (F.col("__own") - F.col("__control"))
+    return d.withColumn("value", F.when(inside & (F.col("action_idx") == action), new).otherwise(F.col("value"))).drop("__control", "__own")
+
+
+def metric_columns(d: DataFrame, metric: Metric, n_actions: int) -> DataFrame:
+    """(unit_idx, time_idx, <metric>_0, <metric>_1, ...): what each action would have given, a column for each.
+
+    Columns of a difference metric are named <metric>_change_0 and so on.
+    """
+    change = "_change" if metric.difference else ""
+    names = [F.max(F.when(F.col("action_idx") == i, F.col("value"))).alias(f"{metric.name}{change}_{i}") for i in range(n_actions)]
+    return d.groupBy("unit_idx", "time_idx").agg(*names)
+
+
+def export(truth: DataFrame, seen: DataFrame, path: str, digits: int = 7) -> None:
+    """The seen panel as a headed CSV, the whole truth and its mask of seen cells as Parquet, all below ``path``."""
+    write_csv(seen, f"{path}/panel", digits)
+    keys = ["unit_idx", "time_idx", "action_idx"]
+    mask = truth.select(*keys).join(seen.select(*keys).withColumn("seen", F.lit(1)), keys, "left").na.fill(0, ["seen"])
+    write_table(truth.select(*keys, "value"), f"{path}/truth", digits)
+    write_table(mask, f"{path}/mask")
 
 
 @dataclass(frozen=True)
@@ -258,6 +295,11 @@ def assigned_action(period: Period, n_actions: int, k: int, seed: int) -> Column
     return out.otherwise(0)
 
 
+def before_tail(cut: Column) -> Column:
+    """Whether a step is seen of a unit whose steps from ``cut`` on are missing."""
+    return F.col("time_idx") < cut
+
+
 def auto_subsample(truth: DataFrame, periods: list[Period], n_times: int, n_actions: int, seed: int = 0) -> DataFrame:
     """The panel a sequence of periods would have seen: (unit_idx, time_idx, action_idx, value, covariates...).
 
@@ -274,7 +316,7 @@ def auto_subsample(truth: DataFrame, periods: list[Period], n_times: int, n_acti
             s = uniform(seed + k, "seen", "unit_idx", "time_idx") < p.observed_share
         elif p.missing == "tail":
             cut = F.floor(n_times / 4 + uniform(seed, "tail", "unit_idx") * (n_times - n_times / 4))
-            s = (F.col("time_idx") < cut) | (uniform(seed + k, "tail-unit", "unit_idx") < p.observed_share)
+            s = before_tail(cut) | (uniform(seed + k, "tail-unit", "unit_idx") < p.observed_share)
         else:
             s = F.lit(True)
         action = F.when(inside, a) if action is None else action.when(inside, a)

@@ -51,7 +51,8 @@ class SnnConfig:
     min_value: float | None = None
     max_value: float | None = None
     min_singular_value: float = 1e-7
-    node_budget: int = 20_000
+    #: Nodes that a search for anchors may visit; None: as many as an exact one takes.
+    node_budget: int | None = None
     seed: int = 0
 
     def __post_init__(self) -> None:
@@ -88,6 +89,7 @@ class AlsConfig:
     held_out: float = 0.1
     sweeps: int = 200
     ridge: float = 1e-6
+    driver_cells: int = 2_000_000
     min_value: float | None = None
     max_value: float | None = None
     seed: int = 0
@@ -95,8 +97,9 @@ class AlsConfig:
 
 @dataclass(frozen=True)
 class MssaConfig:
-    """Singular-spectrum forecasting of time factors."""
+    """Singular-spectrum forecasting of time factors, or another registered forecaster."""
 
+    model: str = "mssa"
     lags: int = 10
     rank: int | None = None
     rank_rule: str = "donoho"
