@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions import kernels
 from panelloom.operators import bicluster, cp, drift, estimands, layout, metrics, mssa, panel, snn, synth
 from panelloom.plans.model import PanelModel
 from panelloom.sources.io import customer_orders, events_daily, nation_monthly
@@ -117,8 +120,8 @@ def assignment_table(spark, sf_dir):
 
 @query(f"WITH {P2} SELECT unit, " + ", ".join(f"round(sum(metric) FILTER (action LIKE '{k}-%'), 2) AS p{k}" for k in range(1, 6)) + " FROM p2 GROUP BY unit")
 def metric_pivot(spark, sf_dir):
-    p = nation_monthly(spark, sf_dir).withColumn("k", F.concat(F.lit("p"), F.substring("action", 1, 1)))
-    return p.groupBy("unit").pivot("k", [f"p{k}" for k in range(1, 6)]).agg(F.round(F.sum("metric"), 2))
+    p = nation_monthly(spark, sf_dir).groupBy("unit", F.concat(F.lit("p"), F.substring("action", 1, 1)).alias("time")).agg(F.round(F.sum("metric"), 2).alias("value"))
+    return panel.to_wide(p, times=[f"p{k}" for k in range(1, 6)])
 
 
 @query("SELECT user_id AS unit, CAST(ts AS DATE) AS time, count(*)::BIGINT AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
@@ -234,7 +237,12 @@ def pattern_dedupe(spark, sf_dir):
 
 @query(f"WITH {MATRIX} SELECT col_id, row_id, (ntile(3) OVER (PARTITION BY col_id ORDER BY row_id))::INT AS split FROM x")
 def anchor_split_ntile(spark, sf_dir):
-    return matrix(spark, sf_dir).select("col_id", "row_id", F.ntile(3).over(Window.partitionBy("col_id").orderBy("row_id")).alias("split"))
+    def split(f: pd.DataFrame) -> pd.DataFrame:
+        rows = np.sort(f["row_id"].to_numpy())
+        parts = kernels.row_splits(rows, 3)
+        return pd.DataFrame({"col_id": f["col_id"].iloc[0], "row_id": np.concatenate(parts), "split": np.repeat(np.arange(1, len(parts) + 1), [len(p) for p in parts])})
+
+    return matrix(spark, sf_dir).select("col_id", "row_id").groupBy("col_id").applyInPandas(split, "col_id int, row_id int, split int")
 
 
 MASK = COO + """,
@@ -356,9 +364,24 @@ def all_counterfactuals(spark, sf_dir):
     return _table_model(spark, sf_dir).counterfactuals()
 
 
-@query(f"WITH {COO} SELECT unit_idx, time_idx, CASE WHEN time_idx BETWEEN 10 AND 16 THEN 2 ELSE action_idx END AS action_idx FROM coo")
+@query(f"""WITH {COO} SELECT du.unit, dt.time, CASE WHEN time_idx BETWEEN 10 AND 16 THEN 'view' ELSE da.action END AS action
+FROM du CROSS JOIN dt LEFT JOIN coo USING (unit_idx, time_idx) LEFT JOIN da USING (action_idx)""")
 def override_assignment(spark, sf_dir):
-    return coo(spark, sf_dir).select("unit_idx", "time_idx", F.when(F.col("time_idx").between(10, 16), 2).otherwise(F.col("action_idx")).alias("action_idx"))
+    return _table_model(spark, sf_dir).query(None, None, "metric", "view", ("2024-01-11", "2024-01-17")).select("unit", "time", "action")
+
+
+@query(f"""WITH {COO}, g AS (SELECT unit, time, action, unit_idx, time_idx, action_idx FROM du CROSS JOIN dt CROSS JOIN da), f AS (SELECT *, {FACT} FROM g)
+SELECT unit, f.time, f.action, CASE WHEN (unit_idx + time_idx) % 5 = 0 AND action_idx = 1 THEN NULL WHEN time_idx < 10 THEN u1*t1*a1 + u2*t2*a2 WHEN time_idx < 20 THEN 2*u1*t1*a1 ELSE u1*t1*a1 - u2*t2*a2 END AS value FROM f""")
+def counterfactuals_of_regimes(spark, sf_dir):
+    """Three regimes with factors of their own, and masked cells."""
+    m = _table_model(spark, sf_dir)
+    m.tables["regimes"] = spark.createDataFrame([(0, 0, 9, 0.1, DAYS), (1, 10, 19, 0.1, DAYS), (2, 20, None, 0.1, DAYS)], drift.REGIMES)
+    f, v = m.tables["factors"].drop("regime"), F.col("vec")
+    of = lambda k, second: f.select(F.lit(k).alias("regime"), "mode", "idx", F.when(F.col("mode") == "action", F.array(v[0] * (2 if k == 1 else 1), v[1] * second)).otherwise(v).alias("vec"))
+    m.tables["factors"] = of(0, 1).unionByName(of(1, 0)).unionByName(of(2, -1))
+    mask = m.tables["units"].select("unit_idx").crossJoin(F.broadcast(m.tables["times"].select("time_idx"))).where((F.col("unit_idx") + F.col("time_idx")) % 5 == 0)  # time steps
+    m.tables["nan_mask"] = mask.withColumn("action_idx", F.lit(1))
+    return m.counterfactuals().drop("observed")
 
 
 REG = "reg AS (SELECT * FROM (VALUES (0, 0, 9), (1, 10, 19), (2, 20, NULL)) v(regime, start_t, end_t))"
@@ -384,26 +407,22 @@ def wide_output(spark, sf_dir):
 
 @query(f"WITH {SERIES} SELECT round(sum(a.value * b.value) / sum(b.value * b.value), 6) AS phi FROM s a JOIN s b ON a.t = b.t + 1")
 def ar1_fit(spark, sf_dir):
-    w = Window.orderBy("t")
-    d = daily_series(spark, sf_dir).withColumn("x", F.lag("value").over(w))
-    return d.agg(F.round(F.sum(F.col("value") * F.col("x")) / F.sum(F.when(F.col("x").isNotNull(), F.col("x") * F.col("x"))), 6).alias("phi"))
+    return mssa.fit_autoregression(_one_series(spark, sf_dir), 1).select(F.round(F.col("phi")[0], 6).alias("phi"))
+
+
+def _one_series(spark, sf_dir):
+    return daily_series(spark, sf_dir).select(F.lit(0).alias("factor"), "t", "value")
 
 
 @query(f"""WITH {SERIES}, d AS (SELECT a.value AS y, b.value AS x1, c.value AS x2 FROM s a JOIN s b ON a.t = b.t + 1 JOIN s c ON a.t = c.t + 2),
 n AS (SELECT sum(x1*x1) AS a, sum(x1*x2) AS b, sum(x2*x2) AS c, sum(x1*y) AS p, sum(x2*y) AS q FROM d) SELECT round((p*c - q*b) / (a*c - b*b), 5) AS phi1, round((q*a - p*b) / (a*c - b*b), 5) AS phi2 FROM n""")
 def ar2_fit(spark, sf_dir):
-    w = Window.orderBy("t")
-    d = daily_series(spark, sf_dir).select(F.col("value").alias("y"), F.lag("value").over(w).alias("x1"), F.lag("value", 2).over(w).alias("x2")).where("x2 is not null")
-    n = d.selectExpr("sum(x1*x1) a", "sum(x1*x2) b", "sum(x2*x2) c", "sum(x1*y) p", "sum(x2*y) q")
-    return n.selectExpr("round((p*c - q*b) / (a*c - b*b), 5) as phi1", "round((q*a - p*b) / (a*c - b*b), 5) as phi2")
+    return mssa.fit_autoregression(_one_series(spark, sf_dir), 2).select(F.round(F.col("phi")[0], 5).alias("phi1"), F.round(F.col("phi")[1], 5).alias("phi2"))
 
 
 @query(f"WITH {SERIES}, p AS (SELECT sum(a.value * b.value) / sum(b.value * b.value) AS phi FROM s a JOIN s b ON a.t = b.t + 1), l AS (SELECT value FROM s ORDER BY t DESC LIMIT 1) SELECT h::INT AS step, round(value * pow(phi, h), 4) AS value FROM p CROSS JOIN l CROSS JOIN range(1, 6) r(h)")
 def ar1_forecast(spark, sf_dir):
-    w = Window.orderBy("t")
-    d = daily_series(spark, sf_dir).withColumn("x", F.lag("value").over(w))
-    fit = d.agg((F.sum(F.col("value") * F.col("x")) / F.sum(F.when(F.col("x").isNotNull(), F.col("x") * F.col("x")))).alias("phi"), F.max_by("value", "t").alias("last"))
-    return fit.select(F.explode(F.sequence(F.lit(1), F.lit(5))).alias("step"), "phi", "last").select("step", F.round(F.col("last") * F.pow("phi", F.col("step")), 4).alias("value"))
+    return mssa.forecast_autoregression(_one_series(spark, sf_dir), 1, 5).select("step", F.round("value", 4).alias("value"))
 
 
 # ---------------------------------------------------------------- drift
@@ -551,7 +570,12 @@ def difference_metric_cumsum(spark, sf_dir):
 
 @query(f"WITH {SYN} SELECT unit_idx, time_idx FROM y WHERE action_idx = 0 AND time_idx < 8 + unit_idx % 22")
 def tail_mask(spark, sf_dir):
-    return _integer_truth(spark, sf_dir).where("action_idx = 0").where(F.col("time_idx") < 8 + F.col("unit_idx") % 22).select("unit_idx", "time_idx")
+    return _integer_truth(spark, sf_dir).where("action_idx = 0").where(synth.before_tail(8 + F.col("unit_idx") % 22)).select("unit_idx", "time_idx")
+
+
+@query(f"WITH {SYN} SELECT unit_idx, time_idx, " + ", ".join(f"max(value) FILTER (action_idx = {i}) AS sales_change_{i}" for i in range(3)) + " FROM y GROUP BY 1, 2")
+def metric_columns_by_action(spark, sf_dir):
+    return synth.metric_columns(_integer_truth(spark, sf_dir), synth.Metric("sales", None, None, True, 10.0), 3)
 
 
 @query(f"WITH {SYN} SELECT unit_idx, time_idx, action_idx, value FROM y WHERE action_idx = CASE WHEN time_idx < 15 THEN 0 WHEN unit_idx % 3 = 1 THEN 1 WHEN unit_idx % 3 = 2 THEN 2 ELSE 0 END")
@@ -560,7 +584,140 @@ def period_policy(spark, sf_dir):
     return synth.auto_subsample(_integer_truth(spark, sf_dir), periods, DAYS, 3)
 
 
-# ---------------------------------------------------------------- fitted algorithms (no SQL form)
+# ---------------------------------------------------------------- fitted algorithms on tables of rank one, whose answer SQL knows
+
+#: Truth of rank one: units, steps (growing by a hundredth) and actions, without the constant that scales it.
+ONE = "(10 + unit_idx % 7) * pow(1.0137139, time_idx) * (1 + 0.1 * action_idx)"
+TRUTH = COO + f", truth AS (SELECT unit, time, action, unit_idx, time_idx, action_idx, {ONE} AS value FROM du CROSS JOIN dt CROSS JOIN da)"
+
+
+def _one(name: str = "value") -> Column:
+    return ((10 + F.col("unit_idx") % 7) * F.pow(F.lit(1.0137139), F.col("time_idx")) * (1 + 0.1 * F.col("action_idx"))).alias(name)
+
+
+def _rank_one_panel(spark, sf_dir) -> DataFrame:
+    """(unit, time, action, metric): the events panel's units, days and actions with a metric of rank one."""
+    p = events_daily(spark, sf_dir).persist()
+    u, t, a = dims(p)
+    d = p.join(u, "unit").join(t, "time").join(a, "action")
+    return d.select("unit", "time", "action", _one("metric"))
+
+
+def _block_matrix(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(cells, missing): units by days of rank one, where every fourth unit lacks the days from the 20th on."""
+    p = events_daily(spark, sf_dir).persist()
+    u, t, _ = dims(p)
+    grid = u.select("unit_idx").crossJoin(F.broadcast(t.select("time_idx"))).withColumn("action_idx", F.lit(0))  # time steps
+    d = grid.select(F.col("unit_idx").alias("row_id"), F.col("time_idx").alias("col_id"), _one()).persist()
+    gone = (F.col("row_id") % 4 == 0) & (F.col("col_id") >= 20)
+    return d.where(~gone), d.where(gone).select("row_id", "col_id")
+
+
+BLOCK = f"WITH {COO} SELECT unit_idx AS row_id, time_idx AS col_id, round((10 + unit_idx % 7) * pow(1.0137139, time_idx), 4) AS value, true AS feasible, true AS exact FROM du CROSS JOIN dt WHERE unit_idx % 4 = 0 AND time_idx >= 20"
+
+
+@query(BLOCK)
+def snn_of_rank_one(spark, sf_dir):
+    return _rounded(snn.snn_impute(*_block_matrix(spark, sf_dir), SnnConfig(n_neighbors=2, max_rank=1)), "value", digits=4)
+
+
+@query(BLOCK)
+def als_of_rank_one(spark, sf_dir):
+    return _rounded(bicluster.als_impute(*_block_matrix(spark, sf_dir), AlsConfig(ranks=(1,), ridge=1e-12)), "value", digits=4)
+
+
+@query(BLOCK)
+def als_of_rank_one_distributed(spark, sf_dir):
+    return _rounded(bicluster.als_impute(*_block_matrix(spark, sf_dir), AlsConfig(ranks=(1,), ridge=1e-12, driver_cells=0)), "value", digits=4)
+
+
+@query(BLOCK.replace("time_idx), 4)", "time_idx), 3)"))
+def bicluster_of_rank_one(spark, sf_dir):
+    return _rounded(bicluster.bicluster_impute(*_block_matrix(spark, sf_dir), BiclusterConfig(rank=1)), "value", digits=3)
+
+
+@query(f"WITH {TRUTH} SELECT unit_idx, time_idx, action_idx, round(value, 4) AS value FROM truth")
+def cp_of_rank_one(spark, sf_dir):
+    """A fit of the cells that were seen, evaluated everywhere."""
+    c = coo(spark, sf_dir).select("unit_idx", "time_idx", "action_idx", _one()).persist()
+    shape = tuple(c.agg(F.max(f"{m}_idx")).first()[0] + 1 for m in cp.MODES)
+    factors = cp.fit_cp(spark, c, CpConfig(rank=1, ridge=1e-13, tolerance=1e-13), shape)
+    return _rounded(cp.evaluate(_integer_grid(spark, sf_dir), factors), "value", digits=4)
+
+
+def _integer_grid(spark, sf_dir) -> DataFrame:
+    u, t, a = dims(events_daily(spark, sf_dir).persist())
+    return panel.grid(u.select("unit_idx"), t.select("time_idx"), a.select("action_idx"))
+
+
+@query("SELECT f::INT AS factor, (h - 1)::INT AS step, round((f + 1) * pow(1.05, 23 + h), 4) AS value FROM range(3) a(f) CROSS JOIN range(1, 6) b(h)")
+def mssa_of_rank_one(spark, sf_dir):
+    s = spark.range(72).select((F.col("id") % 3).cast("int").alias("factor"), F.floor(F.col("id") / 3).cast("int").alias("t")).withColumn("value", (F.col("factor") + 1) * F.pow(F.lit(1.05), F.col("t")))
+    cfg = MssaConfig(lags=5, rank=1)
+    return _rounded(mssa.forecast_series(s, mssa.fit_forecasters(s, cfg), 5, cfg), "value", digits=4)
+
+
+RANK_ONE = ModelConfig(imputer="none", cp=CpConfig(rank=1, ridge=1e-13, tolerance=1e-13), mssa=MssaConfig(lags=5, rank=1), full_training_time_steps=10)
+
+
+def _rank_one_model(spark, sf_dir, until: str = "2024-02-01") -> PanelModel:
+    p = _rank_one_panel(spark, sf_dir).persist()
+    m = PanelModel(spark, RANK_ONE).fit(p.where(F.col("time") < until), PanelSpec("unit", "time", ("action",), "metric"))
+    return m.partial_fit(p.where(F.col("time") >= until)) if until < "2024-02-01" else m
+
+
+@query(f"""WITH {TRUTH} SELECT t.unit, t.time, t.action, round(t.value, 3) AS value, coo.value IS NOT NULL AS observed FROM truth t LEFT JOIN coo USING (unit_idx, time_idx, action_idx)
+WHERE t.time BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AND t.action = 'purchase'""")
+def model_query_of_rank_one(spark, sf_dir):
+    return _rounded(_rank_one_model(spark, sf_dir).query(None, ("2024-01-10", "2024-01-20"), "metric", "purchase").drop("pos"), "value", digits=3)
+
+
+@query(f"""WITH {TRUTH}, n AS (SELECT count(*) AS steps FROM dt) SELECT unit, (steps + h)::INT AS step, action, round((10 + unit_idx % 7) * pow(1.0137139, steps + h) * (1 + 0.1 * action_idx), 3) AS value
+FROM (SELECT DISTINCT unit, unit_idx, action, action_idx FROM truth WHERE action = 'view') CROSS JOIN n CROSS JOIN range(4) r(h)""")
+def model_forecast_of_rank_one(spark, sf_dir):
+    return _rounded(_rank_one_model(spark, sf_dir).forecast(None, 4, "metric", "view").drop("pos"), "value", digits=3)
+
+
+@query(f"WITH {TRUTH} SELECT unit, time, action, round(value, 3) AS value FROM truth")
+def partial_fit_of_rank_one(spark, sf_dir):
+    """Twenty-four days fitted, the rest appended: all counterfactuals."""
+    return _rounded(_rank_one_model(spark, sf_dir, "2024-01-25").counterfactuals().drop("observed"), "value", digits=3)
+
+
+@query(f"""WITH {TRUTH}, n AS (SELECT count(*) AS steps FROM dt) SELECT unit, (steps + h)::INT AS step, round((10 + unit_idx % 7) * pow(1.0137139, steps + h), 3) AS value
+FROM (SELECT DISTINCT unit, unit_idx FROM truth) CROSS JOIN n CROSS JOIN range(3) r(h)""")
+def forecast_after_append(spark, sf_dir):
+    """Forecasters keep their coefficients over an append and go on from the longer history."""
+    return _rounded(_rank_one_model(spark, sf_dir, "2024-01-25").forecast(None, 3, "metric", "click").select("unit", "step", "value"), "value", digits=3)
+
+
+# ---------------------------------------------------------------- sets of rows
+
+HALVES = P1 + ", a AS (SELECT unit, action FROM p1 WHERE time < DATE '2024-01-16'), b AS (SELECT unit, action FROM p1 WHERE time >= DATE '2024-01-16')"
+
+
+def _halves(spark, sf_dir):
+    p = events_daily(spark, sf_dir).persist()
+    return p.where("time < '2024-01-16'"), p.where("time >= '2024-01-16'")
+
+
+@query(f"WITH {HALVES} SELECT * FROM a INTERSECT SELECT * FROM b")
+def units_in_both(spark, sf_dir):
+    return panel.in_both(*_halves(spark, sf_dir), "unit", "action")
+
+
+@query(f"WITH {HALVES} SELECT * FROM a EXCEPT SELECT * FROM b")
+def units_in_first_only(spark, sf_dir):
+    return panel.in_first_only(*_halves(spark, sf_dir), "unit", "action")
+
+
+@query()
+def row_sample(spark, sf_dir):
+    """A tenth of the panel's rows by a hash of their keys."""
+    return panel.sample_rows(events_daily(spark, sf_dir), 0.1, ["unit", "time"])
+
+
+# ---------------------------------------------------------------- fitted algorithms on the tables' own values (no SQL form)
 
 
 def _orders_matrix(spark, sf_dir):
@@ -572,6 +729,16 @@ def _orders_matrix(spark, sf_dir):
     return x, panel.missing_cells(grid, x)
 
 
+@query()
+def snn_events(spark, sf_dir):
+    """The events panel's units by days, where a day without events is missing: grows with the tables."""
+    p = events_daily(spark, sf_dir).persist()
+    u, t, _ = dims(p)
+    cells = p.join(u, "unit").join(t, "time").select(F.col("unit_idx").alias("row_id"), F.col("time_idx").alias("col_id"), F.col("metric").alias("value")).persist()
+    grid = panel.grid(u.select(F.col("unit_idx").alias("row_id")), t.select(F.col("time_idx").alias("col_id")))
+    return snn.snn_impute(cells, panel.missing_cells(grid, cells), SnnConfig(max_rank=3, node_budget=2000))
+
+
 @query()
 def snn_impute(spark, sf_dir):
     return snn.snn_impute(*_orders_matrix(spark, sf_dir), SnnConfig())
