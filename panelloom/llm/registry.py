@@ -20,4 +20,5 @@ ORACLES = {
     "op2_near_dedup": near_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op6_secret_scan": secrets.ORACLE,
 }

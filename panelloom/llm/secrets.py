@@ -67,15 +67,15 @@ def scan(spark: SparkSession, versions: DataFrame, key: str, ledger: DataFrame |
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = versions.select(F.col(key).cast("long").alias("key"), text.alias("text"))
-    paths = stored(spark, rows.select("key", F.sha2(F.col("text").cast("binary"), 256).alias("blob")), "paths")
-    one = paths.groupBy("blob").agg(F.min("key").alias("key"))
+    # rows without key are spread by their content
+    rows = rows.withColumn("at", F.coalesce("key", F.xxhash64("text")))
+    paths = stored(spark, rows.select("key", "at", F.sha2(F.col("text").cast("binary"), 256).alias("blob")), "paths")
+    one = paths.groupBy("blob").agg(F.min("at").alias("at"))
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == rule_version)
         one = one.join(seen.select("blob"), "blob", "left_anti")
-    same = F.col("key").eqNullSafe(F.col("own")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("blob"))
-    # one copy of each unseen blob; the join on the key alone leaves nothing hot, the content is compared after it
-    spread = lambda c: F.coalesce(F.col(c), F.lit(-1))
-    chosen = rows.withColumn("at", spread("key")).join(one.withColumnRenamed("key", "own").withColumn("at", spread("own")).hint("shuffle_merge"), "at").where(same).select("blob", "text")
+    # one copy of each unseen blob; the join on the place alone leaves nothing hot, the content is compared after it
+    chosen = rows.join(one.hint("shuffle_merge"), "at").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("blob")).select("blob", "text")
     fresh = stored(spark, chosen.mapInPandas(_scan, "blob string, spans array<struct<kind: string, start: bigint, end: bigint>>").dropDuplicates(["blob"]), "findings")
     known = fresh if ledger is None else fresh.unionByName(seen.select("blob", "spans").dropDuplicates(["blob"]))
     return paths.join(known, "blob", "left").select("key", "blob", "spans"), fresh.select("blob", F.lit(rule_version).alias("rule_version"), "spans")
@@ -113,3 +113,29 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"filter(spans, s -> s.kind in ({', '.join(map(repr, BASE))}))"
     count = lambda k: F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}")
     return found.select(F.col("key").alias("doc_id"), *map(count, BASE), F.expr(f"sha2({_joined(base)}, 256)").alias("base_sha256"), F.expr(_joined("spans")).alias("spans"))
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _sql_matches(number: int, pattern: str, long: str = "true") -> str:
+    """SQL list of (a, k, b) of the matches of a kind in ``t``: places are summed up from the texts around the matches."""
+    quoted = pattern.replace("'", "''")
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{quoted}')) + 1), lambda i: {{
+    'a': list_sum(list_transform(string_split_regex(t, '{quoted}')[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(regexp_extract_all(t, '{quoted}')[1:i - 1], lambda x: length(x))), 0)::BIGINT,
+    'k': {number}, 'n': length(regexp_extract_all(t, '{quoted}')[i]), 'g': length(regexp_extract_all(t, '{quoted}', {2 if number == 0 else 0})[i])}}), lambda m: {long})"""
+
+
+_SQL_ASSIGN = ASSIGN.pattern.replace("password|passwd|secret|token|api_?key", "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")))
+_SQL_LISTS = ", ".join([_sql_matches(0, _SQL_ASSIGN, "m.g >= 8"), _sql_matches(1, ACCESS.pattern, "m.n >= 16"), _sql_matches(2, HEX.pattern), *(_sql_matches(k, p.pattern.replace(r"\Z", r"\z")) for k, (_, p, _) in enumerate(MORE, len(BASE)))])
+_SQL_SPAN = f"lambda m: [{', '.join(map(repr, KINDS))}][m.k + 1] || ':' || m.a || ':' || (m.a + m.n)"
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, list_sort(flatten([{_SQL_LISTS}])) AS s FROM d)
+SELECT doc_id, {', '.join(f"len(list_filter(s, lambda m: m.k = {k}))::BIGINT AS n_{kind}" for k, kind in enumerate(BASE))},
+  sha256(coalesce(array_to_string(list_transform(list_filter(s, lambda m: m.k < {len(BASE)}), {_SQL_SPAN}), ','), '')) AS base_sha256,
+  coalesce(array_to_string(list_transform(s, {_SQL_SPAN}), ','), '') AS spans
+FROM f
+"""
