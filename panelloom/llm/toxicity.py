@@ -1,11 +1,15 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Linear classifiers over hashed words and word beginnings are trained in numpy from confirmed toxic
-documents (positive) and text without any label (unlabelled): the class-prior-corrected risk
-``prior * R_p+ + max(0, R_u- - prior * R_p-)`` is minimised, negative labels are never used.
-
-Fitting uses bounded samples, ``max_positive`` and ``max_unlabelled`` documents with the least hash of
-their doc_id among the rows that may be learnt from; scoring covers every document's whole text.
+documents (positive) and unlabelled text: the class-prior-corrected risk
+``prior * R_p+ + max(0, R_u- - prior * R_p-)`` is minimised. Unlabelled text is drawn from all rows that may
+be learnt from, whether they have a label or not, as the estimator assumes (a sample of the population
+beside a sample of its positives). Negative labels serve for one number only, the class prior: the share
+of toxic rows among the labelled ones, smoothed by half a row of each kind.
+
+Features are chosen by their frequency among positives against that among all rows that may be learnt
+from, which are all counted. Fitting uses bounded samples, ``max_positive`` and ``max_unlabelled``
+documents with the least hash of their doc_id; scoring covers every document's whole text.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from panelloom.llm.common import NOT_WORD, lowered, prefix_hash, span_hash, tabl
 
 BUCKETS = 1 << 18
 BEGINNINGS = (4, 5, 6, 8)
+#: Partitions of the bounded sample that the classifier is fitted on.
+SAMPLE_PARTS = 12
 
 
 def feature_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,14 +116,22 @@ def nnpu_fit(positive: Rows | np.ndarray, unlabelled: Rows | np.ndarray, prior:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, BUCKETS), np.int32)
+    """(bucket, n) of texts (column ``text``): documents of this task that have a feature in the bucket."""
+    counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        kinds = batch.column(0).to_numpy(zero_copy_only=False)
-        for at, data, offsets in text_slices(batch):
+        for _, data, offsets in text_slices(batch):
             hashes, rows = feature_hashes(data, offsets)
-            pairs = np.unique(rows * BUCKETS + hashes)
-            counts += np.array([np.bincount(pairs[kinds[at + pairs // BUCKETS] == k] % BUCKETS, minlength=BUCKETS) for k in (0, 1)], np.int32)
-    yield pa.RecordBatch.from_pydict({"counts": pa.array([counts.tobytes()], pa.binary())})
+            counts += np.bincount(np.unique(rows * BUCKETS + hashes) % BUCKETS, minlength=BUCKETS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array(some.astype(np.int32)), "n": pa.array(counts[some])})
+
+
+def document_counts(texts: DataFrame) -> np.ndarray:
+    """Documents of each of BUCKETS buckets; that many numbers come to the driver, whatever the input."""
+    counts = np.zeros(BUCKETS, np.int64)
+    rows = texts.select("text").mapInArrow(_counter, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return counts
 
 
 def _chooser(place: np.ndarray):
@@ -138,11 +152,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, may_learn, max_
     """Train on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); may_learn is a condition on doc_id.
 
     Conflicting labels of a document count as toxic; null labels and labels without a document are
-    ignored. Without positives the model scores every text with the prior.
+    ignored; of rows that repeat a doc_id all texts are learnt from. Without positives, or without any
+    documents, the model scores every text with the prior.
     """
     known = labels.where(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.sum("toxic")).first()
-    prior = min(0.5, max(0.01, (n_toxic or 0) / max(1, n)))
+    prior = ((n_toxic or 0) + 0.5) / (n + 1)
     nothing = PUModel(np.full(BUCKETS, -1, np.int32), np.zeros(0), float(np.log(prior / (1 - prior))))
     order = F.xxhash64("doc_id", F.lit(7))
     ids = docs.where(may_learn & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -150,18 +165,19 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, may_learn, max_
     u = ids.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(max_unlabelled)
     # at most max_positive + max_unlabelled ids: bounded by parameters, so the broadcast is too
     chosen = p.distinct().withColumn("kind", F.lit(1)).union(u.distinct().withColumn("kind", F.lit(0)))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("kind", "text").repartition(12)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("kind", "text").repartition(SAMPLE_PARTS)
     sample.persist()
     try:
-        counts = sum(np.frombuffer(r[0], np.int32).reshape(2, BUCKETS) for r in sample.mapInArrow(_counter, "counts binary").collect())
         sizes = {r[0]: r[1] for r in sample.groupBy("kind").count().collect()}
         if not sizes.get(1) or not sizes.get(0):
             return nothing
-        cp, cu = counts[1] + 0.5, counts[0] + 0.5
-        lift = np.log(cp / (sizes[1] + 1)) - np.log(cu / (sizes[0] + 1))
+        learnable = docs.where(may_learn & F.col("doc_id").isNotNull()).select(F.col("text").cast("string").alias("text"))
+        of_positive, of_all = document_counts(sample.where("kind = 1")), document_counts(learnable)
+        cp, cu = of_positive + 0.5, of_all + 0.5
+        lift = np.log(cp / (sizes[1] + 1)) - np.log(cu / (learnable.count() + 1))
         strength = lift / np.sqrt(1 / cp + 1 / cu)
         best = np.argsort(-strength, kind="stable")[:max_features]
-        best = best[(strength[best] > 2) & (counts[1][best] >= 2)]
+        best = best[(strength[best] > 2) & (of_positive[best] >= 2)]
         if not len(best):
             return nothing
         place = np.full(BUCKETS, -1, np.int32)
@@ -180,7 +196,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, may_learn, max_
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: PUModel) -> DataFrame:
-    """(doc_id, score) of every row's whole text; null texts count as empty."""
+    """(doc_id, score) of every row's whole text, repeated rows each; null texts count as empty; an empty table gives no rows."""
     shared = spark.sparkContext.broadcast(model)  # BUCKETS places and max_features weights: a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
