@@ -2,41 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from panelloom.sources import scratch
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 1 << 20
-_ROOTS: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` if the cluster names one.
-
-    Only where it is unset (local tests) a temporary folder of this machine is made and set; on a
-    cluster without the setting the SQL warehouse, which is shared by definition, is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            root = "file://" + tempfile.mkdtemp(prefix="panelloom-")
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_panelloom"
-        root = _ROOTS.setdefault(spark.sparkContext.applicationId, root)
-    return root.rstrip("/")
 
 
 def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch.stored(df, tag)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

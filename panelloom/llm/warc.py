@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import shared_root, stored, table
+from panelloom.llm.common import stored, table
+from panelloom.sources.scratch import new_path
 
 EOL = b"\r\n"
 END = b"\r\n\r\n"
@@ -318,7 +318,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages into archives and back."""
-    path = f"{shared_root(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_archives(spark, table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
