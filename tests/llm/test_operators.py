@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import itertools
+import os
 import re
 import zlib
 
@@ -13,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelloom.llm import common, decontaminate, html_extract, lcp, mixing, near_dedup, secrets, token_codec, toxicity, url_filter, warc
+from panelloom.llm import byte_bpe, common, decontaminate, html_extract, lcp, mixing, near_dedup, secrets, token_codec, toxicity, url_filter, url_labels, warc
 
 WORDS = [a + b for a in "ba be bi bo bu da de di do du ka ke ki ko ku la le li lo lu ma me mi mo mu".split() for b in "n r s t l m nd rk st".split()]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -91,13 +93,35 @@ def test_near_duplicates_equal_brute_force(spark, docs, rows, n, percent, bands)
 
 
 def test_large_buckets_equal_brute_force(spark, docs, rows, monkeypatch):
-    """With small buckets of four, the group of 90 edited copies goes through all levels."""
-    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    """With small blocks, the group of 90 edited copies goes through many of them."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 300)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 64)
     got = near_dedup.near_duplicates(spark, docs, 3, 85, 20).collect()
     want = brute_components(rows, 3, 85)
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, v[1]) for d, v in want.items()}
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(-20, 20)), max_size=6), st.lists(st.sets(st.integers(-20, 20)), max_size=6), st.integers(1, 9))
+def test_shared_counts(left, right, columns):
+    flat = lambda sets: [np.array(sorted(x), np.int64) for x in sets]
+    before, near_dedup.COLUMNS = near_dedup.COLUMNS, columns
+    try:
+        got = near_dedup.shared_counts(flat(left), flat(right))
+    finally:
+        near_dedup.COLUMNS = before
+    assert got.tolist() == [[len(a & b) for b in right] for a in left]
+
+
+def test_doc_ids_that_name_several_texts(spark):
+    """One of the texts stands for the doc_id, the same one in every run; all its rows have one component."""
+    rows = [(1, "a b c d e f g"), (2, "h i j k l m n"), (3, "a b c d e f g"), (3, "h i j k l m n"), (3, "a b c d e f g"), (4, None), (4, "o p q r s t")]
+    runs = [{tuple(r) for r in near_dedup.near_duplicates(spark, spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(k + 1)).collect()} for k in range(3)]
+    assert runs[0] == runs[1] == runs[2]
+    of = {r[0]: r[2] for r in runs[0]}
+    assert of[1] == 1 and of[2] == 2 and of[3] in (1, 2) and of[4] == 4
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark, empty):
     assert near_dedup.near_duplicates(spark, empty).count() == 0
     d = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
@@ -133,9 +157,14 @@ def test_mixing_equals_sql(spark, rows, docs, empty, tmp_path):
     assert sorted(map(tuple, df.select(cols).collect()), key=key) == sorted(con.sql(f"select {', '.join(cols)} from ({mixing.ORACLE})").fetchall(), key=key)
     total = sum(len((t or "").split()) for t in {r[0]: re.sub("[\u00a0]", "_", r[1] or "") for r in rows}.values())
     assert df.agg(F.sum("taken")).first()[0] == total // 2
-    made = mixing.mixture(spark, docs)
-    assert made.columns == docs.columns
-    assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in made.collect()) == total // 2
+    # the mixture takes every row: repeated ones each, and those without doc_id
+    every = docs.unionByName(docs.where("doc_id < 30").withColumn("doc_id", F.lit(None).cast("long")))
+    count = lambda d: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in d.collect())
+    made = mixing.mixture(spark, every).persist()
+    assert made.columns == docs.columns and count(made) == count(every) // 2
+    assert made.where("doc_id is null").count() > 0
+    some = {(r["doc_id"], r["text"]) for r in every.collect()}
+    assert all(any(d == r["doc_id"] and (t or "").startswith(r["text"]) for d, t in some) for r in made.select("doc_id", "text").distinct().collect())
     assert mixing.mixed(spark, empty).count() == 0 and mixing.mixture(spark, empty).count() == 0
 
 
@@ -162,8 +191,6 @@ def test_decontamination_finds_copies_and_new_parameters(spark, empty):
     got = decontaminate.contaminated(spark, docs, bench).collect()
     assert {r["doc_id"] for r in got} == {0, 1, 2, 8} and len(got) == 5 and {r["item_id"] for r in got} == {5}
     assert {r["doc_id"]: r["literal"] for r in got}[1] is False
-    sliced = decontaminate.contaminated(spark, docs, bench, slice_items=1).collect()
-    assert sorted(map(str, sliced)) == sorted(map(str, got))
     assert decontaminate.contaminated(spark, spark.createDataFrame([(1, "a short exact item here")], "doc_id long, text string"), bench).first()["item_id"] == 8
     assert decontaminate.contaminated(spark, empty, bench).count() == 0 and decontaminate.contaminated(spark, docs, bench.where("false")).count() == 0
 
@@ -173,10 +200,102 @@ def test_slots_must_map_one_to_one():
     assert decontaminate._consistent(a, np.array([5, 6, 5], np.uint64))
     assert not decontaminate._consistent(a, np.array([5, 6, 7], np.uint64)) and not decontaminate._consistent(a, np.array([5, 5, 5], np.uint64))
 
+class Whole:
+    """A bit map that lets all windows pass."""
+
+    value = np.full(decontaminate.BITS // 64, 2**64 - 1, np.uint64)
+
+
+def text_batch(texts):
+    return pa.RecordBatch.from_pydict({"row": pa.array(range(len(texts)), pa.int64()), "doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+
+
 def found_in(item, text):
-    t = decontaminate.Templates([1], [item], 8, 4)
-    raw = text.encode()
-    return decontaminate.matches(t, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 0.5, 13)
+    """The operator's own windows of one item and one text, joined here."""
+    own = [r for b in decontaminate._item_windows(8, 4)([text_batch([item]).select(["doc_id", "text"])]) for r in b.to_pylist()]
+    theirs = [r for b in decontaminate._doc_windows(Whole, sorted({r["width"] for r in own}), 4)([text_batch([text])]) for r in b.to_pylist()]
+    met = [(t["pos"], o["at"], o["way"], o["names"], t["theirs"]) for t in theirs for o in own if t["key"] == o["key"]]
+    if not met:
+        return []
+    got = decontaminate.judged(own[0]["item_words"], own[0]["width"], *(np.array(x, np.int64) for x in zip(*met, strict=True)), 0.5, 13)
+    return [(0, 0, *got)] if got else []
+
+
+def brute_found(item, text, window=8, least=4, share=0.5, run=13):
+    """All windows of all places compared, all parts of runs in conflict tried."""
+    def words(t):
+        data = np.frombuffer(t.encode(), np.uint8)
+        return list(zip(*(x.tolist() for x in decontaminate.canonical(data, np.array([0, len(data)]))[:3]), strict=True))
+
+    own, doc = words(item), words(text)
+    width, covered, longest, exact, first = min(window, len(own)), set(), 0, True, None
+    if not width:
+        return []
+    for shift in range(-len(own), len(doc)):
+        met = {}
+        for at in range(len(own) - width + 1):
+            pos = at + shift
+            if 0 <= pos <= len(doc) - width:
+                mine, theirs = own[at : at + width], doc[pos : pos + width]
+                copy = [w[1] for w in mine] == [w[1] for w in theirs]
+                plain = lambda x: sum(w[2] == 0 for w in x) >= min(least, width)
+                if copy or (plain(mine) and plain(theirs) and [w[0] for w in mine] == [w[0] for w in theirs]):
+                    met[at] = copy
+        runs = []
+        for at in sorted(met):
+            if runs and at <= runs[-1][-1] + width:
+                runs[-1].append(at)
+            else:
+                runs.append([at])
+        for ats in runs:
+            def fits(i, j):
+                pairs = {(own[k][1], doc[k + shift][1]) for k in range(i, j) if own[k][2]}
+                return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+            lo, hi = ats[0], ats[-1] + width
+            parts = [(lo, hi)]
+            if not fits(lo, hi):
+                parts = []
+                for s in (a for a in ats if met[a]):
+                    if parts and s <= parts[-1][1]:
+                        parts[-1] = (parts[-1][0], s + width)
+                    else:
+                        parts.append((s, s + width))
+                whole = [(a, b + width) for a in ats for b in ats if a <= b and fits(a, b + width)]
+                if whole:
+                    parts.append(max(whole, key=lambda p: (p[1] - p[0], -p[1])))
+            equal = {k for a in ats if met[a] for k in range(a, a + width)}
+            for i, j in parts:
+                covered |= set(range(i, j))
+                longest = max(longest, j - i)
+                exact &= all(k in equal for k in range(i, j))
+                first = i + shift if first is None else min(first, i + shift)
+    return [(0, 0, len(covered), longest, exact, first)] if first is not None and (len(covered) >= share * len(own) or longest >= run) else []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**9))
+def test_decontamination_equals_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    pool = ["apples", "sold", "the", "market", "on", "train", "kilometres", "how", "many", "are", "left", "12", "7", "3", "km", "Anna", "Tom", "Berlin", "every", "day"]
+    item = " ".join(rng.choice(pool, int(rng.integers(1, 30))))
+    changed = {w: str(rng.choice(["12", "7", "3", "40", "Anna", "Mia"])) for w in ("12", "7", "3", "Anna", "Tom", "Berlin") if rng.random() < 0.4}
+    words = [changed.get(w, w) if rng.random() < 0.95 else w for w in item.split()]
+    cut = int(rng.integers(0, 4))
+    text = " ".join([*rng.choice(pool, int(rng.integers(0, 6))), *words[cut:], *rng.choice(pool, int(rng.integers(0, 6))), *(words if rng.random() < 0.3 else [])])
+    text = text.lower() if rng.random() < 0.2 else text
+    assert found_in(item, text) == brute_found(item, text)
+
+
+def test_many_items_of_one_template(spark):
+    """Four hundred questions of one template and a document that repeats them all: one row, found once for each place."""
+    make = lambda a, b: f"A baker sold {a} cakes on Monday and {b} cakes on Friday so how many cakes did the baker sell on both days together"
+    items = [(k, make(2 * k + 2, 2 * k + 3)) for k in range(400)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(t for _, t in items)), (2, make(9, 5)), (3, make(5, 5)), (4, "nothing of that")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(spark, docs, bench).collect()}
+    assert set(got) == {1, 2, 3} and all((r["item_id"], r["n_items"]) == (0, 400) for r in got.values())
+    assert got[1]["literal"] and got[2]["longest_run"] == 24 and not got[2]["literal"] and got[3]["longest_run"] < 24
 
 
 def test_literal_copies_need_no_plain_words():
@@ -274,6 +393,38 @@ def test_token_files_equal_the_tokenizer(spark, docs, rows, empty, monkeypatch):
     assert token_codec.read_tokens(token_codec.write_tokens(spark, empty, token_codec.hub_encoder(token_codec.vocabulary()))).count() == 0
 
 
+PIECES = ["a", "b", "Z", "é", "ß", "×", "÷", "1", "23", " ", "  ", "\n", "\n\n", "\t", "'", "'s", "'re", " 'll", ".", ",", "!?", "\u00a0", "\u2003", "\u3000", "\u2014", "\u201c", "漢", "e\u0301", "\x1c", "\x00", "<|endoftext|>", "<|", "😀", "\r\n", " word", "word", "\u0085", "\u200b", "\u0661", "ñ", "\x7f"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=40).map("".join), max_size=12))
+def test_units_give_the_tokenizers_ids(texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_codec.vocabulary())
+    encode = byte_bpe.hub_encoder(token_codec.vocabulary())()
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_units_that_are_forgotten_or_too_long_to_keep(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_codec.vocabulary())
+    encode = byte_bpe.Encoder(token_codec.vocabulary())
+    monkeypatch.setattr(byte_bpe, "KEPT", 20)
+    monkeypatch.setattr(byte_bpe, "LONG", 6)
+    rng = np.random.default_rng(2)
+    for _ in range(6):
+        texts = [prose(rng, 30) + "漢字" * 20, "", "abcdefghijkl"]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encode.rows) <= 40 and not any(len(u) > 6 for u in encode.rows)
+
+
+def test_large_ids_are_coded():
+    ids = np.random.default_rng(1).integers(0, 3_000_000, 3000).astype("<u4")
+    assert (token_codec.decode_block(token_codec.encode_block(ids, np.zeros(0, token_codec.DOC)))[2] == ids).all()
+
+
 def test_crc_of_joined_parts():
     a, b = b"some bytes", b"and more of them" * 9
     assert token_codec.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
@@ -298,6 +449,23 @@ def test_urls_by_rules_and_model(spark):
     assert url_filter.judged(spark, pages.where("false"), []).count() == 0
 
 
+def test_url_model_on_hosts_it_has_not_seen():
+    hosts = {url_labels.host(u) for u, _ in url_labels.LABELLED}
+    assert all(h.rsplit(".", 1)[1] in ("test", "example") for h in hosts)
+    model = url_filter.train([x for x in url_labels.LABELLED if not url_labels.held_out(x[0])])
+    unseen = [x for x in url_labels.LABELLED if url_labels.held_out(x[0])]
+    parts = [url_filter._plain_split(u) for u, _ in unseen]
+    score = model.scores(url_filter._packed([p[0] for p in parts]), url_filter._packed([p[1] for p in parts]))
+    right = (score >= 0.5) == (np.array([y for _, y in unseen]) == 1)
+    assert len(unseen) > 80 and right.mean() >= 0.9
+
+
+def test_rules_with_both_verdicts_block(spark):
+    rules = spark.createDataFrame([("allow", "a.com/"), ("block", "a.com/"), (None, None)], "verdict string, rule string")
+    urls = spark.createDataFrame([(1, "x.a.com", "/y"), (2, "b.com", "/")], "key long, host string, path string")
+    assert [(r["key"], r["ruled"]["verdict"]) for r in url_filter.joined_rules(urls, rules).collect()] == [(1, "block")]
+
+
 # ------------------------------------------------------------------ WARC
 
 
@@ -320,6 +488,53 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def archive(*records, each=True):
+    import gzip
+
+    parts = [warc.record(list(h.items()), b) + b"\r\n\r\n" for h, b in records]
+    return b"".join(map(gzip.compress, parts)) if each else gzip.compress(b"".join(parts))
+
+
+def test_archives_of_others_are_read(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
+    sha1 = "sha1:" + warc.sha1_base32(b"<p>hi</p>")
+    records = [
+        ({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:0>"}, b"software: x"),
+        ({"warc-type": "response", "warc-record-id": "<urn:uuid:1>", "WARC-Target-URI": "http://a/"}, page),
+        ({"WARC-Type": "request", "WARC-Record-ID": "<urn:uuid:2>"}, b"GET / HTTP/1.1\r\n\r\n"),
+        ({"WARC-Type": "resource", "WARC-Record-ID": "<urn:uuid:3>", "WARC-Payload-Digest": "md5:00"}, b"plain " * 400_000),
+        ({"WARC-Type": "revisit", "WARC-Record-ID": "<urn:uuid:4>", "WARC-Refers-To": "<urn:uuid:1>", "WARC-Payload-Digest": sha1}, b""),
+    ]
+    os.makedirs(tmp_path / "w")
+    for name, data in (("a.warc.gz", archive(*records)), ("b.warc.gz", archive(records[1], each=False)), ("c.warc", warc.record(list(records[1][0].items()), page))):
+        (tmp_path / "w" / name).write_bytes(data)
+    got = sorted(tuple(r)[:6] for r in warc.read_archives(spark, f"file://{tmp_path}/w").select("record_type", "record_id", "target_uri", "payload_bytes", "payload_digest", "refers_to_record", "page_id").collect())
+    one = ("response", "<urn:uuid:1>", "http://a/", 9, warc.sha1_base32(b"<p>hi</p>"), None)
+    assert got == [("resource", "<urn:uuid:3>", None, 2_400_000, warc.sha1_base32(b"plain " * 400_000), None), one, one, one, ("revisit", "<urn:uuid:4>", None, None, sha1[5:], "<urn:uuid:1>")]
+    assert list(warc.inflated(b"")) == [] and b"".join(warc.inflated(archive(*records))).count(b"WARC/1.1") == 5
+    for cut in (5, -3):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(warc.inflated(archive(*records)[:cut])))
+
+
+def test_revisits_must_agree_with_what_they_name(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\n\r\n<p>hi</p>"
+    bad = ({"WARC-Type": "revisit", "WARC-Record-ID": "<b>", "WARC-Refers-To": "<a>", "WARC-Payload-Digest": "sha1:" + warc.sha1_base32(b"other")}, b"")
+    os.makedirs(tmp_path / "w")
+    (tmp_path / "w" / "a.warc.gz").write_bytes(archive(({"WARC-Type": "response", "WARC-Record-ID": "<a>"}, page), bad))
+    with pytest.raises(ValueError, match="revisits"):
+        warc.read_archives(spark, f"file://{tmp_path}/w")
+
+
+def test_revisits_name_records_that_are_there(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"u{k}", "same" if k < 5 else "other") for k in range(6)] + [(0, "u0", "same"), (None, "n", "same"), (None, "n", "same")], "page_id long, url string, html string")
+    warc.write_archives(spark, pages, f"file://{tmp_path}/w")
+    got = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    names = [r["record_id"] for r in got]
+    assert len(set(names)) == len(names) == 9
+    assert {r["refers_to_record"] for r in got if r["record_type"] == "revisit"} <= set(names) and sum(r["record_type"] == "revisit" for r in got) == 4
+
+
 def test_broken_archives_are_refused():
     parts = [{"segment": 2, "total": 5, "block": b"de"}, {"segment": 1, "total": -1, "block": b"abc"}]
     assert warc.reassembled(parts) == b"abcde"
@@ -362,6 +577,10 @@ def test_secrets_and_the_ledger(spark, tmp_path, empty):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex"))
         assert set(base) <= set(r["spans"].split(","))
     assert any("pem:" in r["spans"] for r in got) and any("forge:" in r["spans"] for r in got)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cols, order = sorted(got[0].asDict()), lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted((tuple(r[c] for c in cols) for r in got), key=order) == sorted(con.sql(f"select {', '.join(cols)} from ({secrets.ORACLE})").fetchall(), key=order)
     ledger = secrets.BlobLedger(spark, f"file://{tmp_path}/ledger")
     assert ledger.scan(docs.where("doc_id < 4"), "doc_id").count() == 5
     assert ledger.rows().count() == 4
@@ -397,6 +616,72 @@ def test_fingerprints_of_documents_and_edits(spark, docs, rows, empty):
     assert one[0]["edited_sha256"] == hashlib.sha256(b"abca").hexdigest() and one[0]["near_next"] == 1.0
 
 
+FULL = 2**64 - 1
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & FULL
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & FULL
+    return x ^ x >> 31
+
+
+def plain_parse(symbols):
+    """One sequence's phrases, symbol by symbol."""
+    s = []
+    for sym, group in itertools.groupby(symbols):
+        n = len(list(group))
+        s.append(plain_mix((sym * 0x9E3779B97F4A7C15 + n) & FULL) if n > 1 else sym)
+
+    def toss(a, b):
+        bit = ((a ^ b) & -(a ^ b)).bit_length() - 1 if a != b else 0
+        return 2 * bit + (a >> bit & 1)
+
+    label = [toss(x, s[k - 1] if k else ~x & FULL) for k, x in enumerate(s)]
+    for _ in range(3):
+        label = [toss(x, label[k - 1] if k else x ^ 1) for k, x in enumerate(label)]
+    begins = [k for k in range(len(s)) if not k or (label[k] > label[k - 1] and (k + 1 == len(s) or label[k] > label[k + 1]))]
+    out = []
+    for a, b in zip(begins, [*begins[1:], len(s)], strict=True):
+        h = sum(x * pow(0x9E3779B97F4A7C15, k, 2**64) for k, x in enumerate(s[a:b])) + (b - a) * 0x94D049BB133111EB
+        out.append(plain_mix(h & FULL))
+    return out
+
+
+def plain_print(text):
+    symbols, names = [plain_mix(ord(c) + 1) for c in text], set()
+    for level in range(1, 5):
+        symbols = plain_parse(symbols) if symbols else []
+        if level in lcp.LEVELS:
+            names |= {plain_mix(x + level & FULL) for x in symbols}
+    if not names:
+        return b""
+    least = {}
+    for h in names:
+        k = (h >> 32) * lcp.BINS >> 32
+        least[k] = min(h, least.get(k, h))
+    probes = near_dedup._probe_table(lcp.BINS)
+    bins = [least[k] if k in least else least[next(int(p) for p in probes[k] if int(p) in least)] for k in range(lcp.BINS)]
+    return b"".join((b & 0xFFFF).to_bytes(2, "little") for b in bins)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = [prose(rng, 80), prose(rng, 300), "", "a", "aaaa" * 30, "ab" * 200, "é漢😀 " * 40, prose(rng, 15)]
+    texts += [texts[1][:900] + "X" + texts[1][900:], texts[1]]
+    docs = spark.createDataFrame([(10 * k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lcp.compared(spark, docs).collect()}
+    same = lambda a, b: float(a == b) if not a or not b else sum(a[2 * k : 2 * k + 2] == b[2 * k : 2 * k + 2] for k in range(lcp.BINS)) / lcp.BINS
+    for k, t in enumerate(texts):
+        nxt = texts[(k + 1) % len(texts)]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + nxt[:q]
+        r, own, other, after = got[10 * k], plain_print(t), plain_print(edited), plain_print(nxt)
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own.hex(), other.hex())
+        assert (r["near_edited"], r["near_next"]) == (same(own, other), same(own, after))
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(0, 10**6), st.integers(0, 50))
 def test_equal_substrings_share_interior_phrases(seed, offset):
@@ -446,6 +731,21 @@ def test_template_decides_pages_with_articles(spark):
     assert got == {i: " ".join([f"story {i} is told here", *(f"part {i} {k}" for k in range(1 + i % 3))]) for i in range(6)}
 
 
+def test_pages_without_article_elements_and_a_large_host(spark, monkeypatch):
+    """Slots of the template are the text whatever the elements are called; a host's pages are dealt in parts."""
+    page = "<html><body><div class=x1>Site name</div><div class=x2><a>Home</a> <a>News</a></div><{0}><h1>Title {1}</h1><p>story {1} of day {2}</p><p>more of {1}</p></{0}><div class=x3>All rights</div></body></html>"
+    rows = [(i, f"http://{'big' if i % 4 else 'small'}/{i}", page.format(name, i, i * 7)) for i in range(40) for name in ("div",)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Title {i} story {i} of day {7 * i} more of {i}" for i in range(40)}
+    assert {r["page_id"]: r["text"] for r in html_extract.extracted(pages).collect()} == want
+    marked = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<div><h1>", "<article><h1>"), "</p></div>", "</p></article>"))
+    assert {r["page_id"]: r["text"] for r in html_extract.extracted(marked).collect()} == want
+    found = html_extract.templates(pages.select(F.col("page_id").alias("row"), F.expr("if(page_id % 4 = 0, 'small', 'big')").alias("host"), "html"))
+    rows_ = pages.select("page_id", F.col("page_id").alias("row"), F.expr("if(page_id % 4 = 0, 'small', 'big')").alias("host"))
+    few = html_extract.with_templates(rows_, found, pages_a_part=3)
+    assert few.count() == 40 and few.where("template is null").count() == 0 and few.where("host = 'big'").select("part").distinct().count() > 5
+
+
 def test_articles_that_are_no_main_text():
     none = frozenset()
     assert html_extract.main_text("<div><p>the text</p></div><article class='comment'>a long comment of a reader</article>", none) == "the text"

@@ -55,3 +55,25 @@ def test_stages_equal_brute_force(spark, tmp_path):
     lengths = sorted(len(b) // 4 + 1 for b in encode([r["text"] for r in kept["mixing"]]))
     assert sorted(r["n_tokens"] for r in kept["tokens"]) == lengths
     assert sorted(r["start"] for r in kept["tokens"]) == [0, *np.cumsum([r["n_tokens"] for r in sorted(kept["tokens"], key=lambda r: r["start"])])[:-1].tolist()]
+
+
+def test_stages_of_empty_tables_and_odd_rows(spark, tmp_path):
+    """Empty tables give empty results; rows without doc_id, with nulls, repeats and columns that clash are carried through."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    clash = ["1 as id", "2 as key", "3 as score", "4 as bucket", "5 as item_id", "6 as row", "7 as template", "8 as taken", "9 as n_tokens"]
+    sf_dir = f"file://{tmp_path}"
+    empty = spark.createDataFrame([], DOCS).selectExpr("*", *clash)
+    for k, (_, stage) in enumerate(P.STAGES):
+        got = stage(spark, empty, sf_dir)
+        assert got.count() == 0 and (k == len(P.STAGES) - 1 or got.columns == P.COLUMNS)
+    words = prose(np.random.default_rng(5), 4000)
+    rows = [(None, words, "en", "src1", 1), (None, words, "en", "src1", 1), (1, None, None, None, None), (2, "b b b", "de", None, 5), (2, "a a a", "de", None, 5), (2, "a a a", "de", None, 5), (3, "", "en", "src1", 0), (4, words, None, "src2", None), (5, words, "en", "src9", None)]
+    odd = spark.createDataFrame(rows, DOCS).selectExpr("*", *clash).repartition(3)
+    ids = {}
+    for k, (name, stage) in enumerate(P.STAGES[:4]):
+        odd = stored(spark, stage(spark, odd, sf_dir), name)
+        ids[name] = sorted((-1 if r["doc_id"] is None else r["doc_id"], (r["text"] or "")[:3]) for r in odd.collect())
+    assert len(ids["toxicity"]) == 9
+    assert ids["near_dedup"] == sorted([(-1, words[:3])] * 2 + [(1, ""), (2, "a a"), (3, ""), (4, words[:3])]) == ids["decontaminate"]
+    assert sum(len(r["text"].split()) for r in odd.collect()) == (3 * 4000 + 3) // 2
