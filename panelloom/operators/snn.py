@@ -24,6 +24,8 @@ from panelloom.spec import SnnConfig
 FILLED = "row_id int, col_id int, value double, feasible boolean, exact boolean"
 #: Row patterns that one task searches anchors for, and missing rows that one task fills, about.
 PATTERNS_A_TASK, ROWS_A_TASK = 64, 256
+#: Blocks that one call of the predictor fills, about.
+BLOCKS_A_CALL = 64
 
 
 def row_sets(cells: DataFrame) -> DataFrame:
@@ -47,6 +49,11 @@ def missing_patterns(missing: DataFrame, cells: DataFrame) -> DataFrame:
 ANCHORS = "row_pattern string, col_pattern string, anchor_rows array<int>, anchor_cols array<int>, exact boolean"
 
 
+def _dealt(d: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by keys to all shuffle partitions: the work of a row is out of proportion to its bytes, by which they would be merged."""
+    return d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _anchor_finder(budget: int | None):
     def run(wanted: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         """Anchors of the row patterns ``wanted`` in one column pattern, whose distinct rows are ``members``."""
@@ -83,7 +90,9 @@ def find_anchors(patterns: DataFrame, cells: DataFrame, cfg: SnnConfig) -> DataF
     wanted = wanted.join(parts, "col_pattern").withColumn("part", F.pmod(F.xxhash64("row_pattern"), F.col("parts")).cast("int")).join(row_pat.select("row_pattern", "obs_cols"), "row_pattern")
     members = members.join(parts, "col_pattern").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ["col_pattern", "part"]
-    return wanted.select(*keys, "row_pattern", "obs_cols").groupBy(*keys).cogroup(members.select(*keys, "rows", "obs_cols").toDF(*keys, "rows", "obs_cols").groupBy(*keys)).applyInPandas(_anchor_finder(cfg.node_budget), ANCHORS)
+    wanted = _dealt(wanted.select(*keys, "row_pattern", "obs_cols"), *keys)
+    members = _dealt(members.select(*keys, "rows", "obs_cols").toDF(*keys, "rows", "obs_cols"), *keys)
+    return wanted.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(_anchor_finder(cfg.node_budget), ANCHORS)
 
 
 def _ratio(residual: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -129,27 +138,34 @@ def synthesise(y: np.ndarray, x1: np.ndarray, x2: np.ndarray, cfg: SnnConfig) ->
     return [(float(p), bool(k)) for p, k in zip(values, ok, strict=True)]
 
 
+def _fill_block(work: pd.DataFrame, base: pd.DataFrame, cfg: SnnConfig) -> list[tuple]:
+    """(rows, columns, values, feasible, exact) of a block: rows with missing columns, and the rows of their anchor set."""
+    base = base.sort_values("row_id")
+    if cfg.random_splits:
+        base = base.iloc[np.random.default_rng(cfg.seed).permutation(len(base))]
+    known = np.unique(np.concatenate(base["cols"].to_numpy()))
+    x = np.full((len(base), len(known)), np.nan)
+    for k, (cols, vals) in enumerate(zip(base["cols"], base["vals"], strict=True)):
+        x[k, np.searchsorted(known, cols)] = vals
+    anchor_cols, exact = np.asarray(base["anchor_cols"].iloc[0]), bool(base["exact"].iloc[0])
+    anchors = Anchors(x[:, np.searchsorted(known, anchor_cols)], cfg)
+    out = []
+    for row, wanted, cols, vals in zip(work["row_id"], work["wanted"], work["cols"], work["vals"], strict=True):
+        y = np.asarray(vals, float)[np.searchsorted(cols, anchor_cols)]
+        value, ok = anchors.fill(y, x[:, np.searchsorted(known, wanted)])
+        out.append((np.full(len(wanted), row), wanted, value, ok, np.full(len(wanted), exact)))
+    return out
+
+
 def _predictor(cfg: SnnConfig):
     def run(work: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        """A block of rows with missing columns (``work``) and the rows of their anchor set (``base``)."""
-        names = [x.split()[0] for x in FILLED.split(", ")]
-        if not len(work) or not len(base):
-            return pd.DataFrame({n: [] for n in names})
-        base = base.sort_values("row_id")
-        if cfg.random_splits:
-            base = base.iloc[np.random.default_rng(cfg.seed).permutation(len(base))]
-        known = np.unique(np.concatenate(base["cols"].to_numpy()))
-        x = np.full((len(base), len(known)), np.nan)
-        for k, (cols, vals) in enumerate(zip(base["cols"], base["vals"], strict=True)):
-            x[k, np.searchsorted(known, cols)] = vals
-        anchor_cols, exact = np.asarray(base["anchor_cols"].iloc[0]), bool(base["exact"].iloc[0])
-        anchors = Anchors(x[:, np.searchsorted(known, anchor_cols)], cfg)
-        out = []
-        for row, wanted, cols, vals in zip(work["row_id"], work["wanted"], work["cols"], work["vals"], strict=True):
-            y = np.asarray(vals, float)[np.searchsorted(cols, anchor_cols)]
-            value, ok = anchors.fill(y, x[:, np.searchsorted(known, wanted)])
-            out.append(pd.DataFrame({"row_id": row, "col_id": wanted, "value": value, "feasible": ok, "exact": exact}))
-        return pd.concat(out)[names]
+        """Some blocks of rows with missing columns (``work``) and the rows of their anchor sets (``base``)."""
+        names, keys, out = [x.split()[0] for x in FILLED.split(", ")], ["anchor_id", "block"], []
+        if len(work) and len(base):
+            of = dict(list(base.groupby(keys, sort=False)))
+            for key, rows in work.groupby(keys, sort=False):
+                out += _fill_block(rows, of[key], cfg)
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True))) if out else pd.DataFrame({n: [] for n in names})
 
     return run
 
@@ -172,9 +188,13 @@ def snn_impute(cells: DataFrame, missing: DataFrame, cfg: SnnConfig) -> DataFram
     sets = anchors.groupBy("anchor_id").agg(F.first("anchor_rows").alias("anchor_rows"), F.first("anchor_cols").alias("anchor_cols"), F.max("exact").alias("exact"))
     base = sets.join(blocks, "anchor_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     base = base.select("anchor_id", "block", "anchor_cols", "exact", F.explode("anchor_rows").alias("row_id")).join(lists, "row_id")
-    keys = ["anchor_id", "block"]
-    names = [*keys, "row_id", "anchor_cols", "exact", "cols", "vals"]
-    return work.select(*keys, "row_id", "wanted", "cols", "vals").groupBy(*keys).cogroup(base.select(*names).toDF(*names).groupBy(*keys)).applyInPandas(_predictor(cfg), FILLED)
+    # blocks are many and mostly small: some share a call
+    calls = max(1, -(-(blocks.agg(F.sum("blocks")).first()[0] or 0) // BLOCKS_A_CALL))
+    call = F.pmod(F.xxhash64("anchor_id", "block"), F.lit(calls)).cast("int").alias("call")
+    names = ["call", "anchor_id", "block", "row_id", "anchor_cols", "exact", "cols", "vals"]
+    work = work.select(call, "anchor_id", "block", "row_id", "wanted", "cols", "vals")
+    base = base.withColumn("call", call).select(*names).toDF(*names)
+    return _dealt(work, "call").groupBy("call").cogroup(_dealt(base, "call").groupBy("call")).applyInPandas(_predictor(cfg), FILLED)
 
 
 Imputer = Callable[[DataFrame, DataFrame, object], DataFrame]
