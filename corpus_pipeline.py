@@ -1,4 +1,8 @@
-"""Training-corpus pipeline: stages over ``documents``, each written and reread as the next one's input."""
+"""Training-corpus pipeline: stages over ``documents``, each written and reread as the next one's input.
+
+Null texts, languages and sources are values like others to every stage; an empty table gives empty
+results; columns beyond COLUMNS are dropped, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -18,28 +22,36 @@ REJECT = 0.7
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go; it learns from every label, as nothing is held out here."""
+    """Documents that the model rejects go; it learns from every label, as nothing is held out here.
+
+    A doc_id goes with all its rows if one of them is rejected; rows without doc_id stay.
+    """
     model = fit(spark, docs, table(spark, sf_dir, "labels"), F.lit(True))
     rejected = scored(spark, docs, model).where(F.col("score") >= REJECT).select("doc_id").where("doc_id is not null").distinct()
     return docs.select(COLUMNS).join(rejected, "doc_id", "left_anti").select(COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays.
+
+    Of rows that share a doc_id the one with the least text stays (a null text counts as greatest); rows
+    without doc_id stay all.
+    """
     gone = near_duplicates(spark, docs).where("not kept").select("doc_id").distinct()
     rows = docs.select(COLUMNS)
-    once = rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null"))
+    least = F.min(F.struct(F.col("text").isNull(), *COLUMNS[1:])).alias("row")
+    once = rows.where("doc_id is not null").groupBy("doc_id").agg(least).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in COLUMNS[1:])).unionByName(rows.where("doc_id is null"))
     return once.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat or re-parameterise a benchmark item go."""
+    """Documents that repeat or re-parameterise a benchmark item go, with all rows of their doc_id; rows without one stay."""
     hit = contaminated(spark, docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct()
     return docs.select(COLUMNS).join(hit, "doc_id", "left_anti").select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents once for each epoch their leaf takes, the last one's end cut."""
+    """The mixture: rows, with or without doc_id, once for each epoch their leaf takes, the last one's end cut."""
     return mixture(spark, docs.select(COLUMNS)).select(COLUMNS)
 
 
