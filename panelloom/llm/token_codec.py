@@ -56,11 +56,12 @@ class Model:
         self.counts = np.zeros(self.size, np.int64)
         self.seen: list[np.ndarray] = []
         # 8 * id + confidence (0: no prediction yet) of what last followed
-        self.after1 = np.zeros(self.size, np.int32)
-        self.after2 = np.zeros(_SLOTS, np.int32)
+        self.after1 = np.zeros(self.size, np.int64)
+        self.after2 = np.zeros(_SLOTS, np.int64)
         self.right = np.ones((3, 64), np.int64)
-        self.prev1 = np.zeros(lanes, np.int32)
-        self.prev2 = np.zeros(lanes, np.int32)
+        # what indexes tables has 64 bits: numpy would convert it each time
+        self.prev1 = np.zeros(lanes, np.int64)
+        self.prev2 = np.zeros(lanes, np.int64)
         self.rows = 0
         self.due = 1
         self.refresh()
@@ -76,16 +77,16 @@ class Model:
         if total:
             width += self.counts * room // total
         width[int(self.counts.argmax())] += (1 << self.bits) - int(width.sum())
-        self.start = np.concatenate(([0], np.cumsum(width)))
-        self.width = width
-        self.symbol = np.repeat(np.arange(self.size, dtype=np.int32), width)
+        self.start = np.concatenate(([0], np.cumsum(width))).astype(np.uint64)
+        self.width = width.astype(np.uint64)
+        self.symbol = np.repeat(np.arange(self.size), width)
 
     def predict(self) -> tuple[np.ndarray, ...]:
-        """Candidates of order 2 and 1, and where the mixed intervals of order 1 and 0 begin."""
-        self.slot = (self.prev2 * np.int32(-1640531535) + self.prev1 * np.int32(-2048144789)) >> np.int32(7) & np.int32(_SLOTS - 1)
-        self.two, self.one = self.after2[self.slot], self.after1[self.prev1]
-        sure2, sure1 = self.two & np.int32(7), self.one & np.int32(7)
-        self.context = sure2 << np.int32(3) | sure1
+        """Candidates of order 2 and 1, where the mixed intervals of order 1 and 0 begin, and the weight of order 0."""
+        self.slot = (self.prev2 * -1640531535 + self.prev1 * -2048144789) >> 7 & (_SLOTS - 1)
+        self.two, self.one = self.after2.take(self.slot, mode="clip"), self.after1.take(self.prev1, mode="clip")
+        sure2 = self.two & 7
+        self.context = sure2 << 3 | self.one & 7
         right = self.right
         total = right.sum(axis=0)
         whole = 1 << self.mix
@@ -93,22 +94,22 @@ class Model:
         w1 = np.minimum(right[1] * (whole - 64) // total, whole - 64 - w2)
         w2[:8] = 0
         w1[::8] = 0
-        two, one = self.two >> np.int32(3), self.one >> np.int32(3)
-        m2 = w2[self.context]
-        m1 = w1[self.context]
-        m1[(one == two) & (sure2 > 0)] = 0
-        return two, one, m2 << self.bits, (m2 + m1) << self.bits, whole - m2 - m1
+        two, one = self.two >> 3, self.one >> 3
+        at1 = (w2 << self.bits).astype(np.uint64).take(self.context, mode="clip")
+        at0 = (w1 << self.bits).astype(np.uint64).take(self.context, mode="clip")
+        at0 *= (one != two) | (sure2 == 0)
+        at0 += at1
+        return two, one, at1, at0, _U(whole) - (at0 >> _U(self.bits))
 
     def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
         """After a row: which order was right, what followed, and now and then new frequencies."""
         n = len(ids)
-        ids = ids.astype(np.int32)
         was2, was1, context = self.two[:n], self.one[:n], self.context[:n]
         hit2 = (two == ids) & (was2 & 7 > 0)
         hit1 = (one == ids) & (was1 & 7 > 0)
-        kind = (hit1 & ~hit2) + np.int32(2) * hit2
-        self.right += np.bincount(kind << 6 | context, minlength=192).reshape(3, 64)
-        fresh = ids << np.int32(3) | np.int32(1)
+        self.right += np.bincount((hit1.astype(np.int64) + hit2 * (2 - hit1)) << 6 | context, minlength=192).reshape(3, 64)
+        # a right candidate gains confidence, up to 7; a wrong one gives way
+        fresh = ids << 3 | 1
         self.after2[self.slot[:n]] = np.where(hit2, np.minimum(was2 + 1, was2 | 7), fresh)
         self.after1[self.prev1[:n]] = np.where(hit1, np.minimum(was1 + 1, was1 | 7), fresh)
         self.prev2[:n] = self.prev1[:n]
@@ -120,6 +121,23 @@ class Model:
             self.due += max(1, min(self.due, 32))
 
 
+def _interval(model: Model, row: np.ndarray, at1: np.ndarray, at0: np.ndarray, m0: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ids of a row begin in the mixed distribution, and how wide they are."""
+    start = np.where(is1, at1, model.start.take(row, mode="clip") * m0 + at0) * ~is2
+    return start, np.where(is2, at1, np.where(is1, at0 - at1, model.width.take(row, mode="clip") * m0))
+
+
+def _spent(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose leading word is settled or whose span is too narrow, and their spans, cut where they straddle."""
+    same = (low ^ (low + span)) < _TOP
+    go = np.flatnonzero(same | (span < _BOT))
+    width = span.take(go)
+    straddles = ~same.take(go)
+    if straddles.any():
+        np.copyto(width, (~low.take(go) + _U(1)) & (_BOT - _U(1)), where=straddles)
+    return go, width
+
+
 def _shape(n: int) -> tuple[int, int]:
     lanes = max(1, min(LANES, -(-n // 256)))
     return lanes, -(-n // lanes) if n else 0
@@ -127,7 +145,7 @@ def _shape(n: int) -> tuple[int, int]:
 
 def _matrix(ids: np.ndarray, lanes: int, rows: int) -> list[np.ndarray]:
     """Rows of the block; lane k holds ids k*rows to (k+1)*rows; lanes that have ended are at the end."""
-    return [ids[r::rows] for r in range(rows)]
+    return [np.ascontiguousarray(ids[r::rows]) for r in range(rows)]
 
 
 def encode_words(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -142,23 +160,22 @@ def encode_words(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
         two, one, at1, at0, m0 = (x[:n] for x in model.predict())
         is2 = (two == row) & (at1 > 0)
         is1 = (one == row) & (at0 > at1) & ~is2
-        start = np.where(is2, 0, np.where(is1, at1, at0 + m0 * model.start[row]))
-        width = np.where(is2, at1, np.where(is1, at0 - at1, m0 * model.width[row]))
+        start, width = _interval(model, row, at1, at0, m0, is2, is1)
         r = span[:n] >> shift
-        low[:n] += r * start.astype(np.uint64)
-        span[:n] = r * width.astype(np.uint64)
-        live = np.arange(n)
+        lo, sp = low[:n], span[:n]  # views: lanes that have ended keep their state
+        lo += r * start
+        np.multiply(r, width, out=sp)
+        live, part = None, (lo, sp)
         while True:
-            lo, sp = low[live], span[live]
-            same = (lo ^ (lo + sp)) < _TOP
-            tight = ~same & (sp < _BOT)
-            go = same | tight
-            if not go.any():
+            go, cut = _spent(*part)
+            if not len(go):
                 break
-            live, lo, sp = live[go], lo[go], np.where(tight, (~lo + _U(1)) & (_BOT - _U(1)), sp)[go]
+            live = go if live is None else live.take(go)
+            leading = low.take(live)
             out_lane.append(live)
-            out_word.append((lo >> _WORD).astype(np.uint32))
-            low[live], span[live] = lo << _WORD, sp << _WORD
+            out_word.append((leading >> _WORD).astype(np.uint32))
+            part = leading << _WORD, cut << _WORD
+            low[live], span[live] = part
         model.learn(row, two, one)
     for k in (32, 0):
         out_lane.append(np.arange(lanes))
@@ -183,27 +200,28 @@ def decode_words(n: int, lanes: int, largest: int, lengths: np.ndarray, words: n
     for r0 in range(rows):
         k = len(range(r0, n, rows))
         two, one, at1, at0, m0 = (x[:k] for x in model.predict())
-        r = span[:k] >> shift
-        v = np.minimum((code[:k] - low[:k]) // r, _U(limit)).astype(np.int64)
-        is2, is1 = v < at1, (v >= at1) & (v < at0)
-        deep = model.symbol[np.where(v < at0, 0, (v - at0) // m0)]
-        row = np.where(is2, two, np.where(is1, one, deep)).astype(np.int64)
-        start = np.where(is2, 0, np.where(is1, at1, at0 + m0 * model.start[row]))
-        width = np.where(is2, at1, np.where(is1, at0 - at1, m0 * model.width[row]))
-        low[:k] += r * start.astype(np.uint64)
-        span[:k] = r * width.astype(np.uint64)
-        live = np.arange(k)
+        lo, sp = low[:k], span[:k]
+        r = sp >> shift
+        v = np.minimum((code[:k] - lo) // r, _U(limit))
+        deep = v >= at0
+        is2 = v < at1
+        is1 = ~deep & ~is2
+        row = model.symbol.take((((v - at0) * deep) // m0).astype(np.int64), mode="clip")
+        row = np.where(is2, two, np.where(is1, one, row))
+        start, width = _interval(model, row, at1, at0, m0, is2, is1)
+        lo += r * start
+        np.multiply(r, width, out=sp)
+        live, part = None, (lo, sp)
         while True:
-            lo, sp = low[live], span[live]
-            same = (lo ^ (lo + sp)) < _TOP
-            tight = ~same & (sp < _BOT)
-            go = same | tight
-            if not go.any():
+            go, cut = _spent(*part)
+            if not len(go):
                 break
-            live, lo, sp = live[go], lo[go], np.where(tight, (~lo + _U(1)) & (_BOT - _U(1)), sp)[go]
-            low[live], span[live] = lo << _WORD, sp << _WORD
-            code[live] = code[live] << _WORD | words[at[live]]
-            at[live] += 1
+            live = go if live is None else live.take(go)
+            part = low.take(live) << _WORD, cut << _WORD
+            low[live], span[live] = part
+            place = at.take(live)
+            code[live] = code.take(live) << _WORD | words.take(place, mode="clip")
+            at[live] = place + 1
         out[r0::rows] = row
         model.learn(row, two, one)
     return out
