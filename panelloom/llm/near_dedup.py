@@ -30,6 +30,8 @@ from panelloom.llm.common import mix64, shingle_hashes, stored, table, text_slic
 PROBES = 256
 #: Shingles of differences in a block of members, on average.
 BLOCK = 1 << 17
+#: Parts in which the members of a centre are dealt.
+PARTS = 64
 #: Shingles that two blocks are compared on at once.
 COLUMNS = 1 << 12
 
@@ -118,8 +120,11 @@ def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, members) of the given doc_ids; texts: (doc_id, text, key)."""
-    return of_ids(texts, ids).mapInArrow(_set_maker(shingle), "id long, members array<long>").dropDuplicates(["id"])
+    """(id, members) of the given doc_ids; texts: (doc_id, text, key), each text of a doc_id once.
+
+    No aggregation stands between this and a join, so that adaptive execution can split a hot key there.
+    """
+    return of_ids(texts, ids).mapInArrow(_set_maker(shingle), "id long, members array<long>")
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -249,7 +254,9 @@ def open_links(spark: SparkSession, texts: DataFrame, open_: DataFrame, centre:
     rows = stored(spark, rows, "differences")
     parts = rows.groupBy("centre", "component_id").agg(F.count("*").alias("n"), F.sum(F.size("differs") + 8).alias("weight"))
     groups = parts.groupBy("centre").agg(F.ceil(F.sum("weight") / BLOCK).cast("int").alias("blocks"), F.max_by("component_id", F.struct("n", -F.col("component_id"))).alias("most"))
-    placed = rows.join(groups, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # facts of a centre meet its members by centre and part, so that a centre of many members is no single task
+    spread = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    placed = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PARTS)).cast("int")).join(spread.hint("shuffle_merge"), ["centre", "part"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     member = F.struct("id", "component_id", "lacks", "size", "differs")
     some = placed.where("component_id <> most").groupBy("centre", "block").agg(F.collect_list(member).alias("some"), F.first("of").alias("of"), F.first("blocks").alias("blocks"))
     others = placed.groupBy("centre", "block").agg(F.collect_list(member).alias("others"))
@@ -278,7 +285,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     first = stored(spark, stars(entries, centre), "stars")
     # texts of documents that share a bucket at all: the only ones any confirmation asks for
     wanted = entries.select("id").distinct().join(nodes.select("id", "key"), "id").withColumnRenamed("id", "doc_id")
-    texts = stored(spark, docs.join(wanted.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "key"), "texts")
+    once = docs.join(wanted.hint("shuffle_merge"), "doc_id").withColumn("name", F.xxhash64("text")).dropDuplicates(["doc_id", "name"])
+    texts = stored(spark, once.select("doc_id", "text", "key"), "texts")
     links = stored(spark, confirmed(texts, first, shingle, percent), "links")
     parts = components(spark, links)
     labelled = nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
