@@ -1,4 +1,4 @@
-"""Mixing sources to target weights, budgeted down a domain - language - source tree. [DataFrame functions only]
+"""Mixing sources to target weights, budgeted down a domain - language - source tree.
 
 A token budget is split at every node by its children's integer weights. A child that has fewer tokens
 than its share (its text times ``max_epochs``) is filled up, and what it lacks goes to its siblings in
@@ -7,8 +7,8 @@ above, because a node never gets more than its descendants can give. All shares
 
 Each leaf then takes whole epochs of its documents, and of one more epoch, in an order seeded by the
 epoch's number, the prefix of tokens that is left of its budget; the document at the end may be cut.
-The prefix is found in two steps, 256 hash ranges first, so that a leaf with a third of all rows is
-never sorted in one task.
+The prefix is found in two steps, ranges of the order first, as many as the leaf's rows ask for, so that
+a leaf with a third of all rows is never sorted in one task.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ NO_VALUE = "(none)"
 LANG_WEIGHTS = {"en": 50, "de": 20, "fr": 20, "es": 10}
 SEED = 17
 MAX_EPOCHS = 4
-#: Column that a mixture carries for a while; no table has this name.
-MIX = "__mix_of_row"
+#: Columns that a mixture carries for a while; no table has these names.
+MIX, NAME = "__mix_of_row", ["__mix_name_1", "__mix_name_2"]
+#: Rows of a leaf that one task sorts, about.
+SORTED_ROWS = 4096
+#: Parts in which the rows of a leaf are dealt where they meet its budget.
+DEALS = 16
 
 
 def default_domain() -> Column:
@@ -42,13 +46,17 @@ def default_weights() -> dict[str, Column]:
     return {"domain": F.lit(1), "lang": lang, "source": F.lit(1)}
 
 
-def measured(docs: DataFrame, domain: Column | None = None) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens): tokens are runs of bytes other than ASCII white space."""
+def measured(docs: DataFrame, domain: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens, spread, keep...): tokens are runs of bytes other than ASCII white space.
+
+    ``spread`` places rows without doc_id in the order of an epoch: a hash of their text.
+    """
     text = F.col("text").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (domain if domain is not None else default_domain()).alias("domain"),
         F.coalesce(F.col("lang").cast("string"), F.lit(NO_VALUE)).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit(NO_VALUE)).alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"),
+        F.when(F.col("doc_id").isNull(), F.xxhash64(text)).alias("spread"), *keep,
     )
 
 
@@ -73,44 +81,55 @@ def shared_out(children: DataFrame, parents: list[str], name: str) -> DataFrame:
 
 
 def leaf_budgets(tokens: DataFrame, budget: Column, weights: dict[str, Column] | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(domain, lang, source, available, budget) of every leaf; budget is a Column over ``total``."""
+    """(domain, lang, source, available, n_rows, budget) of every leaf; budget is a Column over ``total``."""
     weights = weights or default_weights()
-    leaves = tokens.groupBy(*TREE).agg(F.sum("n_tokens").alias("available")).where("available > 0").withColumn("root", F.lit(0))
-    total = leaves.groupBy("root").agg(F.sum("available").alias("total"))
-    level = total.select("root", F.least(budget.cast("long"), F.col("total") * max_epochs).alias("pool"))
+    leaves = stored(tokens.sparkSession, tokens.groupBy(*TREE).agg(F.sum("n_tokens").alias("available"), F.count("*").alias("n_rows")).where("available > 0").withColumn("root", F.lit(0)), "leaves")
+    total = leaves.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))
+    pool = total.select(F.least(budget.cast("long"), F.col("total") * max_epochs)).first()[0]
+    level = None
     parents = ["root"]
     for name in TREE:
         caps = leaves.groupBy(*parents, name).agg((F.sum("available") * max_epochs).alias("cap")).withColumn("weight", weights[name].cast("long"))
-        level = shared_out(caps.join(level, parents), parents, name).select(*parents, name, F.col("budget").alias("pool"))
+        pooled = caps.withColumn("pool", F.lit(pool).cast("long")) if level is None else caps.join(level, parents)
+        level = shared_out(pooled, parents, name).select(*parents, name, F.col("budget").alias("pool"))
         parents = [*parents, name]
-    return leaves.join(level, parents).select(*TREE, "available", F.col("pool").alias("budget"))
+    return leaves.join(level, parents).select(*TREE, "available", "n_rows", F.col("pool").alias("budget"))
 
 
-def selected(tokens: DataFrame, leaves: DataFrame, seed: int = SEED) -> DataFrame:
-    """Rows of ``tokens`` with whole_epochs, part_tokens (of the last epoch) and taken (all tokens)."""
-    d = tokens.join(leaves.select(*TREE, F.expr("budget div available").alias("whole_epochs"), F.expr("budget % available").alias("part")), list(TREE), "left")
-    d = d.na.fill(0, ["whole_epochs", "part"]).withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    d = d.withColumn("range", F.substring("place", 1, 2))
+def selected(tokens: DataFrame, leaves: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``tokens`` with whole_epochs, part_tokens (of the last epoch) and taken (all tokens).
+
+    Rows of one place in the order (equal doc_ids, or none and equal texts) follow by size and ``keep``.
+    """
+    digits = F.expr(f"cast(greatest(0, ceil(log(16, n_rows / {SORTED_ROWS}))) as int)")
+    own = leaves.select(*TREE, F.expr("budget div available").alias("whole_epochs"), F.expr("budget % available").alias("part"), digits.alias("digits"))
+    # leaves are a small table that is mostly broadcast; where it isn't, rows meet them by leaf and deal, not leaf by leaf
+    own = stored(tokens.sparkSession, own, "budgets").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    deal = F.pmod(F.xxhash64("doc_id", "spread", "n_tokens"), F.lit(DEALS)).cast("int")
+    d = tokens.withColumn("deal", deal).join(own, [*TREE, "deal"], "left").na.fill(0, ["whole_epochs", "part", "digits"])
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("|"), F.col("spread").cast("string")))
+    d = d.withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole_epochs").cast("string"), name).cast("binary")))
+    d = d.withColumn("range", F.expr("substring(place, 1, digits)"))
     ranges = d.groupBy(*TREE, "range").agg(F.sum("n_tokens").alias("tokens"))
     before = ranges.withColumn("before", F.sum("tokens").over(Window.partitionBy(*TREE).orderBy("range")) - F.col("tokens")).drop("tokens")
-    own = Window.partitionBy(*TREE, "range").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*TREE, "range").orderBy("place", "doc_id", "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(before, [*TREE, "range"]).withColumn("at", F.col("before") + F.sum("n_tokens").over(own) - F.col("n_tokens"))
     d = d.withColumn("part_tokens", F.greatest(F.lit(0).cast("long"), F.least(F.col("n_tokens"), F.col("part") - F.col("at"))))
-    return d.select("doc_id", *TREE, "n_tokens", "whole_epochs", "part_tokens", (F.col("whole_epochs") * F.col("n_tokens") + F.col("part_tokens")).alias("taken"))
+    return d.select("doc_id", *TREE, "n_tokens", "whole_epochs", "part_tokens", (F.col("whole_epochs") * F.col("n_tokens") + F.col("part_tokens")).alias("taken"), *keep)
 
 
 def half() -> Column:
     return F.expr("total div 2")
 
 
-def mixed(spark: SparkSession, docs: DataFrame, budget: Column | None = None, weights: dict[str, Column] | None = None, domain: Column | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """What each row of ``docs`` (doc_id, text, lang, source, ...) gives to the mixture.
+def mixed(spark: SparkSession, docs: DataFrame, budget: Column | None = None, weights: dict[str, Column] | None = None, domain: Column | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What each row of ``docs`` (doc_id, text, lang, source, ...) gives to the mixture. [DataFrame functions only]
 
     Null languages and sources are leaves of their own; null or blank texts have no tokens and give
     none; rows without doc_id take part; repeated rows count each; an empty table gives no rows.
     """
-    tokens = stored(spark, measured(docs, domain), "tokens-of")
-    return selected(tokens, leaf_budgets(tokens, budget if budget is not None else half(), weights, max_epochs), seed)
+    tokens = stored(spark, measured(docs, domain, keep), "tokens-of")
+    return selected(tokens, leaf_budgets(tokens, budget if budget is not None else half(), weights, max_epochs), seed, keep)
 
 
 def _prefix(texts: pd.Series, n: pd.Series) -> pd.Series:
@@ -130,13 +149,14 @@ def _prefix(texts: pd.Series, n: pd.Series) -> pd.Series:
 def mixture(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: rows of ``docs`` once for each epoch, the last one's end cut after its tokens.
 
-    Documents are named by doc_id, of which the first of repeated rows counts; only the cut text of
-    each leaf passes through Python.
+    Every row takes part, without doc_id or with a repeated one too: rows are named by two hashes of all
+    their columns, and equal rows, which are interchangeable, share what they all are given. Only the cut
+    text of each leaf passes through Python. An empty table gives no rows.
     """
-    docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     names = docs.columns
-    take = mixed(spark, docs, **options).where("taken > 0").select("doc_id", F.struct("n_tokens", "whole_epochs", "part_tokens").alias(MIX))
-    d = docs.join(take, "doc_id")
+    named = docs.select(*names, *(F.xxhash64(F.lit(k), *(F.col(f"`{c}`") for c in names)).alias(n) for k, n in enumerate(NAME)))
+    take = mixed(spark, named, keep=tuple(NAME), **options).where("taken > 0").select(*NAME, F.struct("n_tokens", "whole_epochs", "part_tokens").alias(MIX))
+    d = named.dropDuplicates(NAME).join(take, NAME).drop(*NAME)
     times = F.expr(f"array_repeat(0, cast({MIX}.whole_epochs + if({MIX}.part_tokens = {MIX}.n_tokens, 1, 0) as int))")
     whole = d.select(*names, F.explode(times).alias(MIX)).drop(MIX)
     prefix = F.pandas_udf(_prefix, "string")
