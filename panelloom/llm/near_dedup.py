@@ -128,11 +128,15 @@ def shingle_sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of the pairs (u, v) those whose whole sets have 100 * intersection >= percent * union."""
+    """Of the distinct pairs (u, v) those whose whole sets have 100 * intersection >= percent * union.
+
+    What comes out is distinct as it is: nothing after the joins asks for their partitioning, so that
+    adaptive execution can split the pairs of a hot document.
+    """
     sets = shingle_sets(texts, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), shingle)
     a, b = sets.select(F.col("id").alias("u"), F.col("members").alias("a")), sets.select(F.col("id").alias("v"), F.col("members").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(b, "v").join(a, "u").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct()
+    return pairs.join(b, "v").join(a, "u").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
