@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from panelloom.functions.kernels import masked_cp
 from panelloom.operators import cp
 from panelloom.spec import CpConfig
 
@@ -44,3 +45,34 @@ def test_time_factors_of_new_steps(spark):
     assert np.allclose([new[t] for t in range(4)], f[1], atol=1e-6)
     fitted = cp.evaluate(cells, factors, "fitted")
     assert fitted.where(F.abs(F.col("fitted") - F.col("value")) > 1e-9).count() == 0
+
+
+def test_fits_by_blocks_equal_the_dense_kernel(spark, monkeypatch):
+    """Passes on the driver, passes in the cluster and aggregations begin, sweep and end as masked_cp does."""
+    rng = np.random.default_rng(7)
+    full = rng.normal(3, 2, (40, 6, 3))
+    seen = rng.random(full.shape) < 0.5
+    seen[[5, 39]] = False
+    index = np.nonzero(seen)
+    rows = [(int(n), int(t), int(i), float(full[n, t, i])) for n, t, i in zip(*index, strict=True)]
+    cells = spark.createDataFrame(rows, "unit_idx int, time_idx int, action_idx int, value double").persist()
+    monkeypatch.setattr(cp, "BLOCK_CELLS", 50)
+    for sweeps, tolerance in ((4, 1e-9), (40, 0.2)):
+        want = masked_cp(list(index), full[index], full.shape, 2, sweeps, 1e-8, tolerance, 0)
+        for limit, others in ((10, 18), (10_000, 18), (10, 17)):
+            monkeypatch.setattr(cp, "OTHER_CELLS", others)
+            got = cp.factor_arrays(cp.fit_cp(spark, cells, CpConfig(rank=2, sweeps=sweeps, tolerance=tolerance, driver_cells=limit), full.shape))
+            assert all(np.allclose(got[m], f, rtol=1e-6, atol=1e-9) for m, f in zip(cp.MODES, want, strict=True))
+
+
+def test_a_sweep_is_one_job_that_brings_back_sums_alone(spark, monkeypatch):
+    """The distributed fit took four jobs a sweep, and the driver's fit held all cells several times over."""
+    cells = spark.range(3000).select((F.col("id") / 10).cast("int").alias("unit_idx"), (F.col("id") % 10).cast("int").alias("time_idx"), (F.col("id") % 3).cast("int").alias("action_idx"), F.rand(1).alias("value")).persist()
+    cells.count()
+    spark.sparkContext.setJobGroup("fit", "fit")
+    cp.fit_cp(spark, cells, CpConfig(rank=2, sweeps=12, tolerance=0.0, driver_cells=10), (300, 10, 3))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 24
+    frames = [cp.column_sums(*(np.zeros(5, int), np.arange(5), np.ones(5)), np.ones((2, 5)), 1e-8)]
+    assert [x.shape for x in frames[0]] == [(5, 5), (2,)]
