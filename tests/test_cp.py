@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from panelloom.functions.kernels import masked_cp
-from panelloom.operators import cp
+from panelloom.operators import cp, panel
 from panelloom.spec import CpConfig
 
 
@@ -76,3 +76,17 @@ def test_a_sweep_is_one_job_that_brings_back_sums_alone(spark, monkeypatch):
     assert jobs < 24
     frames = [cp.column_sums(*(np.zeros(5, int), np.arange(5), np.ones(5)), np.ones((2, 5)), 1e-8)]
     assert [x.shape for x in frames[0]] == [(5, 5), (2,)]
+
+
+def test_grids_and_evaluations_move_no_cells_to_meet_small_dictionaries(spark):
+    """Unhinted, a grid was a product of partitions and an evaluation shuffled all cells once a mode."""
+    big, small = spark.range(50).select(F.col("id").cast("int").alias("unit_idx")).repartition(3), spark.range(9).select(F.col("id").cast("int").alias("time_idx")).repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = panel.grid(big, small, spark.range(2).select(F.col("id").cast("int").alias("action_idx")))
+        assert "CartesianProduct" not in cells._jdf.queryExecution().toString() and cells.count() == 900
+        factors = cp.factor_rows(spark, [np.ones((50, 2)), np.ones((9, 2)), np.ones((2, 2))])
+        plan = cp.evaluate(cells, factors)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") <= 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
