@@ -98,3 +98,17 @@ def test_synthesise_aligns_rows_and_rejects_other_weights():
         MssaConfig(rank_rule="other")
     with pytest.raises(ValueError):
         PanelSpec("a", "a", ("b",), "c")
+
+
+def test_copies_of_rows_weigh_as_rows_of_their_own(monkeypatch):
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        mask, copies = rng.random((7, 6)) < 0.6, rng.integers(1, 6, 7) * 2
+        full = np.repeat(mask, copies, axis=0)
+        of = np.repeat(np.arange(7), copies)
+        for budget in (None, 5):
+            rows, cols, exact = K.search_biclique(full, budget)
+            for bits in (0, 1000):
+                monkeypatch.setattr(K, "PLAIN_BITS", bits)
+                r, c, e = K.search_biclique(mask, budget, copies)
+                assert e == exact and r.tolist() == np.unique(of[rows]).tolist() and c.tolist() == cols.tolist()

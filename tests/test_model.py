@@ -162,3 +162,19 @@ def test_sources_and_sinks(spark, tmp_path):
     pre, post = io.intervention_layout(df, datetime.date(2020, 1, 2))
     assert pre.columns == ["unit", "2020-01-01"] and post.columns == ["unit", "action", "2020-01-02"]
     assert io.from_pandas(spark, df.toPandas(), 2).count() == 2
+
+
+def test_snn_does_not_copy_anchor_rows_to_missing_rows(spark, monkeypatch):
+    """What a missing row meets is as small for many anchor rows as for few."""
+    sizes, made = [], snn.Anchors.to_bytes
+    rng = np.random.default_rng(5)
+    for n in (60, 600):
+        x = rng.normal(size=(n, 2)) @ rng.normal(size=(2, 30))
+        a = snn.Anchors.of(x[:, :20], x[:, 20:], SnnConfig(max_rank=2, n_neighbors=2))
+        sizes.append(len(made(a)))
+        again = snn.Anchors.from_bytes(made(a), 20, 10, a.cfg)
+        y = x[0]
+        for one in (a, again):
+            value, ok = one.fill(y[:20])
+            assert ok.all() and np.allclose(value, y[20:])
+    assert sizes[0] == sizes[1]
