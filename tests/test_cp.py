@@ -90,3 +90,45 @@ def test_grids_and_evaluations_move_no_cells_to_meet_small_dictionaries(spark):
         assert plan.count("SortMergeJoin") <= 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_complete_rows_are_swept_by_their_triangle():
+    """A sweep over complete rows took as long as there were rows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(3, 2, (200, 12))
+    seen = np.ones(x.shape, bool)
+    seen[::9, 4] = False
+    first, other = (i.astype(np.int32) for i in np.nonzero(seen))
+    block = (first, other, x[seen])
+    small = cp.reduced([tuple(c[first < 90] for c in block), tuple(c[first >= 90] for c in block)], 12)
+    assert sum(len(b[0]) for b in small) == 23 * 11 + 12 * 12
+    z, now = rng.uniform(0.5, 1.5, (2, 3, 12))
+    total = lambda of, blocks: [sum(p) for p in zip(*(of(*b) for b in blocks), strict=True)]
+    for want, got in zip(total(lambda *b: cp.column_sums(*b, z, 1e-6), [block]), total(lambda *b: cp.column_sums(*b, z, 1e-6), small), strict=True):
+        assert np.allclose(got, want, rtol=1e-9)
+    assert np.isclose(sum(cp.factor_error(*b, z, now, 1e-6) for b in small), cp.factor_error(*block, z, now, 1e-6), rtol=1e-9)
+    # as many cells as a complete row, with one of them twice, are no complete row
+    twice = (np.zeros(3, np.int32), np.array([0, 0, 2], np.int32), np.ones(3))
+    assert len(cp.reduced([twice], 3)[0][0]) == 3 and cp.reduced([twice], 3)[0][1].tolist() == [0, 0, 2]
+
+
+def test_all_sweeps_are_one_job(spark, monkeypatch):
+    """Each sweep was a job; where the blocks don't fit the tasks it still is."""
+    cells = spark.range(3000).select((F.col("id") / 10).cast("int").alias("unit_idx"), (F.col("id") % 10).cast("int").alias("time_idx"), (F.col("id") % 3).cast("int").alias("action_idx"), F.rand(1).alias("value")).persist()
+    cells.count()
+    monkeypatch.setattr(cp, "BLOCK_CELLS", 500)
+
+    def run(kept: int, sweeps: int) -> tuple[int, dict]:
+        monkeypatch.setattr(cp, "KEPT_MB", kept)
+        group = f"fit {kept} {sweeps}"
+        spark.sparkContext.setJobGroup(group, group)
+        factors = cp.factor_arrays(cp.fit_cp(spark, cells, CpConfig(rank=2, sweeps=sweeps, tolerance=-1.0, driver_cells=10), (300, 10, 3)))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return jobs, factors
+
+    few, _ = run(128, 2)
+    many, shared = run(128, 12)
+    single, apart = run(0, 12)
+    assert few == many < single
+    assert all(np.allclose(shared[m], apart[m], rtol=1e-6, atol=1e-9) for m in cp.MODES)
