@@ -3,6 +3,7 @@
 import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from panelloom.functions.forecasters import SeriesModel, SingularSpectrum, regis
 from panelloom.operators import bicluster, cp, mssa, panel, snn, synth
 from panelloom.plans.model import PanelModel
 from panelloom.sources import io, scratch
-from panelloom.spec import AlsConfig, CpConfig, ModelConfig, MssaConfig, PanelSpec, SnnConfig
+from panelloom.spec import AlsConfig, BiclusterConfig, CpConfig, ModelConfig, MssaConfig, PanelSpec, SnnConfig
 from panelloom.streaming.ingest import ModelSink
 
 
@@ -127,3 +128,54 @@ def test_factors_of_matrices_and_tensors_share_one_loop(spark):
     for limit in (0, 1000):
         f = cp.fit_matrix(spark, cells, (5, 4), 1, 60, 1e-12, 1e-12, 0, limit)
         assert cp.evaluate(cells, f, "fitted", ("row", "col")).where("abs(fitted - value) > 1e-3").count() == 0
+
+
+def test_pairs_with_the_same_anchors_are_estimated_at_once(monkeypatch):
+    """Each pair built its anchors from dictionaries of all rows of its cluster."""
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0.5, 2, (30, 2)) @ rng.uniform(0.5, 2, (2, 9)) + rng.normal(0, 0.01, (30, 9))
+    seen = np.ones(x.shape, bool)
+    seen[::3, 6:] = False
+    seen[1, 2] = False
+    i, j = np.nonzero(seen)
+    member = np.where(i % 3 > 0, 1, 0) + np.where(j < 6, 2, 0)
+    cells = pd.DataFrame({"kind": 0, "row_id": i, "col_id": j, "value": x[seen], "member": member})[member > 0]
+    a, b = np.nonzero(~seen)
+    pairs = pd.DataFrame({"kind": 1, "row_id": a, "col_id": b, "value": np.nan, "member": 0})
+    calls = []
+    monkeypatch.setattr(bicluster, "sane", lambda known: calls.append(1) or known.mean() >= 0.3)
+    cfg = BiclusterConfig(rank=2)
+    got = bicluster._block_estimator(cfg)((0,), pd.concat([cells, pairs]))
+    assert len(calls) == 2 and len(got) == len(a) == 31 and got["feasible"].all()
+    rows = np.flatnonzero(np.arange(30) % 3 > 0)
+    r, c = K.masked_cp([np.searchsorted(rows, i[member == 3]), j[member == 3]], x[seen][member == 3], (20, 6), 2, 100, 1e-10, 1e-12, 0)
+    low = r @ c.T
+    for p, q, v in zip(got["row_id"], got["col_id"], got["value"], strict=True):
+        ac, ar = np.flatnonzero(seen[p, :6]), np.flatnonzero(seen[rows, q])
+        assert np.isclose(v, x[rows[ar], q] @ np.linalg.lstsq(low[np.ix_(ar, ac)].T, x[p, ac], rcond=1e-7)[0], rtol=1e-6)
+
+
+def test_blocks_are_filtered_where_they_are_found_as_in_tables(spark):
+    rng = np.random.default_rng(8)
+    for share in (0.25, 0.4, 0.6):
+        mask = (rng.random((12, 9)) < share).astype(int)
+        rows, cols = np.arange(1, 11), np.array([0, 2, 3, 5, 8])
+        d = spark.createDataFrame([(1, int(r), int(c), int(mask[r, c])) for r in rows for c in cols], "cluster int, row_id int, col_id int, seen int")
+        want = bicluster.block_filter(d, 0.3, 0.35, 0.45).collect()
+        got = bicluster.filtered(mask, rows, cols, 0.3, 0.35, 0.45)
+        assert [sorted({w[k] for w in want}) for k in ("row_id", "col_id")] == [x.tolist() for x in got]
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    """Every use of a batch ran the stream's aggregation again."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            runs.add(len(f))
+            yield f
+
+    rows = [(u, t, "ab"[(u + t) % 2], float(1 + u + t)) for u in range(6) for t in range(8)]
+    batch = spark.createDataFrame(rows, "unit int, time int, action string, metric double").mapInPandas(seen, "unit int, time int, action string, metric double")
+    ModelSink(PanelModel(spark, ModelConfig(imputer="none", cp=CpConfig(rank=1, sweeps=5), mssa=MssaConfig(lags=2))), PanelSpec("unit", "time", ("action",), "metric"), f"file://{tmp_path}/model")(batch, 0)
+    assert runs.value == len(rows)
