@@ -37,7 +37,7 @@ for _a in (LETTER, DIGIT, MARK, QUOTE):
     CUT[8 * _a + BLANK] = CUT[8 * _a + BREAK] = CUT[8 * BREAK + _a] = True
 CUT[8 * LETTER + QUOTE] = CUT[8 * DIGIT + QUOTE] = True
 #: A word of these letters, after a space or not.
-WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+WORD = re.compile(rb" ?(?=.)[A-Za-z]*(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][A-Za-z]*)*", re.DOTALL)
 
 
 def _spelling() -> np.ndarray:
@@ -51,8 +51,9 @@ def _spelling() -> np.ndarray:
 
 
 SPELT = _spelling()
-#: Units of at most LONG bytes are kept between calls, KEPT of them at most.
-LONG, KEPT = 128, 1_000_000
+#: Units of at most LONG bytes are kept between calls, KEPT of them at most (a dictionary doubles beyond 1,398,101);
+#: words that go to the merging model in one call.
+LONG, KEPT, JOINED = 128, 1_300_000, 300
 
 
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -96,6 +97,8 @@ class Encoder:
         shape = json.loads(self.tok.to_str())
         before = shape.get("pre_tokenizer") or {}
         self.cuts = shape.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and shape.get("truncation") is None and (shape.get("post_processor") or {}).get("type", "ByteLevel") == "ByteLevel"
+        self.parting = _parting(shape["model"]) if self.cuts else None
+        self.merging = Tokenizer(self.tok.model)  # the same model behind no pre-tokenizer
         self.forget()
 
     def forget(self) -> None:
@@ -103,33 +106,51 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)  # row k has ids[at[k] : at[k + 1]]
 
-    def put(self, row: int, new: list[list[int]]) -> None:
+    def put(self, row: int, ids: np.ndarray, size: np.ndarray) -> None:
         """Ids of rows from ``row`` on."""
-        size = np.fromiter(map(len, new), np.int64, len(new))
         begin = int(self.at[row])
         ends = begin + np.cumsum(size)
-        while len(self.at) < row + len(new) + 1:
+        while len(self.at) < row + len(size) + 1:
             self.at = np.concatenate((self.at, np.zeros(len(self.at), np.int64)))
         while len(self.ids) < int(ends[-1]):
             self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
-        self.at[row + 1 : row + len(new) + 1] = ends
-        self.ids[begin : int(ends[-1])] = np.fromiter(chain.from_iterable(new), np.uint32, int(size.sum()))
-
-    def library(self, units: list[bytes]) -> list[list[int]]:
-        """Ids of units. Words are single pre-tokens: they go to the vocabulary's merging model itself."""
-        out: list[list[int]] = [[]] * len(units)
-        word = [WORD.fullmatch(u) is not None and self.cuts for u in units]
-        words = [k for k, w in enumerate(word) if w]
-        if words:
-            spelt = SPELT[np.frombuffer(b"\n".join([units[k] for k in words]), np.uint8)].tobytes().decode("utf-32-le").split("\n")
+        self.at[row + 1 : row + len(size) + 1] = ends
+        self.ids[begin : int(ends[-1])] = ids
+
+    def library(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of units, number of ids of each). Words are single pre-tokens: they go to the vocabulary's merging model itself."""
+        fits = WORD.fullmatch
+        word = np.fromiter((self.cuts and fits(u) is not None for u in units), bool, len(units))
+        size = np.zeros(len(units), np.int64)
+        parts = []
+        if word.any():
+            found, size[word] = self.merged([u for u, w in zip(units, word.tolist(), strict=True) if w])
+            parts.append((word, found))
+        if not word.all():
+            found, size[~word] = _flat([e.ids for e in self.tok.encode_batch_fast([u.decode() for u, w in zip(units, word.tolist(), strict=True) if not w], add_special_tokens=False)])
+            parts.append((~word, found))
+        if len(parts) == 1:
+            return parts[0][1], size
+        ids = np.zeros(int(size.sum()), np.uint32)
+        for at, found in parts:
+            ids[np.repeat(at, size)] = found
+        return ids, size
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``library`` for words: many at once, parted by a character that the vocabulary never merges, if it has one."""
+        if self.parting is None:
             merge = self.tok.model.tokenize
-            for k, w in zip(words, spelt, strict=True):
-                out[k] = [t.id for t in merge(w)]
-        rest = [k for k, w in enumerate(word) if not w]
-        if rest:
-            for k, e in zip(rest, self.tok.encode_batch_fast([units[k].decode() for k in rest], add_special_tokens=False), strict=True):
-                out[k] = e.ids
-        return out
+            spelt = SPELT[np.frombuffer(b"\n".join(words), np.uint8)].tobytes().decode("utf-32-le").split("\n")
+            return _flat([[t.id for t in merge(w)] for w in spelt])
+        letters, parting = SPELT.copy(), self.parting[1]
+        letters[10] = ord(self.parting[0])
+        parts = []
+        for k in range(0, len(words), JOINED):
+            text = letters[np.frombuffer(b"\n".join([*words[k : k + JOINED], b""]), np.uint8)].tobytes().decode("utf-32-le")
+            parts.append(np.array(self.merging.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        found = np.concatenate(parts)
+        own = found != parting
+        return found[own], np.diff(np.flatnonzero(~own), prepend=-1) - 1
 
     def flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each) of texts whose UTF-8 bytes are data[offsets[k]:offsets[k + 1]]."""
@@ -169,7 +190,7 @@ class Encoder:
         new = [u for u, s in zip(new, short, strict=True) if s] + [u for u, s in zip(new, short, strict=True) if not s]
         if new:
             n = len(self.rows)
-            self.put(n, self.library(new))
+            self.put(n, *self.library(new))
             row[np.concatenate((missing[short], missing[~short]))] = np.arange(n, n + len(new))
             self.rows.update(zip(new[: int(short.sum())], range(n, n + int(short.sum())), strict=True))
         return row
@@ -183,6 +204,23 @@ class Encoder:
         return [raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), count.tolist(), strict=True)]
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size
+
+
+def _parting(model: dict) -> tuple[str, int] | None:
+    """(character, id) of a byte that words don't hold and no merge does, so that words on its two sides are merged as if alone."""
+    if model.get("type") != "BPE" or model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    merged = {c for pair in model["merges"] for c in (pair if isinstance(pair, str) else "".join(pair))}
+    for b in [*range(10), *range(11, 32), *range(33, 65), *range(192, 256)]:
+        c = chr(SPELT[b])
+        if b != 0xC3 and c not in merged and c in model["vocab"]:
+            return c, model["vocab"][c]
+    return None
+
+
 def _places(raw: bytes, token: bytes) -> list[int]:
     out, at = [], raw.find(token)
     while at >= 0:

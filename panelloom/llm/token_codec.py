@@ -46,8 +46,8 @@ DOC = np.dtype([("doc_id", "<i8"), ("number", "<u8"), ("ids", "<u4"), ("flags",
 class Model:
     """Order-0 to order-2 predictions of a block and their mixing weights."""
 
-    def __init__(self, largest: int, lanes: int) -> None:
-        self.size = largest + 1
+    def __init__(self, largest: int, lanes: int, decodes: bool = False) -> None:
+        self.size, self.decodes = largest + 1, decodes
         self.bits = max(16, self.size.bit_length() + 2)
         if self.bits > 24:
             raise ValueError(f"ids below {1 << 22} can be coded, not {largest}")
@@ -55,9 +55,9 @@ class Model:
         self.mix = min(MIX, 32 - self.bits)
         self.counts = np.zeros(self.size, np.int64)
         self.seen: list[np.ndarray] = []
-        # 8 * id + confidence (0: no prediction yet) of what last followed
-        self.after1 = np.zeros(self.size, np.int64)
-        self.after2 = np.zeros(_SLOTS, np.int64)
+        # 8 * id + confidence of what last followed; no prediction yet: id -1, which equals none
+        self.after1 = np.full(self.size, -8, np.int32)
+        self.after2 = np.full(_SLOTS, -8, np.int32)
         self.right = np.ones((3, 64), np.int64)
         # what indexes tables has 64 bits: numpy would convert it each time
         self.prev1 = np.zeros(lanes, np.int64)
@@ -79,14 +79,15 @@ class Model:
         width[int(self.counts.argmax())] += (1 << self.bits) - int(width.sum())
         self.start = np.concatenate(([0], np.cumsum(width))).astype(np.uint64)
         self.width = width.astype(np.uint64)
-        self.symbol = np.repeat(np.arange(self.size), width)
+        if self.decodes:
+            self.symbol = np.repeat(np.arange(self.size, dtype=np.int32), width)
 
     def predict(self) -> tuple[np.ndarray, ...]:
         """Candidates of order 2 and 1, where the mixed intervals of order 1 and 0 begin, and the weight of order 0."""
         self.slot = (self.prev2 * -1640531535 + self.prev1 * -2048144789) >> 7 & (_SLOTS - 1)
-        self.two, self.one = self.after2.take(self.slot, mode="clip"), self.after1.take(self.prev1, mode="clip")
-        sure2 = self.two & 7
-        self.context = sure2 << 3 | self.one & 7
+        was2, was1 = self.after2.take(self.slot, mode="clip"), self.after1.take(self.prev1, mode="clip")
+        self.sure2, self.sure1 = (was2 & 7).astype(np.uint8), (was1 & 7).astype(np.uint8)
+        self.context = (self.sure2 << 3 | self.sure1).astype(np.int64)
         right = self.right
         total = right.sum(axis=0)
         whole = 1 << self.mix
@@ -94,24 +95,22 @@ class Model:
         w1 = np.minimum(right[1] * (whole - 64) // total, whole - 64 - w2)
         w2[:8] = 0
         w1[::8] = 0
-        two, one = self.two >> 3, self.one >> 3
+        two, one = was2 >> 3, was1 >> 3
         at1 = (w2 << self.bits).astype(np.uint64).take(self.context, mode="clip")
         at0 = (w1 << self.bits).astype(np.uint64).take(self.context, mode="clip")
-        at0 *= (one != two) | (sure2 == 0)
+        at0 *= one != two
         at0 += at1
         return two, one, at1, at0, _U(whole) - (at0 >> _U(self.bits))
 
-    def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """After a row: which order was right, what followed, and now and then new frequencies."""
         n = len(ids)
-        was2, was1, context = self.two[:n], self.one[:n], self.context[:n]
-        hit2 = (two == ids) & (was2 & 7 > 0)
-        hit1 = (one == ids) & (was1 & 7 > 0)
-        self.right += np.bincount((hit1.astype(np.int64) + hit2 * (2 - hit1)) << 6 | context, minlength=192).reshape(3, 64)
+        hit2, hit1 = hit2.view(np.uint8), hit1.view(np.uint8)
+        self.right += np.bincount(self.context[:n] + (np.maximum(hit2 << 1, hit1) << 6), minlength=192).reshape(3, 64)
         # a right candidate gains confidence, up to 7; a wrong one gives way
-        fresh = ids << 3 | 1
-        self.after2[self.slot[:n]] = np.where(hit2, np.minimum(was2 + 1, was2 | 7), fresh)
-        self.after1[self.prev1[:n]] = np.where(hit1, np.minimum(was1 + 1, was1 | 7), fresh)
+        fresh = ids.astype(np.int32) << 3
+        self.after2[self.slot[:n]] = fresh + np.minimum(self.sure2[:n] * hit2 + 1, 7)
+        self.after1[self.prev1[:n]] = fresh + np.minimum(self.sure1[:n] * hit1 + 1, 7)
         self.prev2[:n] = self.prev1[:n]
         self.prev1[:n] = ids
         self.seen.append(ids)
@@ -123,8 +122,19 @@ class Model:
 
 def _interval(model: Model, row: np.ndarray, at1: np.ndarray, at0: np.ndarray, m0: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the ids of a row begin in the mixed distribution, and how wide they are."""
-    start = np.where(is1, at1, model.start.take(row, mode="clip") * m0 + at0) * ~is2
-    return start, np.where(is2, at1, np.where(is1, at0 - at1, model.width.take(row, mode="clip") * m0))
+    # by products: lanes differ so often that a choice by lane costs more
+    by2, by1 = is2.astype(np.uint64), is1.astype(np.uint64)
+    by0 = _U(1) - by2 - by1
+    first = at1 * by1
+    m0 = m0 * by0
+    start = model.start.take(row, mode="clip") * m0
+    start += at0 * by0
+    start += first
+    width = model.width.take(row, mode="clip") * m0
+    width += at0 * by1
+    width -= first
+    width += at1 * by2
+    return start, width
 
 
 def _spent(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +153,19 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes) if n else 0
 
 
+def _turned(matrix: np.ndarray) -> np.ndarray:
+    """The transposed matrix, copied by strips that stay in the cache."""
+    out = np.empty(matrix.shape[::-1], matrix.dtype)
+    for k in range(0, len(matrix), 64):
+        out[:, k : k + 64] = matrix[k : k + 64].T
+    return out
+
+
 def _matrix(ids: np.ndarray, lanes: int, rows: int) -> list[np.ndarray]:
     """Rows of the block; lane k holds ids k*rows to (k+1)*rows; lanes that have ended are at the end."""
-    return [np.ascontiguousarray(ids[r::rows]) for r in range(rows)]
+    whole = np.zeros(lanes * rows, np.int64)
+    whole[: len(ids)] = ids
+    return [row[: len(range(r, len(ids), rows))] for r, row in enumerate(_turned(whole.reshape(lanes, rows)))] if rows else []
 
 
 def encode_words(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -155,11 +175,12 @@ def encode_words(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0))
     shift = _U(model.bits + model.mix)
     out_lane, out_word = [], []
-    for row in _matrix(ids.astype(np.int64), lanes, rows):
+    for row in _matrix(ids, lanes, rows):
         n = len(row)
         two, one, at1, at0, m0 = (x[:n] for x in model.predict())
-        is2 = (two == row) & (at1 > 0)
-        is1 = (one == row) & (at0 > at1) & ~is2
+        hit2, hit1 = two == row, one == row
+        is2 = hit2 & (at1 > 0)
+        is1 = hit1 & (at0 > at1) & ~is2
         start, width = _interval(model, row, at1, at0, m0, is2, is1)
         r = span[:n] >> shift
         lo, sp = low[:n], span[:n]  # views: lanes that have ended keep their state
@@ -176,18 +197,18 @@ def encode_words(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
             out_word.append((leading >> _WORD).astype(np.uint32))
             part = leading << _WORD, cut << _WORD
             low[live], span[live] = part
-        model.learn(row, two, one)
+        model.learn(row, hit2, hit1)
     for k in (32, 0):
         out_lane.append(np.arange(lanes))
         out_word.append((low >> _U(k)).astype(np.uint32))
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
-    order = np.argsort(lane, kind="stable")
+    order = np.argsort(lane.astype(np.uint16), kind="stable")  # at most LANES; few bits are sorted by counting
     return lanes, np.bincount(lane, minlength=lanes).astype("<u4"), word[order].astype("<u4")
 
 
 def decode_words(n: int, lanes: int, largest: int, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
     rows = -(-n // lanes) if n else 0
-    model = Model(largest, lanes)
+    model = Model(largest, lanes, True)
     at = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))[:-1]
     words = np.concatenate((words, np.zeros(8, "<u4"))).astype(np.uint64)
     low, span, code = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0)), np.zeros(lanes, np.uint64)
@@ -195,7 +216,7 @@ def decode_words(n: int, lanes: int, largest: int, lengths: np.ndarray, words: n
         code = code << _WORD | words[at]
         at += 1
     shift = _U(model.bits + model.mix)
-    out = np.empty(n, np.uint32)
+    out = np.zeros((rows, lanes), np.uint32)
     limit = (1 << (model.bits + model.mix)) - 1
     for r0 in range(rows):
         k = len(range(r0, n, rows))
@@ -206,8 +227,9 @@ def decode_words(n: int, lanes: int, largest: int, lengths: np.ndarray, words: n
         deep = v >= at0
         is2 = v < at1
         is1 = ~deep & ~is2
-        row = model.symbol.take((((v - at0) * deep) // m0).astype(np.int64), mode="clip")
-        row = np.where(is2, two, np.where(is1, one, row))
+        # below 2**32 by less than 2**16: the quotient of doubles has the same whole part
+        place = (((v - at0) * deep).astype(np.float64) / m0.astype(np.float64)).astype(np.int64)
+        row = (model.symbol.take(place, mode="clip") * deep + two * is2 + one * is1).astype(np.int64)
         start, width = _interval(model, row, at1, at0, m0, is2, is1)
         lo += r * start
         np.multiply(r, width, out=sp)
@@ -222,9 +244,9 @@ def decode_words(n: int, lanes: int, largest: int, lengths: np.ndarray, words: n
             place = at.take(live)
             code[live] = code.take(live) << _WORD | words.take(place, mode="clip")
             at[live] = place + 1
-        out[r0::rows] = row
-        model.learn(row, two, one)
-    return out
+        out[r0, :k] = row
+        model.learn(row, two == row, one == row)
+    return _turned(out).ravel()[:n]
 
 
 def encode_block(ids: np.ndarray, docs: np.ndarray, first: int = 0) -> bytes:

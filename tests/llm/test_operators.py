@@ -420,6 +420,30 @@ def test_units_that_are_forgotten_or_too_long_to_keep(monkeypatch):
         assert len(encode.rows) <= 40 and not any(len(u) > 6 for u in encode.rows)
 
 
+def test_new_words_share_calls_of_the_merging_model():
+    """op10: words go to the model together, parted by a character it never merges; a vocabulary without one takes them alone."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_codec.vocabulary())
+    encode = byte_bpe.Encoder(token_codec.vocabulary())
+    calls = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **rest):
+            calls.append(len(texts))
+            return encode.tok_alone.encode_batch_fast(texts, **rest)
+
+    encode.tok_alone, encode.merging = encode.merging, Counted()
+    words = [f"{a}{b}{c}".encode() for a in ("", " ") for b in ("straß", "Éa", "the", "ü", "x") for c in ("", "enà", "THE", "q" * 60)] * 20
+    want = [tok.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    for parting in (encode.parting, None):
+        encode.parting = parting
+        ids, size = encode.library(words)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == want
+    assert sum(calls) == -(-len(words) // byte_bpe.JOINED)
+    assert [byte_bpe.WORD.fullmatch(u) is not None for u in (b"", b" ", b"a b", b"\xc3", b"\xc3\x97", b"\n", b" \xc3\xa9a")] == [False] * 6 + [True]
+
+
 def test_large_ids_are_coded():
     ids = np.random.default_rng(1).integers(0, 3_000_000, 3000).astype("<u4")
     assert (token_codec.decode_block(token_codec.encode_block(ids, np.zeros(0, token_codec.DOC)))[2] == ids).all()
