@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelloom.functions.kernels import masked_cp
@@ -132,3 +133,22 @@ def test_all_sweeps_are_one_job(spark, monkeypatch):
     single, apart = run(0, 12)
     assert few == many < single
     assert all(np.allclose(shared[m], apart[m], rtol=1e-6, atol=1e-9) for m in cp.MODES)
+
+
+def test_split_judges_held_cells_like_a_fit_of_the_others(spark):
+    """Cells packed once with their mark give the factors and errors of tables that are parted first; an index whose cells are all held has zeros."""
+    rng = np.random.default_rng(4)
+    cells = [(i, j, float((1 + i % 5) * (2 + j % 3) + rng.normal() / 4), bool(i == 7 or j == 3 or rng.random() < 0.2)) for i in range(40) for j in range(9) if rng.random() < 0.8 or i == 7]
+    known = spark.createDataFrame(cells, "row_idx int, col_idx int, value double, held boolean")
+    settings = (2, 30, 1e-8, 1e-9, 3)
+    for driver_cells in (10_000, 0):
+        split = cp.Split(spark, known, ("row", "col"), (40, 9), driver_cells, len(cells))
+        train = cp.Packed(spark, known.where("not held").drop("held"), ("row", "col"), (40, 9), driver_cells)
+        fitted = cp.evaluate(known.where("held"), cp.factors_table(train.fit(*settings)), "fitted", ("row", "col"), 2)
+        want = fitted.selectExpr("avg(pow(fitted - value, 2))").first()[0]
+        assert split.error(split.train(), *settings) == pytest.approx(want, rel=1e-9)
+        assert (split.n, split.learnt, split.held) == (len(cells), sum(not c[3] for c in cells), sum(c[3] for c in cells))
+        whole, alone = split.whole().fit(*settings), cp.Packed(spark, known.drop("held"), ("row", "col"), (40, 9), driver_cells).fit(*settings)
+        for m in ("row", "col"):
+            a, b = (np.array([r["vec"] for r in d[m].orderBy("idx").collect()]) for d in (whole, alone))
+            np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
