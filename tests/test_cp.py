@@ -152,3 +152,19 @@ def test_split_judges_held_cells_like_a_fit_of_the_others(spark):
         for m in ("row", "col"):
             a, b = (np.array([r["vec"] for r in d[m].orderBy("idx").collect()]) for d in (whole, alone))
             np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
+
+
+def test_triangles_become_one_before_they_come_to_the_driver(spark, monkeypatch):
+    """Each partition sent its triangle, as rows: up to ``driver_cells`` cells, pickled in the JVM."""
+    frame, brought = type(spark.range(0)), []
+    for name, rows in (("collect", len), ("toArrow", lambda t: t.num_rows)):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name), n=rows: (out := f(self), brought.append(n(out)))[0])
+    monkeypatch.setattr(cp, "BLOCK_CELLS", 40)
+    x = np.random.default_rng(5).uniform(0.5, 2, (400, 4))
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(400) for j in range(4)], "row_idx int, col_idx int, value double").persist()
+    packed = cp.Packed(spark, cells, ("row", "col"), (400, 4), 1000)
+    assert packed.here and brought and max(brought) == 1
+    (_, other, value), = packed.kept
+    r = value.reshape(4, 4)
+    assert other.tolist() == list(range(4)) * 4 and np.allclose(r.T @ r, x.T @ x)
+    packed.unpersist()
