@@ -13,7 +13,8 @@ from panelloom.operators import bicluster, cp, mssa, panel, snn, synth
 from panelloom.plans.model import PanelModel
 from panelloom.sources import io, scratch
 from panelloom.spec import AlsConfig, BiclusterConfig, CpConfig, ModelConfig, MssaConfig, PanelSpec, SnnConfig
-from panelloom.streaming.ingest import ModelSink
+from panelloom.streaming.ingest import ModelSink, arriving, panel_cells, read_events, stream_into
+from panelloom.streaming.queries import streaming_partial_fit
 
 
 def test_biclique_says_whether_it_is_exact():
@@ -179,3 +180,46 @@ def test_a_batch_is_computed_once(spark, tmp_path):
     batch = spark.createDataFrame(rows, "unit int, time int, action string, metric double").mapInPandas(seen, "unit int, time int, action string, metric double")
     ModelSink(PanelModel(spark, ModelConfig(imputer="none", cp=CpConfig(rank=1, sweeps=5), mssa=MssaConfig(lags=2))), PanelSpec("unit", "time", ("action",), "metric"), f"file://{tmp_path}/model")(batch, 0)
     assert runs.value == len(rows)
+
+
+def _events(spark, path, late_user=False):
+    """Thirty days of events in an order that isn't time's, one without a time."""
+    rng = np.random.default_rng(7)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(minutes=73 * i), i % 6, "abc"[i % 3], float(rng.uniform(1, 9))) for i in range(590)]
+    rows += [(1000 + i, start + datetime.timedelta(days=25 + i), 99, "a", 2.0) for i in range(5)] if late_user else []
+    rows = [rows[i] for i in rng.permutation(len(rows))] + [(9999, None, 1, "a", 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").repartition(3).write.parquet(path)
+
+
+def test_events_arrive_whole_and_in_order_of_time(spark, tmp_path):
+    _events(spark, f"file://{tmp_path}/events.parquet")
+    at = []
+    for there in arriving(spark, f"file://{tmp_path}/events.parquet", f"file://{tmp_path}/in", 24, 3):
+        d = spark.read.parquet(there)
+        at.append((d.count(), d.agg(F.max(F.to_date("ts"))).first()[0].day))
+    assert d.columns == ["event_id", "ts", "user_id", "event_type", "value"]
+    assert at == [(475, 24), (534, 27), (591, 30)]
+
+
+def test_a_stream_fits_its_first_days_and_appends_the_others(spark, tmp_path, monkeypatch):
+    """All events came in one batch, so that nothing was appended."""
+    _events(spark, f"file://{tmp_path}/events.parquet")
+    steps = []
+    for name in ("fit", "partial_fit"):
+        monkeypatch.setattr(PanelModel, name, lambda self, df, *a, f=getattr(PanelModel, name), n=name: (f(self, df, *a), steps.append((n, self.T)))[0])
+    streaming_partial_fit(spark, f"file://{tmp_path}")
+    # a day is final when an event of a day after its end was seen
+    assert steps == [("fit", 22), ("partial_fit", 25), ("partial_fit", 28)]
+
+
+def test_a_batch_with_new_units_is_fitted_with_all_cells(spark, tmp_path):
+    """Its append raised, which ended the stream."""
+    _events(spark, f"file://{tmp_path}/events.parquet", late_user=True)
+    cfg = ModelConfig(imputer="none", cp=CpConfig(rank=1, sweeps=5), mssa=MssaConfig(lags=3))
+    sink = ModelSink(PanelModel(spark, cfg), PanelSpec("unit", "time", ("action",), "metric"), f"file://{tmp_path}/m")
+    for there in arriving(spark, f"file://{tmp_path}/events.parquet", f"file://{tmp_path}/in", 24, 3):
+        stream_into(panel_cells(read_events(spark, there)), sink, f"file://{tmp_path}/c").awaitTermination()
+    d = spark.read.parquet(f"file://{tmp_path}/events.parquet").where("ts < timestamp_ntz'2024-01-29'")
+    cells = d.select("user_id", F.to_date("ts")).distinct().count()
+    assert (sink.model.N, sink.model.T, sink.model.tables["obs"].count()) == (7, 28, cells)
