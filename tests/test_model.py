@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.operators import estimands, metrics, panel, snn, synth
+from panelloom.operators import bicluster, estimands, metrics, panel, snn, synth
 from panelloom.plans.model import PanelModel
 from panelloom.sources import io
 from panelloom.spec import AlsConfig, BiclusterConfig, CpConfig, ModelConfig, MssaConfig, PanelSpec, SnnConfig
@@ -178,3 +178,18 @@ def test_snn_does_not_copy_anchor_rows_to_missing_rows(spark, monkeypatch):
             value, ok = one.fill(y[:20])
             assert ok.all() and np.allclose(value, y[20:])
     assert sizes[0] == sizes[1]
+
+
+def test_pairs_that_lack_a_value_are_not_broadcast(spark):
+    """The lists they are unfolded from are small, so that all pairs went to the driver."""
+    cells = spark.createDataFrame([(i, j, float((i + 1) * (j + 1))) for i in range(400) for j in range(60) if (i + j) % 5 == 0], "row_id int, col_id int, value double").persist()
+    d = bicluster.als_impute(cells, panel.missing_of_rows(cells, 400, 60), AlsConfig(ranks=(1,), sweeps=2))
+    found = d.collect()
+    assert len(found) == 400 * 48
+    plan = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = [x for n, x in enumerate(plan[k + 1 :], k + 1) if all(depth(y) > depth(line) for y in plan[k + 1 : n + 1])]
+            assert not any("Generate explode" in x for x in below)
+    assert any("Generate explode" in x for x in plan)
